@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, simhash
+from . import decontaminate, exact_dedup, language_id, packing, simhash
 
 QUERIES = {
     "op2_exact_dedup": exact_dedup.op2_exact_dedup,
+    "op5_packing": packing.op5_packing,
     "op6_simhash": simhash.op6_simhash,
+    "op8_language_id": language_id.op8_language_id,
+    "op10_decontaminate": decontaminate.op10_decontaminate,
 }
 
 ORACLES = {"op2_exact_dedup": exact_dedup.OP2_SQL}
