@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import held_out, table
+from .crf import forward_backward, pair_expectations
 
 CHAIN = 64
 BITS = 16
@@ -106,32 +107,6 @@ def emissions(words: np.ndarray, model: Model) -> tuple[np.ndarray, np.ndarray]:
     return out, letters
 
 
-def forward_backward(scores: np.ndarray, real: np.ndarray, steps: np.ndarray):
-    """scores (chains, CHAIN, labels) and real (chains, CHAIN) -> marginals, summed pair expectations."""
-    e = np.exp(scores - scores.max(axis=2, keepdims=True))
-    t = np.exp(steps - steps.max()).astype(np.float32)
-    n, length, k = e.shape
-    ahead, back = np.empty_like(e), np.ones_like(e)
-    ahead[:, 0] = e[:, 0] / e[:, 0].sum(axis=1, keepdims=True)
-    for i in range(1, length):
-        a = (ahead[:, i - 1] @ t) * e[:, i]
-        ahead[:, i] = a / a.sum(axis=1, keepdims=True)
-    for i in range(length - 2, -1, -1):
-        b = (e[:, i + 1] * back[:, i + 1]) @ t.T
-        b /= b.sum(axis=1, keepdims=True)
-        back[:, i] = np.where(real[:, i + 1, None], b, 1)
-    both = ahead * back
-    both /= both.sum(axis=2, keepdims=True)
-    return both, ahead, back, e, t
-
-
-def _pairs(ahead, back, e, t, real):
-    left, right = ahead[:, :-1], (e * back)[:, 1:]
-    z = np.einsum("nik,kl,nil->ni", left, t, right)
-    weight = real[:, 1:] / np.maximum(z, 1e-30)
-    return t * np.einsum("nik,nil,ni->kl", left, right, weight)
-
-
 def _chains(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Chain and position of every word, for documents of so many words."""
     chains = -(-counts // CHAIN)
@@ -225,7 +200,7 @@ def train(texts: list[str], labels: list[str], epochs: int = 4, rate: float = 0.
             weights += rate * grad / np.sqrt(past)
             pair = np.zeros_like(steps)
             np.add.at(pair, (y[:, :-1][real[:, 1:]], y[:, 1:][real[:, 1:]]), 1)
-            step = (pair - _pairs(ahead, back, e, t, real)) / len(pick)
+            step = (pair - pair_expectations(ahead, back, e, t, real)) / len(pick)
             past_steps += step * step
             steps += (rate * step / np.sqrt(past_steps)).astype(np.float32)
     return model

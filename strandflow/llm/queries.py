@@ -2,14 +2,21 @@
 
 from __future__ import annotations
 
-from . import decontaminate, exact_dedup, language_id, packing, simhash
+from . import decontaminate, exact_dedup, html_text, language_id, licenses, packing, simhash, url_filter
 
 QUERIES = {
+    "op1_url_filter": url_filter.op1_url_filter,
     "op2_exact_dedup": exact_dedup.op2_exact_dedup,
     "op5_packing": packing.op5_packing,
     "op6_simhash": simhash.op6_simhash,
+    "op7_license_scan": licenses.op7_license_scan,
     "op8_language_id": language_id.op8_language_id,
+    "op9_html_text": html_text.op9_html_text,
     "op10_decontaminate": decontaminate.op10_decontaminate,
 }
 
-ORACLES = {"op2_exact_dedup": exact_dedup.OP2_SQL}
+ORACLES = {
+    "op1_url_filter": url_filter.OP1_SQL,
+    "op2_exact_dedup": exact_dedup.OP2_SQL,
+    "op7_license_scan": licenses.OP7_SQL,
+}
