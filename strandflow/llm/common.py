@@ -73,3 +73,31 @@ BROADCAST_IDS = 100_000
 def join_ids(docs: DataFrame, ids: DataFrame, on: str, how: str) -> DataFrame:
     """docs joined with a materialised table of ids, broadcast only while it is small."""
     return docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, on, how)
+
+
+def labelled_texts(docs: DataFrame, labels: DataFrame, column: str, folds: int, fold: int, per_class: int):
+    """At most ``per_class`` texts of each 0/1 label in ``column``, none of the held-out fold, as a
+    pandas frame (doc_id, text, label) in doc_id order.
+
+    The sample is drawn by a hash of the id from the labels alone; only its ids, at most
+    1.25 * per_class of a class, are broadcast to the documents. Of several labels of one
+    document the smallest counts."""
+    known = labels.where(F.col(column).isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"), folds, fold))
+    known = known.groupBy("doc_id").agg(F.min(column).cast("int").alias("label"))
+    counts = {r["label"]: r["count"] for r in known.groupBy("label").count().collect()}
+    share = F.lit(0.0)
+    for label, n in counts.items():
+        share = F.when(F.col("label") == label, F.lit(min(1.0, 1.25 * per_class / n))).otherwise(share)
+    ticket = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    drawn = known.where(ticket < share).select(F.col("doc_id").alias("drawn_id"), "label")
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(drawn), F.col("doc_id") == F.col("drawn_id"))
+    found = rows.select("doc_id", "text", "label").toPandas().sort_values("doc_id").drop_duplicates("doc_id")
+    return found.groupby("label", sort=True).head(per_class)
+
+
+_SEPARATE = bytes(c if chr(c).isalnum() or c > 127 else 32 for c in range(256))
+
+
+def tokens(text: str | None) -> list[bytes]:
+    """Runs of letters and digits of the lower-cased text; all beyond ASCII counts as letters."""
+    return (text or "").lower().encode("utf-8", "surrogatepass").translate(_SEPARATE).split()

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import table, tokens
 from .language_id import chunks
 
 SPAN = 8
@@ -42,7 +42,6 @@ MASKS = (
 #: Items of fewer tokens than SPAN must be found whole and unchanged; those below LEAST never match.
 LEAST = 5
 SLICE_TOKENS = 2_000_000
-_SEPARATE = bytes(c if chr(c).isalnum() or c > 127 else 32 for c in range(256))
 _MUL = np.uint64(0x9E3779B97F4A7C15)
 
 OVERLAP = "doc_id long, item_id long, matched int, item_tokens int, best int, doc_start int, item_start int, contaminated boolean"
@@ -57,10 +56,6 @@ class Slice(NamedTuple):
     places: list[np.ndarray]  # token index of each hash's window
 
 
-def tokens(text: str | None) -> list[bytes]:
-    return (text or "").lower().encode("utf-8", "surrogatepass").translate(_SEPARATE).split()
-
-
 def _masks() -> list[tuple[int, ...]]:
     """The spaced masks, then one whole mask for each length of short item."""
     return [*MASKS, *(tuple(range(n)) for n in range(LEAST, SPAN))]

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from . import decontaminate, exact_dedup, html_text, language_id, licenses, packing, simhash, url_filter
+from . import decontaminate, exact_dedup, html_text, language_id, licenses, packing, quality, simhash, toxicity, url_filter
 
 QUERIES = {
     "op1_url_filter": url_filter.op1_url_filter,
     "op2_exact_dedup": exact_dedup.op2_exact_dedup,
+    "op3_toxicity": toxicity.op3_toxicity,
+    "op4_quality": quality.op4_quality,
     "op5_packing": packing.op5_packing,
     "op6_simhash": simhash.op6_simhash,
     "op7_license_scan": licenses.op7_license_scan,
