@@ -182,15 +182,16 @@ def new_network(vocabulary: dict[bytes, int], prior: float, seed: int) -> Networ
     return Network(vocabulary, p, np.array([0.0, 1.0, 0.0, 0.0]))
 
 
-def train(texts: list[str], labels: list[int], per_class: int = 10_000, epochs: int = 8, rate: float = 0.01, least_docs: int = 20, clean_weight: float = 2.0, seed: int = 3) -> Network:
+def train(texts: list[str], labels: list[int], per_class: int = 16_000, epochs: int = 6, rate: float = 0.01, least_docs: int = 20, clean_ratio: float = 4.0, seed: int = 3) -> Network:
     """Adam over at most ``per_class`` windows of each label, drawn with a seed.
 
     All windows of a clean text are clean. Of a toxic text's windows, from the second epoch
     on, only those that score at least the text's median stay toxic examples; the others
     are left out. The vocabulary is the words of at least ``least_docs`` texts; half its
     entries are hidden in each step, so the characters must explain words too. Clean
-    windows weigh ``clean_weight``, being commoner in a corpus than in the sample. Every
-    fourth text teaches only the head."""
+    windows weigh ``clean_ratio`` times as much as toxic ones in all, whatever their
+    numbers in the sample; so do clean texts for the head. Every fourth text teaches only
+    the head."""
     split = [tokens(t) for t in texts]
     seen: dict[bytes, int] = {}
     for ws in split:
@@ -201,12 +202,12 @@ def train(texts: list[str], labels: list[int], per_class: int = 10_000, epochs:
     distinct = list(distinct)
     owner, at = windows(np.array([len(ws) for ws in split], np.int64))
     y = np.asarray(labels, np.float32)[owner] if len(owner) else np.zeros(0, np.float32)
-    prior = float(np.clip(np.mean(labels), 0.01, 0.99)) / clean_weight if len(labels) else 0.5
-    net = new_network(vocabulary, prior, seed)
+    net = new_network(vocabulary, 1 / (1 + clean_ratio), seed)
     rng = np.random.default_rng(seed)
     toxic, clean = (rng.permutation(np.flatnonzero((y == v) & (owner % 4 > 0)))[:per_class] for v in (1, 0))
     if not len(toxic) or not len(clean):
         return net
+    clean_weight = clean_ratio * len(toxic) / len(clean)
     m, v, step = {k: np.zeros_like(x) for k, x in net.p.items()}, {k: np.zeros_like(x) for k, x in net.p.items()}, 0
     for epoch in range(epochs):
         if epoch:
@@ -230,8 +231,8 @@ def train(texts: list[str], labels: list[int], per_class: int = 10_000, epochs:
                     x *= 1 - 3e-4
     x = head_inputs(owner, window_scores(net, word_inputs(distinct, net)[0], word_ids, at), len(split))
     some = np.array([len(ws) > 0 and i % 4 == 0 for i, ws in enumerate(split)])
-    label = np.asarray(labels, np.float64)
-    return net._replace(head=fit_head(x[some], label[some], np.where(label[some] > 0, 1, clean_weight)))
+    x, label = x[some], np.asarray(labels, np.float64)[some]
+    return net._replace(head=fit_head(x, label, np.where(label > 0, 1, clean_ratio * label.sum() / max((1 - label).sum(), 1))))
 
 
 def window_scores(net: Network, inputs: np.ndarray, word_ids: np.ndarray, at: np.ndarray, step: int = 8192) -> np.ndarray:
@@ -260,7 +261,7 @@ def score_texts(texts: list[str | None], net: Network) -> np.ndarray:
 FOLDS, FOLD = 3, 1
 
 
-def fit(docs: DataFrame, labels: DataFrame, docs_per_class: int = 700) -> Network:
+def fit(docs: DataFrame, labels: DataFrame, docs_per_class: int = 1200) -> Network:
     """labels: doc_id, toxic; rows of the held-out fold or without a label teach nothing."""
     rows = labelled_texts(docs, labels, "toxic", FOLDS, FOLD, docs_per_class)
     return train(rows["text"].tolist(), rows["label"].tolist())
