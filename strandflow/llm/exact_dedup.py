@@ -144,8 +144,9 @@ def dedup_batch(docs: DataFrame, in_snapshot) -> DataFrame:
     in_snapshot: a column that says which rows of docs form the immutable snapshot; the
     others, and those where it is null, are the new batch. Of equal texts the row with the
     smallest doc_id is kept, on whichever side it is. Rows that repeat a doc_id give a row
-    each and share its fate. An empty snapshot, batch or table is allowed. Should two
-    different texts ever share a digest across the sides, the byte check keeps both."""
+    each and share its fate. A row without an id is kept only where no equal text has one.
+    An empty snapshot, batch or table is allowed. Should two different texts ever share a
+    digest across the sides, the byte check keeps both."""
     rows = cut(
         docs.select(
             F.col("doc_id").cast("long").alias("doc_id"), _digest(_body()).alias("digest"),
@@ -174,7 +175,7 @@ def dedup_batch(docs: DataFrame, in_snapshot) -> DataFrame:
         F.when(joined, F.least("old_rep", "new_rep")).otherwise(mine("rep")).alias("keep_id"),
         F.when(joined, F.col("rows")).otherwise(mine("size")).alias("group_size"),
     )
-    return out.withColumn("kept", F.col("doc_id") == F.col("keep_id"))
+    return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("keep_id")))
 
 
 def half(doc_id):
@@ -183,7 +184,7 @@ def half(doc_id):
 
 
 def drop_copies(docs: DataFrame) -> DataFrame:
-    """docs without the rows that repeat a text of a smaller doc_id."""
+    """docs without the rows that repeat a text of a smaller doc_id; rows without an id stay."""
     gone = cut(dedup_batch(docs, half(F.col("doc_id"))).where("not kept").select("doc_id").distinct())
     return join_ids(docs, gone, "doc_id", "left_anti").select(docs.columns)
 

@@ -227,10 +227,11 @@ def simhash_groups(docs: DataFrame, width: int = 3, max_bits: int = 3, split_abo
     """One row per document: doc_id, fp, group_size (documents with that fingerprint), component_id.
 
     Null, empty and blank texts all have fingerprint zero and link like any other. A
-    repeated doc_id gives a row for each of its rows. An empty table gives no rows."""
+    repeated doc_id gives a row for each of its rows; rows without an id join the component
+    of an equal fingerprint, if an id has it, else they have none. An empty table gives no rows."""
     rows = cut(fingerprints(docs, width))
     groups = cut(rows.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.count("*").alias("group_size")))
-    roots = components(near_links(groups, max_bits, split_above))
+    roots = components(near_links(groups.where("rep IS NOT NULL"), max_bits, split_above))
     named = cut(
         groups.join(roots, groups.rep == roots.node, "left")
         .select("fp", "group_size", F.coalesce("root", "rep").alias("component_id"))
