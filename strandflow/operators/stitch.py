@@ -123,3 +123,18 @@ def complete_paths(path: DataFrame, keys: list[str]) -> DataFrame:
         (F.bool_and("_ok") & (F.when(minus, high).otherwise(low) == 7) & (F.when(minus, low).otherwise(high) == 14)
          & (F.count_if(F.col("state") == 7) == 1) & (F.count_if(F.col("state") == 14) == 1)).alias("complete")
     )
+
+
+def transcripts_of_edges(groups: DataFrame, complete: DataFrame, keys: list[str]) -> DataFrame:
+    """Groups inside their blocks, and those at an edge whose coding path is complete."""
+    inner = groups.where("edge IS NULL")
+    return inner.unionByName(groups.where("edge IS NOT NULL").join(complete, keys, "left_semi"))
+
+
+def seams_to_predict(windows: DataFrame) -> DataFrame:
+    """Pairs of touching windows with an illegal step between them, to be predicted again as
+    one: seq, strand, start, seam, end. The right window starts after ``seam``."""
+    order = Window.partitionBy("seq", "strand").orderBy("start")
+    marked = seams(windows).withColumn("_left", F.lag("start").over(order))
+    bad = marked.where("status = 'invalid_transition'")
+    return bad.select("seq", "strand", F.col("_left").alias("start"), F.col("left_end").alias("seam"), "end")
