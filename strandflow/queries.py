@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from .functions import attributes as at
 from .functions import numeric as nu
 from .functions import sequence as sq
-from .operators import annotation, decode, evaluate, intervals, planning, stitch, topology, windows
+from .operators import annotation, convert, decode, evaluate, intervals, planning, repair, stitch, topology, windows
 from .plans import annotate
 from .sources import features as ft
 from .sources import vectors
@@ -768,3 +768,51 @@ def constrained_viterbi(spark, d):
 @query("annotate_models")
 def annotate_models(spark, d):
     return annotate.annotate(_probabilities(spark, d))
+
+
+# ---------------------------------------------------------------- conversion and repair
+
+
+def _gtf_rows(spark, d) -> DataFrame:
+    """Coding pieces as GTF rows."""
+    rows = cds(spark, d)
+    text = at.gtf_attributes(F.concat(F.lit("g"), F.col("gene").cast("string")), F.concat(F.lit("t"), F.col("tx").cast("string")))
+    return rows.select(
+        F.col("chrom").alias("seqid"), F.lit("s").alias("source"), F.lit("CDS").alias("feature"), "start", "end",
+        F.lit(None).cast("double").alias("score"), "strand", F.lit(None).cast("int").alias("phase"), text.alias("attributes"),
+    )
+
+
+@query("gtf_to_gff3", f"""WITH {CDS} SELECT chrom || chr(9) || 's' || chr(9) || 'CDS' || chr(9) || CAST("start" AS VARCHAR) || chr(9) || CAST("end" AS VARCHAR) || chr(9) || '.' || chr(9) || strand || chr(9) || '.' || chr(9) ||
+  'ID=t' || CAST(tx AS VARCHAR) || '.cds' || CAST(row_number() OVER (PARTITION BY tx ORDER BY "start", "end") AS VARCHAR) || ';Parent=t' || CAST(tx AS VARCHAR) AS line FROM cds""")
+def gtf_to_gff3(spark, d):
+    return ft.feature_lines(convert.gtf_to_gff3(_gtf_rows(spark, d)))
+
+
+@query("evaluation_rows", f"""WITH {CDS} SELECT 'g' || CAST(gene AS VARCHAR) AS gene, 't' || CAST(tx AS VARCHAR) AS tx, chrom, strand, "start" AS s, "end" AS e FROM cds""")
+def evaluation_rows(spark, d):
+    rows = convert.evaluation_rows(_gtf_rows(spark, d))
+    return rows.select("gene", "tx", "chrom", "strand", F.col("start").alias("s"), F.col("end").alias("e"))
+
+
+@query("seams_to_predict", f"""WITH {_WINDOWS}, l AS (SELECT *, lag(s) OVER (PARTITION BY seq ORDER BY s) AS left_start FROM st)
+SELECT seq, left_start AS s, left_end AS seam, e FROM l WHERE status = 'invalid_transition'""")
+def seams_to_predict(spark, d):
+    rows = stitch.seams_to_predict(_windows(spark, d))
+    return rows.select("seq", F.col("start").alias("s"), "seam", F.col("end").alias("e"))
+
+
+@query("complete_paths", f"""WITH {PATHS}, {_STEPS}, l AS (SELECT *, lag(state) OVER (PARTITION BY user_id, pos // 3 ORDER BY pos) AS before FROM paths),
+k AS (SELECT *, before IS NULL OR EXISTS (SELECT 1 FROM steps WHERE a = before AND b = state) AS ok FROM l)
+SELECT user_id, pos // 3 AS part, bool_and(ok) AND arg_min(state, pos) = 7 AND arg_max(state, pos) = 14 AND count(*) FILTER (state = 7) = 1 AND count(*) FILTER (state = 14) = 1 AS complete FROM k GROUP BY 1, 2""")
+def complete_paths(spark, d):
+    rows = paths(spark, d).withColumn("part", F.floor(F.col("pos") / 3).cast("long")).withColumn("strand", F.lit("+"))
+    return stitch.complete_paths(rows, ["user_id", "part"])
+
+
+@query("joint_repair")
+def joint_repair(spark, d):
+    """UTR conflicts in window-long paths built from each text's bases."""
+    rows = _probabilities(spark, d).withColumnRenamed("seq_name", "seq").withColumnRenamed("core_start", "start")
+    path = [0] * 40 + [15] * 40 + [17] + [18] * 38 + [19] + [16] * 40 + [0] * 40
+    return repair.repair_conflicts(rows.withColumn("states", F.array(*map(F.lit, path))).withColumn("seam", F.col("start") + 99)).withColumn("states", F.array_join("states", ","))
