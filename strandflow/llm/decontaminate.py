@@ -217,4 +217,5 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, least_matched: int
 
 
 def op10_decontaminate(spark, sf_dir: str) -> DataFrame:
-    return find_overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    """The contaminated documents with the items they hold; shorter overlaps are left out."""
+    return find_overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).where("contaminated")
