@@ -284,7 +284,7 @@ def learn(docs: DataFrame) -> Model:
     return fit(docs.where(~held_out(F.col("doc_id"), FOLDS, FOLD)))
 
 
-def keep_identified(docs: DataFrame, least: float = 0.35) -> DataFrame:
+def keep_identified(docs: DataFrame, least: float = 0.3) -> DataFrame:
     """docs without those of no language or of a mean word posterior below ``least``.
 
     The model is learned from docs itself; each text is scored where it is read, so the
