@@ -5,7 +5,7 @@ from strandflow.llm import packing
 
 from .test_decontaminate import brute as best_overlap
 from .test_exact_dedup import brute as brute_dedup
-from .test_simhash import slow_components, slow_fingerprint
+from .test_similar_text import slow_roots
 
 SPEECH = {"aa": ["bar", "baba", "abra", "rab", "ra"], "ee": ["lele", "ell", "elle", "tel", "le"]}
 
@@ -33,7 +33,7 @@ def test_pipeline_matches_brute_force(spark, tmp_path):
     spark.createDataFrame(list(enumerate(items)), "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
     left = [(i, t) for i, t, *_ in docs if t and any(c.isalpha() for c in t)]
     left = [(i, t) for i, t in left if i in {r[0] for r in brute_dedup(left) if r[3]}]
-    root = slow_components({i: slow_fingerprint(t, 5) for i, t in left})
+    root = slow_roots(dict(left))
     left = [(i, t) for i, t in left if root[i] == i]
     left = [(i, t) for i, t in left if all(best_overlap(t, item) < 10 for item in items)]
     got = corpus_pipeline.run(spark, str(tmp_path)).collect()
