@@ -52,7 +52,7 @@ def held_out(doc_id, folds: int, fold: int):
 HEAVY = 4096
 
 
-def attach(rows: DataFrame, groups: DataFrame, key: str, size: str) -> DataFrame:
+def attach(rows: DataFrame, groups: DataFrame, key: str | list[str], size: str) -> DataFrame:
     """rows inner-joined with groups (one row a key; ``size`` counts its rows).
 
     Groups that hold more than 1 / HEAVY of all rows number at most HEAVY whatever the
