@@ -12,6 +12,7 @@ from itertools import product
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from .topology import NEXT
 
@@ -226,6 +227,10 @@ def emissions(probs: np.ndarray, bases: str | None, smoothing: float = 0.01) ->
     return log_or_absent(out * codon_terms(bases, len(probs))) if bases is not None else log_or_absent(out)
 
 
+#: Windows of one length that are decoded side by side.
+TOGETHER = 256
+
+
 def decode_windows(windows: DataFrame, keys: str, use_bases: bool = True, repair: bool = True) -> DataFrame:
     """windows(keys..., p array<array<float>>, bases string in transcription order) -> keys,
     states array<int>, repaired boolean.
@@ -237,18 +242,16 @@ def decode_windows(windows: DataFrame, keys: str, use_bases: bool = True, repair
     def run(batches):
         steps, first = log_or_absent(transitions()), np.full(N, -np.log(N), np.float32)
         for pdf in batches:
-            out, fixed = [], []
-            for p, bases in zip(pdf["p"], pdf["bases"], strict=True):
-                probs = np.array([np.asarray(r, np.float64) for r in p]).reshape(-1, N) if p is not None and len(p) else np.zeros((0, N))
-                if not len(probs):
-                    out.append(np.zeros(0, np.int64))
-                    fixed.append(False)
-                    continue
-                scores = emissions(probs, bases if use_bases else None)
-                path = viterbi(scores[None], steps, first)[0]
-                broken = repair and bases is not None and not is_legal(path, bases)
-                out.append(constrained_viterbi(scores, bases) if broken else path)
-                fixed.append(bool(broken))
+            probs = [np.asarray([] if p is None else p, np.float64).reshape(-1, N) for p in pdf["p"]]
+            bases, by_length = pdf["bases"].tolist(), {}
+            for i, p in enumerate(probs):
+                by_length.setdefault(len(p), []).append(i)
+            out, fixed = [np.zeros(0, np.int64)] * len(probs), [False] * len(probs)
+            for same in (part[i : i + TOGETHER] for length, part in by_length.items() if length for i in range(0, len(part), TOGETHER)):
+                scores = np.stack([emissions(probs[i], bases[i] if use_bases else None) for i in same])
+                for i, own, path in zip(same, scores, viterbi(scores, steps, first), strict=True):
+                    fixed[i] = bool(repair and bases[i] is not None and not is_legal(path, bases[i]))
+                    out[i] = constrained_viterbi(own, bases[i]) if fixed[i] else path
             yield pd.DataFrame({**{n: pdf[n] for n in names}, "states": [o.tolist() for o in out], "repaired": fixed})
 
-    return windows.select(*names, "p", "bases").mapInPandas(run, f"{keys}, states array<int>, repaired boolean")
+    return windows.select(*names, F.flatten("p").alias("p"), "bases").mapInPandas(run, f"{keys}, states array<int>, repaired boolean")

@@ -745,7 +745,7 @@ def species_lookup(spark, d):
 
 def _probabilities(spark, d):
     """Windows of a text's bases with probabilities that favour a state by position."""
-    tiles = windows.sequence_windows(seqs(spark, d), 200).where("win_idx < 2")
+    tiles = windows.sequence_windows(seqs(spark, d), 200)
     p = F.transform(F.sequence(F.lit(1), F.lit(200)), lambda i: F.transform(F.sequence(F.lit(0), F.lit(19)), lambda s: F.when(s == (i * 7 + F.col("seq_name").cast("int")) % 20, 0.6).otherwise(0.4 / 19)))
     return tiles.select(F.col("seq_name").cast("string").alias("seq_name"), "strand", "core_start", "core_end", "bases", p.alias("p"))
 
