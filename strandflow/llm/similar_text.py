@@ -1,14 +1,19 @@
-"""SimHash near-duplicates at a stated shingle similarity.
-
-Three of 64 bits only reach texts that are all but equal. For a similarity of 0.8 this
-form of the SimHash operator takes a wider fingerprint, of the same kind: 128 bits, the
-majorities over a text's distinct word pairs, in 16 positional bytes. The inverted index posts
-each fingerprint under 24 pairs of byte positions. In a posting list every fingerprint is
-compared with all before it, and the closest one within ``max_bits`` is its candidate.
-Each candidate is verified by the exact Jaccard similarity of the two texts' sets of
-word shingles, so no document goes for a likeness it hasn't. Edited words are scattered
-or in blocks; a pair at 0.8 shares at least one of the 24 byte pairs almost surely in
-the first case and in about five of six cases in the second.
+"""Near-duplicates at a stated shingle similarity, by exact prefix filtering.
+
+Three of 64 bits only reach texts that are all but equal, so for a similarity of 0.8 this
+stage compares sets of word shingles. Every text's distinct shingle hashes are put in one
+order for all texts, common shingles last. Two sets of Jaccard similarity t share one of
+the first n - ceil(t n) + 1 of each, so each text is posted under those only and every
+similar pair meets in a posting list, wherever its edits are. Which shingles are common is
+learned from a sample of texts; it decides how long lists get, never what is found.
+
+Pairs of a list are tried in rounds: with its first row, then with the nearest earlier
+rows, then with all others. Pairs that verified links have joined by then are left out, so
+a large family of copies needs few pairs, and no pair that could be similar is left untried.
+Before the exact Jaccard similarity of the two texts is taken, pairs go only by bounds that
+hold for certain: by the sets' sizes and the places of the shared shingle, and by the
+parities of the shingles that fall on each of 512 bits (each bit that differs is a shingle
+that only one of the sets has).
 
 Long posting lists are cut into blocks: each pair of blocks is compared by a task of its
 own, so no task's memory or time depends on the length of a list and every pair of the
@@ -20,101 +25,172 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import attach, cut, join_ids
 from .components import components
-from .simhash import majority_bits, shingle_hashes
+from .simhash import shingle_hashes
 
-#: Byte positions of the 128 bits that are posted together.
-PAIRS = [(i, (i + 1) % 16) for i in range(16)] + [(i, i + 8) for i in range(8)]
 #: A document with more links than this has its shingles joined in several parts.
 FAN = 1000
+#: Texts whose shingles are counted: so many, or one in SAMPLE_SHARE where that is more.
+SAMPLE_TEXTS, SAMPLE_SHARE = 20_000, 16
+#: At most so many shingles that stand in three sampled texts are put last.
+COMMON = 200_000
+#: Rows of the same list between the two of a pair, a round; the pairs with the first row come before.
+ROUNDS = [(1, 8), (8, None)]
 
+SKETCH = "doc_id long, f1 long, f2 long, n int, parity binary, prefix array<long>"
 
-def _second(h: np.ndarray) -> np.ndarray:
-    """Another 64 bits of each hash, by the finaliser of MurmurHash3."""
-    h = (h ^ h >> np.uint64(33)) * np.uint64(0xFF51AFD7ED558CCD)
-    h = (h ^ h >> np.uint64(33)) * np.uint64(0xC4CEB9FE1A85EC53)
-    return h ^ h >> np.uint64(33)
 
-
-def sketches(docs: DataFrame) -> DataFrame:
-    """doc_id, f1 and f2: the 128 bits of each text's distinct word pairs; zero without a word."""
+def common_shingles(docs: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """(sorted hashes, their places from the rarest on) of shingles that many sampled texts have."""
 
     def run(batches):
         for batch in batches:
-            sets = [np.unique(shingle_hashes(t, 2)) for t in batch.column(1).cast(pa.binary()).to_pylist()]
-            counts = np.array([len(s) for s in sets], np.int64)
-            hashes = np.concatenate(sets) if sets else np.empty(0, np.uint64)
-            bits = [majority_bits(h, counts).view(np.int64) for h in (hashes, _second(hashes))]
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), *map(pa.array, bits)], ["doc_id", "f1", "f2"])
+            sets = [np.unique(shingle_hashes(t, width)) for t in batch.column(0).cast(pa.binary()).to_pylist()]
+            found, count = np.unique(np.concatenate(sets) if sets else np.empty(0, np.uint64), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(count.astype(np.int64))], ["h", "n"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id IS NOT NULL").mapInArrow(run, "doc_id long, f1 long, f2 long")
+    share = min(1.0, max(SAMPLE_TEXTS / max(docs.count(), 1), 1 / SAMPLE_SHARE))
+    drawn = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int(share * (1 << 20))).select("text")
+    counts = drawn.mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where("n >= 3")
+    rows = counts.orderBy(F.desc("n"), "h").limit(COMMON).toPandas()
+    hashes = rows["h"].to_numpy(np.int64).view(np.uint64)
+    order = np.argsort(hashes)
+    return hashes[order], (len(hashes) - order).astype(np.int64)
 
 
-def _octet(position: int):
-    half = F.col("f1") if position < 8 else F.col("f2")
-    return F.shiftright(half, 8 * (position % 8)).bitwiseAND(F.lit(255))
+def in_order(hashes: np.ndarray, common: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """Sorted hashes in the order of all texts: by hash, the common ones last by their places."""
+    known, places = common
+    if not len(known):
+        return hashes
+    at = np.minimum(np.searchsorted(known, hashes), len(known) - 1)
+    place = np.where(known[at] == hashes, places[at], 0)
+    return hashes[np.argsort(place, kind="stable")]
 
 
-def closest(keys: np.ndarray, f1: np.ndarray, f2: np.ndarray, max_bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """(index, index of the closest earlier row of its list) for rows that have one within max_bits."""
-    best, near = np.full(len(keys), max_bits + 1, np.int64), np.zeros(len(keys), np.int64)
-    alive, d = np.arange(len(keys)), 1
-    while True:
-        alive = alive[alive + d < len(keys)]
-        alive = alive[keys[alive] == keys[alive + d]]
-        if not len(alive):
-            break
-        bits = np.bitwise_count(f1[alive] ^ f1[alive + d]).astype(np.int64) + np.bitwise_count(f2[alive] ^ f2[alive + d])
-        better = bits < best[alive + d]
-        to = alive[better] + d
-        best[to], near[to] = bits[better], alive[better]
-        d += 1
-    found = np.flatnonzero(best <= max_bits)
-    return found, near[found]
+def least_shared(total, similarity: float):
+    """Shingles that two sets of so many in all share at least at this similarity."""
+    return np.ceil(similarity * total - 1e-9).astype(np.int64)
+
+
+def sketches(docs: DataFrame, width: int, similarity: float) -> DataFrame:
+    """doc_id, f1 and f2 (a digest of the shingle set), n (its size), its parities and its prefix."""
+    shared = docs.sparkSession.sparkContext.broadcast(common_shingles(docs, width))
+
+    def run(batches):
+        for batch in batches:
+            sets = [np.unique(shingle_hashes(t, width)) for t in batch.column(1).cast(pa.binary()).to_pylist()]
+            digests = np.array([[xxhash.xxh64_intdigest(s.tobytes(), seed) for seed in (1, 2)] for s in sets], np.uint64).reshape(-1, 2).view(np.int64)
+            bits = [np.packbits(np.bincount((s >> np.uint64(32) & np.uint64(511)).astype(np.int64), minlength=512) & 1).tobytes() for s in sets]
+            prefix = [in_order(s, shared.value)[: len(s) - int(least_shared(np.float64(len(s)), similarity)) + 1].view(np.int64) for s in sets]
+            columns = [batch.column(0), pa.array(digests[:, 0]), pa.array(digests[:, 1]), pa.array([len(s) for s in sets], pa.int32()), pa.array(bits, pa.binary()), pa.array(prefix, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "f1", "f2", "n", "parity", "prefix"])
+
+    return docs.mapInArrow(run, SKETCH)
 
 
-def _cells(posted: DataFrame, block: int) -> DataFrame:
-    """posted(key, ...) -> cell, ...: a list of up to ``block`` rows is one cell. The rows of a
-    longer one fall into blocks by a hash, and a cell holds the rows of two blocks."""
-    sizes = posted.groupBy("key").count().where(F.col("count") > block)
+def posting_lists(groups: DataFrame) -> DataFrame:
+    """groups(rep, n, prefix) -> key, rep, n, at (the key's place in the set) of lists of two rows or more."""
+    names = ["key", "rep", "n", "at"]
+
+    def run(batches):
+        held, known = None, False  # the last row, and whether the row before has its key
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            rows = pa.Table.from_batches([batch])
+            if held is not None:
+                rows = pa.concat_tables([held, rows])
+            keys = rows.column("key").to_numpy()
+            same = keys[1:] == keys[:-1]
+            keep = np.concatenate(([known], same)) | np.concatenate((same, [False]))
+            yield from rows.slice(0, rows.num_rows - 1).filter(pa.array(keep[:-1])).combine_chunks().to_batches()
+            known = bool(same[-1]) if len(same) else known
+            held = rows.slice(rows.num_rows - 1)
+        if held is not None and known:
+            yield from held.to_batches()
+
+    posted = groups.select("rep", "n", F.posexplode("prefix").alias("at", "key")).select(*names)
+    return posted.repartition("key").sortWithinPartitions("key", "rep").mapInArrow(run, "key long, rep long, n int, at int")
+
+
+def _cells(lists: DataFrame, block: int) -> DataFrame:
+    """lists(key, ...) -> key, pair, ...: a list of up to ``block`` rows is one cell. The rows of
+    a longer one fall into blocks by a hash, and a cell holds the rows of two blocks."""
+    sizes = lists.groupBy("key").count().where(F.col("count") > block)
     long = cut(sizes.select("key", F.ceil(F.col("count") / block).cast("long").alias("blocks")))
     blocks = F.coalesce("blocks", F.lit(1))
     own = F.pmod(F.xxhash64("rep"), blocks)
     others = F.sequence(F.lit(0).cast("long"), blocks - 1)
-    pairs = F.transform(others, lambda j: F.shiftleft(F.least(own, j), 21).bitwiseOR(F.shiftleft(F.greatest(own, j), 42)))
-    spread = join_ids(posted, long, "key", "left").select("key", "rep", "f1", "f2", F.explode(pairs).alias("pair"))
-    return spread.select(F.col("key").cast("long").bitwiseOR(F.col("pair")).alias("cell"), "rep", "f1", "f2")
+    pairs = F.transform(others, lambda j: F.least(own, j).bitwiseOR(F.shiftleft(F.greatest(own, j), 31)))
+    return join_ids(lists, long, "key", "left").select("key", F.explode(pairs).alias("pair"), "rep", "n", "at", "parity", "root")
+
+
+def list_pairs(lists: np.ndarray, n: np.ndarray, at: np.ndarray, parity: np.ndarray, root: np.ndarray, similarity: float, span) -> tuple[np.ndarray, np.ndarray]:
+    """Index pairs of rows of one list and two roots that may be similar. span None: each row with
+    the first of its list; else with the earlier ones but the first, at a distance in [span)."""
+    index = np.arange(len(lists))
+    first = np.searchsorted(lists, lists) if len(lists) else index
+
+    def possible(a, b):
+        other = root[a] != root[b]
+        a, b = a[other], b[other]
+        total = n[a] + n[b]
+        least = least_shared(total.astype(float), similarity / (1 + similarity))
+        most = np.minimum(at[a], at[b]) + 1 + np.minimum(n[a] - at[a], n[b] - at[b]) - 1
+        a, b, spare = a[most >= least], b[most >= least], (total - 2 * least)[most >= least]
+        near = np.bitwise_count(parity[a] ^ parity[b]).sum(axis=1, dtype=np.int64) <= spare
+        return a[near], b[near]
+
+    if span is None:
+        return possible(first, index)
+    found, d, alive = [], span[0], index
+    while span[1] is None or d < span[1]:
+        alive = alive[alive + d < len(lists)]
+        alive = alive[(lists[alive] == lists[alive + d])]
+        if not len(alive):
+            break
+        tried = first[alive] == alive
+        found.append(possible(alive[~tried], alive[~tried] + d))
+        d += 1
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True)) if found else (index[:0], index[:0])
 
 
-def candidate_links(groups: DataFrame, max_bits: int, block: int = 8192, chunk: int = 1 << 16) -> DataFrame:
-    """groups(f1, f2, rep), one row a fingerprint -> candidate links a < b of representatives."""
-    keys = [F.shiftleft(_octet(p), 8).bitwiseOR(_octet(q)).bitwiseOR(F.lit(i << 16)) for i, (p, q) in enumerate(PAIRS)]
-    posted = groups.select(F.explode(F.array(*keys)).alias("key"), "rep", "f1", "f2")
+def candidate_links(cells: DataFrame, similarity: float, span, chunk: int = 1 << 16) -> DataFrame:
+    """Cells of posting lists -> the distinct pairs a < b of representatives of one round."""
 
     def run(batches):
         held, rows = [], 0
 
         def links(parts):
-            keys, reps, f1, f2 = parts
-            b, a = closest(keys, f1, f2, max_bits)
+            key, pair, reps, n, at, parity, root = parts
+            lists = np.cumsum(np.concatenate(([0], (key[1:] != key[:-1]) | (pair[1:] != pair[:-1]))))
+            a, b = list_pairs(lists, n.astype(np.int64), at.astype(np.int64), parity, root, similarity, span)
             return pa.RecordBatch.from_arrays([pa.array(reps[a]), pa.array(reps[b])], ["a", "b"])
 
         for batch in batches:
-            held.append([c.to_numpy(zero_copy_only=False) for c in batch.columns])
+            if not batch.num_rows:
+                continue
+            own = [batch.column(i) for i in range(7)]
+            bits = np.frombuffer(b"".join(own[5].to_pylist()), np.uint64).reshape(-1, 8)
+            held.append([bits if i == 5 else c.to_numpy(zero_copy_only=False) for i, c in enumerate(own)])
             rows += batch.num_rows
             if rows >= chunk:
                 parts = [np.concatenate(x) for x in zip(*held, strict=True)]
-                last = int(np.searchsorted(parts[0], parts[0][-1]))  # its list may go on
-                yield links([x[:last] for x in parts])
+                ends = np.flatnonzero((parts[0][1:] != parts[0][:-1]) | (parts[1][1:] != parts[1][:-1]))
+                last = int(ends[-1]) + 1 if len(ends) else 0  # the last list may go on
+                if last:
+                    yield links([x[:last] for x in parts])
                 held, rows = [[x[last:] for x in parts]], 0
-        if held:
+        if held and len(held[0][0]):
             yield links([np.concatenate(x) for x in zip(*held, strict=True)])
 
-    return _cells(posted, block).repartition("cell").sortWithinPartitions("cell", "rep").mapInArrow(run, "a long, b long").distinct()
+    return cells.repartition("key", "pair").sortWithinPartitions("key", "pair", "rep").mapInArrow(run, "a long, b long").distinct()
 
 
 def shingle_sets(docs: DataFrame, width: int) -> DataFrame:
@@ -147,14 +223,28 @@ def verified(docs: DataFrame, links: DataFrame, width: int, similarity: float) -
     return both.where((union == 0) | (shared >= similarity * union)).select("a", "b")
 
 
-def similar_roots(docs: DataFrame, width: int = 5, similarity: float = 0.8, max_bits: int = 28, block: int = 8192) -> DataFrame:
+def similar_roots(docs: DataFrame, width: int = 5, similarity: float = 0.8, block: int = 8192) -> DataFrame:
     """node, root: documents that aren't the smallest of their similarity component, and that
-    smallest one. Texts of one fingerprint are linked to the first of them and verified too."""
-    rows = cut(sketches(docs))
+    smallest one. Texts of one shingle set are linked to the first of them and verified too."""
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id IS NOT NULL")
+    rows = cut(sketches(docs, width, similarity))
     groups = cut(rows.groupBy("f1", "f2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("size")))
-    same = attach(rows, groups.where("size > 1"), ["f1", "f2"], "size").where("doc_id <> rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
-    links = cut(candidate_links(groups, max_bits, block).unionByName(same).distinct())
-    return components(verified(docs, links, width, similarity))
+    same = attach(rows.select("doc_id", "f1", "f2"), groups.where("size > 1"), ["f1", "f2"], "size").where("doc_id <> rep")
+    reps = rows.join(groups.select(F.col("rep").alias("doc_id"), "f1", "f2"), ["doc_id", "f1", "f2"], "left_semi")
+    reps = reps.withColumnRenamed("doc_id", "rep").dropDuplicates(["rep", "f1", "f2"])
+    lists = cut(posting_lists(reps.where("n > 0").select("rep", "n", "prefix")))
+    ids = cut(lists.select("rep").distinct())
+    lists = cut(lists.join(join_ids(reps.select("rep", "parity"), ids, "rep", "inner"), "rep"))
+    good = cut(verified(docs, cut(same.select(F.col("rep").alias("a"), F.col("doc_id").alias("b")).distinct()), width, similarity))
+    roots = components(good)
+    for span in (None, *ROUNDS):
+        known = roots.select(F.col("node").alias("rep"), "root")
+        cells = _cells(lists.join(known, "rep", "left").withColumn("root", F.coalesce("root", "rep")), block)
+        links = cut(candidate_links(cells, similarity, span))
+        if links.take(1):
+            good = cut(good.unionByName(verified(docs, links, width, similarity)))
+            roots = components(good)
+    return roots
 
 
 def drop_similar(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFrame:

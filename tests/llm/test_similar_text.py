@@ -68,3 +68,21 @@ def test_blocks_and_parts_change_nothing(spark, monkeypatch):
     assert {tuple(r) for r in st.similar_roots(docs).collect()} == want
     monkeypatch.setattr(st, "FAN", 3)
     assert {tuple(r) for r in st.similar_roots(docs, block=8).collect()} == want
+
+
+def test_every_similar_pair_is_found(spark):
+    rng = random.Random(9)
+    words = [f"w{i}" for i in range(3000)]
+    rows = {}
+    for n in (26, 60, 200):
+        for _ in range(20):  # an appended or removed block just above 0.8, and chains of such links
+            base = [rng.choice(words) for _ in range(n)]
+            keep = n - (n - 4) // 5 + (n < 40)
+            for w in (base, base[:keep], base[n - keep :], base + [rng.choice(words) for _ in range((n - 4) // 4)]):
+                rows[len(rows)] = " ".join(w)
+    line = " ".join(words[:12])
+    rows |= {len(rows) + i: line + " " + " ".join(rng.choice(words) for _ in range(rng.randint(3, 30))) for i in range(100)}
+    docs = spark.createDataFrame(list(rows.items()), "doc_id long, text string")
+    want = {(i, r) for i, r in slow_roots(rows).items() if i != r}
+    assert len(want) > 100
+    assert {tuple(r) for r in st.similar_roots(docs).collect()} == want
