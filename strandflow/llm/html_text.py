@@ -24,18 +24,24 @@ from .language_id import chunks
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
-    r"|<(script|style|noscript|template|svg|iframe|object|canvas|title|select|textarea|button|math|audio|video)\b[^>]*>.*?(?:</\1\s*>|\Z)"
     r"|<[!?][^>]*>"
     r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>"
-    r"|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>",
+    r"|<(/?)([a-zA-Z][^\s/>]*)([^>]*+)>",
     re.S | re.I,
 )
+#: Elements whose content isn't shown as text; the first kind runs to the page's end where it isn't closed.
+TO_END = set("script style title textarea iframe noscript".split())
+UNSEEN = TO_END | set("template svg object canvas select button audio video".split())
+_END = {tag: re.compile(rf"</{tag}(?=[\s/>])[^>]*+>", re.I) for tag in UNSEEN}
 _ATTRIBUTE = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _NAME = re.compile(r"[a-z]+")
 
 #: HTML's void and inline elements, and what an open element of a kind ends.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
-INLINE = set("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
+INLINE = set(
+    "a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr "
+    "math semantics annotation maction menclose merror mfenced mfrac mi mmultiscripts mn mo mover mpadded mphantom mroot mrow ms mspace msqrt mstyle msub msubsup msup mtable mtd mtext mtr munder munderover".split()
+)
 SIBLINGS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 SCOPES = set("ul ol dl table body html article section div td th".split())
 
@@ -102,13 +108,22 @@ def leaf_blocks(page: str | None) -> list[Block]:
                 linked += len(piece)
 
     page = page or ""
-    for m in _TOKEN.finditer(page):
+    unclosed: set[str] = set()  # unseen elements that have no further end tag
+    while m := _TOKEN.search(page, at):
         add(page[at : m.start()])
         at = m.end()
-        tag = (m[3] or m[6] or "").lower()
+        tag = (m[2] or m[5] or "").lower()
         if not tag:
             continue
-        closing, attributes = m[2] or m[5], m[4] or m[7] or ""
+        closing, attributes = m[1] or m[4], m[3] or m[6] or ""
+        if tag in UNSEEN and not closing:
+            if tag == "svg" and attributes.endswith("/"):
+                continue
+            end = None if tag in unclosed else _END[tag].search(page, at)
+            if end or tag in TO_END:
+                at = end.end() if end else len(page)
+                continue
+            unclosed.add(tag)
         if tag not in INLINE:
             flush()
         if tag in VOID:

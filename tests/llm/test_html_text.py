@@ -67,3 +67,15 @@ def test_odd_pages(spark, extractor):
     assert got[9].startswith("Quoted attributes are no trouble here.")
     assert html_text.extract_text(frame.limit(0), extractor).collect() == []
     assert html_text.page_blocks(frame.where("page_id = 5"), extractor).where("main").count() == 2
+
+
+def test_unseen_elements_end_where_they_end():
+    def shown(page):
+        return " ".join(b.text for b in html_text.leaf_blocks(page))
+
+    for odd in ('<svg class="i"/>', "<svg class=icon />", '<svg a="x>y"><title>t</title><path d=""/></svg >', "<video-player src=a></video-player>", "<button-group></button-group>",
+                "<select-menu/>", "<button>", "<select>", "<object>", "<svg>", "<button>x</button>", "<video src='a>b'>x</video>", "<title-x>", "<script>if (a<b) '<p>'</script>", "<style>a{}</style x>"):
+        assert shown(f"<h1>a</h1>{odd}<p>Body text</p>") == "a Body text", odd
+    assert shown("<p>Let <math><mi>x</mi><mo>=</mo><mn>2</mn></math> hold.</p>") == "Let x=2 hold."
+    for odd in ("<script>", "<style>", "<title>", "<textarea>", "<iframe>", "<noscript>"):
+        assert shown(f"<h1>a</h1>{odd}<p>Body text</p>") == "a", odd
