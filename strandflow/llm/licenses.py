@@ -1,6 +1,6 @@
 """Licence scan by canonical digests, in DataFrame functions only.
 
-A text is made canonical: lower case, copyright lines and "all rights reserved" out,
+A text is made canonical: lower case, lines that are copyright notices and "all rights reserved" out,
 every run of punctuation and white space one blank, equivalent spellings one spelling.
 The SHA-256 of the whole canonical text, and of each of its lines, is joined to the
 digests of the known licence texts, which are made canonical the same way.
@@ -38,7 +38,9 @@ SPELLINGS = {
 
 #: Characters of punctuation beyond ASCII.
 QUOTES = " ©«®·»‐‑‒–—‘’“”•…"
-COPYRIGHT_LINE = r"(?m)^[^\p{L}\n]*(?:copyright|\(c\)|\x{a9})[^\n]*$"
+#: A line that starts with 'copyright' is wrapped licence text, not a notice, where one of these or nothing follows.
+PROSE = r"notices?|holders?|owners?|and|or|laws?|acts?|licen[sc]es?|statements?|interests?|disclaimers?|protections?|is|are|in|to|of"
+COPYRIGHT_LINE = r"(?m)^[^\p{L}\n]*(?:copyright(?![^\p{L}\p{N}\n(<\[\x{a9}]*(?:(?:" + PROSE + r")(?![\p{L}\p{N}])|$))|\(c\)|\x{a9})[^\n]*$"
 PUNCTUATION = r"[\x00-\x09\x0b-\x2f\x3a-\x60\x7b-\x7f" + QUOTES + r"]+"
 
 _MIT = """MIT License

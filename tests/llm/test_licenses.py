@@ -1,3 +1,5 @@
+import textwrap
+
 from strandflow.llm import licenses as lic
 
 
@@ -27,3 +29,17 @@ def test_variants_of_a_licence_are_found(spark):
 def test_main_path_has_no_python(spark):
     plan = lic.op7_license_scan(spark, "/root/testdata/sf0.001")._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
+
+
+def test_known_texts_are_found_at_any_width(spark):
+    known = spark.createDataFrame(lic.KNOWN, "license string, text string")
+    texts = [(k, t) for k, t in lic.KNOWN if "\n" in t]
+    rows = []
+    for k, t in texts:
+        for width in (20, 50, 60, 66, 70, 72, 76, 80, 100):
+            head = t.replace("<year> <copyright holders>", "2019 A. Author").replace("<year> <owner>", "2019 A. Author")
+            rows.append((k, "\n".join(textwrap.fill(x, width, break_long_words=False) if not x.startswith("Copyright") else x for x in head.split("\n"))))
+    rows += [("MIT", lic.KNOWN[1][1].replace("(c) <year> <copyright holders>", x)) for x in ("The Authors", "2001 Me", "[year] Me", "© Me", "Jane Doe")]
+    docs = spark.createDataFrame([(i, t) for i, (_, t) in enumerate(rows)], "doc_id long, text string")
+    got = {(r.doc_id, r.license) for r in lic.scan_licenses(docs, known).where("unit = 'text'").collect()}
+    assert got == {(i, k) for i, (k, _) in enumerate(rows)}
