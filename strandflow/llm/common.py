@@ -75,6 +75,20 @@ def join_ids(docs: DataFrame, ids: DataFrame, on: str, how: str) -> DataFrame:
     return docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, on, how)
 
 
+def by_row(docs: DataFrame, drop) -> DataFrame:
+    """drop(docs), where drop decides by doc_id, with the rows told apart by more than their ids.
+
+    If ids are null or repeated, each row gets a number of its own in the order of the ids, null
+    ids last. It is written once, so every reading of a row sees the same one."""
+    n, ids = docs.agg(F.count("*"), F.count_distinct("doc_id")).first()
+    if n == ids:
+        return drop(docs)
+    own = f"doc_id_{uuid.uuid4().hex}"
+    rows = docs.orderBy(F.col("doc_id").asc_nulls_last()).withColumnRenamed("doc_id", own)
+    kept = drop(cut(rows.withColumn("doc_id", F.monotonically_increasing_id())))
+    return kept.drop("doc_id").withColumnRenamed(own, "doc_id").select(docs.columns)
+
+
 def labelled_texts(docs: DataFrame, labels: DataFrame, column: str, folds: int, fold: int, per_class: int):
     """At most ``per_class`` texts of each 0/1 label in ``column``, none of the held-out fold, as a
     pandas frame (doc_id, text, label) in doc_id order.

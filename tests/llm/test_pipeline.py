@@ -52,3 +52,15 @@ def test_stages_keep_the_columns_and_empty_tables(spark, tmp_path):
         out = stage(spark, frame, str(tmp_path))
         assert out.columns == frame.columns and out.collect() == []
     assert len(corpus_pipeline.STAGES) == 5 and corpus_pipeline.ORACLE_SQL is None
+
+
+def test_rows_are_told_apart_by_more_than_their_ids(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(40)) for x in "abc")
+    rows = [(3, a), (5, a), (5, b), (5, b), (None, c), (None, c.replace(" ", "  ", 2)), (None, a), (7, b + " tail"), (None, c + " tail"), (8, "")]
+    docs = spark.createDataFrame([(i, t, k) for k, (i, t) in enumerate(rows)], "doc_id long, text string, n long")
+    stages = dict(corpus_pipeline.STAGES)
+    distinct = stages["exact_dedup"](spark, docs, "")
+    assert distinct.columns == docs.columns
+    got = sorted(((r.doc_id or 0, " ".join(r.text.split())) for r in distinct.collect()))
+    assert got == [(0, c), (0, c + " tail"), (3, a), (5, b), (7, b + " tail"), (8, "")]
+    assert sorted((r.doc_id or 0, r.text[:1]) for r in stages["simhash"](spark, distinct, "").collect()) == [(0, "c"), (3, "a"), (5, "b"), (8, "")]
