@@ -4,8 +4,8 @@ Fixed masks of SPAN tokens each ignore some positions. Every window of a benchma
 is hashed under every mask over the positions it keeps; the windows of the training
 documents are hashed alike and joined to them by hash. Two texts that differ by a
 substituted token still meet in the windows whose masks ignore it. Around each hit the
-two texts are aligned without gaps and the best-scoring stretch (+1 a token that agrees,
--3 one that doesn't) is taken, so substitutions inside a passage are bridged. The
+two texts are aligned without gaps and the best-scoring stretches (+1 a token that agrees,
+-3 one that doesn't) are taken, so substitutions inside a passage are bridged. All
 stretches of all alignments of an item add up to the item tokens a document covers.
 
 The benchmark is the stated query set: it is read in slices of at most SLICE_TOKENS
@@ -124,6 +124,22 @@ def best_stretch(same: np.ndarray) -> tuple[int, int]:
     return first, end
 
 
+def stretches(same: np.ndarray, least: int) -> list[tuple[int, int]]:
+    """The best stretch, then those of what lies before and after it, and so on: all of at
+    least ``least`` agreeing tokens."""
+    out, todo = [], [(0, len(same))]
+    while todo:
+        a, b = todo.pop()
+        if b - a < least:
+            continue
+        first, end = best_stretch(same[a:b])
+        if first < end:
+            if int(same[a + first : a + end].sum()) >= least:
+                out.append((a + first, a + end))
+            todo += [(a, a + first), (a + end, b)]
+    return out
+
+
 def overlaps(texts: list[str | None], s: Slice, least_matched: int, least_share: float) -> list[tuple]:
     """(text index, item, matched, item tokens, best, text start, item start, contaminated)."""
     get = s.words.get
@@ -147,9 +163,8 @@ def overlaps(texts: list[str | None], s: Slice, least_matched: int, least_share:
         for shift in own["shift"]:
             a, b = max(0, -shift), min(n, len(body) - shift)
             same = body[a + shift : b + shift] == mine[a:b]
-            first, end = best_stretch(same)
-            got = int(same[first:end].sum())
-            if got >= min(LEAST, n):
+            for first, end in stretches(same, min(LEAST, n)):
+                got = int(same[first:end].sum())
                 covered[a + first : a + end] |= same[first:end]
                 best = max(best, (got, -(a + first + shift), -(a + first)))
         matched = int(covered.sum())

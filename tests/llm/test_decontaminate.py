@@ -68,3 +68,11 @@ def test_empty_tables(spark):
     some = spark.createDataFrame([(1, "a b c d e f g h i j k")], "doc_id long, text string")
     assert dc.find_overlaps(docs, bench).collect() == [] and dc.find_overlaps(some, bench).collect() == []
     assert dc.drop_contaminated(some, bench).count() == 1
+
+
+def test_stretches_of_an_alignment_add_up():
+    item = [f"w{i}" for i in range(21)]
+    copy = item[:9] + ["x", "y", "z"] + item[12:]
+    part = dc.build_slice([4], [" ".join(item)])
+    assert dc.overlaps(["a b " + " ".join(copy) + " c"], part, 10, 0.8) == [(0, 4, 18, 21, 9, 2, 0, True)]
+    assert dc.overlaps([" ".join(item[:9])], part, 10, 0.8) == [(0, 4, 9, 21, 9, 0, 0, False)]
