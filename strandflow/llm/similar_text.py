@@ -36,9 +36,9 @@ from .simhash import shingle_hashes
 #: A document with more links than this has its shingles joined in several parts.
 FAN = 1000
 #: Texts whose shingles are counted: so many, or one in SAMPLE_SHARE where that is more.
-SAMPLE_TEXTS, SAMPLE_SHARE = 20_000, 16
+SAMPLE_TEXTS, SAMPLE_SHARE = 10_000, 16
 #: At most so many shingles that stand in three sampled texts are put last.
-COMMON = 200_000
+COMMON = 50_000
 #: Rows of the same list between the two of a pair, a round; the pairs with the first row come before.
 ROUNDS = [(1, 8), (8, None)]
 
@@ -56,9 +56,13 @@ def common_shingles(docs: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray
 
     share = min(1.0, max(SAMPLE_TEXTS / max(docs.count(), 1), 1 / SAMPLE_SHARE))
     drawn = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int(share * (1 << 20))).select("text")
-    counts = drawn.mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where("n >= 3")
-    rows = counts.orderBy(F.desc("n"), "h").limit(COMMON).toPandas()
-    hashes = rows["h"].to_numpy(np.int64).view(np.uint64)
+    counts = cut(drawn.mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where("n >= 3"))
+    least = 3
+    while counts.where(F.col("n") >= least).count() > COMMON:
+        least *= 2
+    rows = counts.where(F.col("n") >= least).toArrow()
+    hashes, n = rows.column("h").to_numpy().view(np.uint64), rows.column("n").to_numpy()
+    hashes = hashes[np.lexsort((hashes, -n))]
     order = np.argsort(hashes)
     return hashes[order], (len(hashes) - order).astype(np.int64)
 
@@ -230,12 +234,12 @@ def similar_roots(docs: DataFrame, width: int = 5, similarity: float = 0.8, bloc
     rows = cut(sketches(docs, width, similarity))
     groups = cut(rows.groupBy("f1", "f2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("size")))
     same = attach(rows.select("doc_id", "f1", "f2"), groups.where("size > 1"), ["f1", "f2"], "size").where("doc_id <> rep")
-    reps = rows.join(groups.select(F.col("rep").alias("doc_id"), "f1", "f2"), ["doc_id", "f1", "f2"], "left_semi")
-    reps = reps.withColumnRenamed("doc_id", "rep").dropDuplicates(["rep", "f1", "f2"])
+    same = cut(same.select(F.col("rep").alias("a"), F.col("doc_id").alias("b")).distinct())
+    reps = join_ids(rows, cut(same.select(F.col("b").alias("doc_id"))), "doc_id", "left_anti").withColumnRenamed("doc_id", "rep")
     lists = cut(posting_lists(reps.where("n > 0").select("rep", "n", "prefix")))
     ids = cut(lists.select("rep").distinct())
     lists = cut(lists.join(join_ids(reps.select("rep", "parity"), ids, "rep", "inner"), "rep"))
-    good = cut(verified(docs, cut(same.select(F.col("rep").alias("a"), F.col("doc_id").alias("b")).distinct()), width, similarity))
+    good = cut(verified(docs, same, width, similarity))
     roots = components(good)
     for span in (None, *ROUNDS):
         known = roots.select(F.col("node").alias("rep"), "root")
