@@ -22,11 +22,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir where the
-    session has one, else (tests on one machine) a temporary folder set here."""
+    session has one, else, on one machine only, a temporary folder set here."""
     sc = spark.sparkContext
     path = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
-    if not path:
-        path = tempfile.mkdtemp(prefix="strandflow-")
+    if not path and not sc.master.split("[")[0] == "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    path = path or tempfile.mkdtemp(prefix="strandflow-")
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(path)
     return path
@@ -79,12 +80,16 @@ def by_row(docs: DataFrame, drop) -> DataFrame:
     """drop(docs), where drop decides by doc_id, with the rows told apart by more than their ids.
 
     If ids are null or repeated, each row gets a number of its own in the order of the ids, null
-    ids last. It is written once, so every reading of a row sees the same one."""
+    ids last; rows of one id follow in the order of their texts' hashes and then of their places in
+    the input, so an id that a third of the rows share is numbered by many tasks. It is written
+    once, so every reading of a row sees the same one."""
     n, ids = docs.agg(F.count("*"), F.count_distinct("doc_id")).first()
     if n == ids:
         return drop(docs)
     own = f"doc_id_{uuid.uuid4().hex}"
-    rows = docs.orderBy(F.col("doc_id").asc_nulls_last()).withColumnRenamed("doc_id", own)
+    place = f"place_{uuid.uuid4().hex}"
+    rows = docs.withColumn(place, F.monotonically_increasing_id())
+    rows = rows.orderBy(F.col("doc_id").asc_nulls_last(), F.xxhash64("text"), place).drop(place).withColumnRenamed("doc_id", own)
     kept = drop(cut(rows.withColumn("doc_id", F.monotonically_increasing_id())))
     return kept.drop("doc_id").withColumnRenamed(own, "doc_id").select(docs.columns)
 
@@ -95,7 +100,7 @@ def labelled_texts(docs: DataFrame, labels: DataFrame, column: str, folds: int,
 
     The sample is drawn by a hash of the id from the labels alone; only its ids, at most
     1.25 * per_class of a class, are broadcast to the documents. Of several labels of one
-    document the smallest counts."""
+    document the smallest counts, and so does the smallest of several texts of one id."""
     known = labels.where(F.col(column).isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"), folds, fold))
     known = known.groupBy("doc_id").agg(F.min(column).cast("int").alias("label"))
     counts = {r["label"]: r["count"] for r in known.groupBy("label").count().collect()}
@@ -105,7 +110,7 @@ def labelled_texts(docs: DataFrame, labels: DataFrame, column: str, folds: int,
     ticket = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / F.lit(float(1 << 30))
     drawn = known.where(ticket < share).select(F.col("doc_id").alias("drawn_id"), "label")
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(drawn), F.col("doc_id") == F.col("drawn_id"))
-    found = rows.select("doc_id", "text", "label").toPandas().sort_values("doc_id").drop_duplicates("doc_id")
+    found = rows.groupBy("doc_id", "label").agg(F.min("text").alias("text")).select("doc_id", "text", "label").toPandas().sort_values("doc_id")
     return found.groupby("label", sort=True).head(per_class)
 
 

@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACES, attach, cut, join_ids, table
+from .common import SPACES, attach, by_row, cut, join_ids, table
 
 #: Distinct digests a bucket, by which the number of buckets is chosen.
 BUCKET_ROWS = 50_000
@@ -184,9 +184,15 @@ def half(doc_id):
 
 
 def drop_copies(docs: DataFrame) -> DataFrame:
-    """docs without the rows that repeat a text of a smaller doc_id; rows without an id stay."""
-    gone = cut(dedup_batch(docs, half(F.col("doc_id"))).where("not kept").select("doc_id").distinct())
-    return join_ids(docs, gone, "doc_id", "left_anti").select(docs.columns)
+    """docs with one row of each text, whatever the ids: of equal texts the row with the smallest
+    doc_id stays, a row without an id only where no equal text has one, and of rows that tie
+    one stays. Null and empty texts are equal. An empty table gives no rows."""
+
+    def drop(rows: DataFrame) -> DataFrame:
+        gone = cut(dedup_batch(rows, half(F.col("doc_id"))).where("not kept").select("doc_id").distinct())
+        return join_ids(rows, gone, "doc_id", "left_anti").select(rows.columns)
+
+    return by_row(docs, drop)
 
 
 def op2_exact_dedup(spark, sf_dir: str) -> DataFrame:

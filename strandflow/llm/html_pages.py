@@ -61,7 +61,7 @@ def _around(rng, kind):
         return rng.choice([f"<form>{inner}</form>", _box(rng, ["newsletter", "subscribe", "signup", "search", "login"], f"<form>{inner}</form>"), _box(rng, ["newsletter", "subscribe"], f"<p>{_prose(rng, False, 2)}</p>", ("div",))])
     if kind == "comments":
         each = "".join(f'<{t} class="comment"><p>{_prose(rng, False, 4)}</p></{t}>' for t in [rng.choice(["div", "li", "article"])] * rng.randint(1, 4))
-        return _box(rng, ["comments", "comment-list", "discussion", "replies", "respond"], f"<h3>{_sentence(rng, 1, 3)}</h3>" * (rng.random() < 0.5) + each, ("div", "section", "ol"))
+        return _box(rng, ["comments", "comment-list", "comments-area", "discussion", "replies", "respond", "feedback", "reader-feedback", "reviews"], f"<h3>{_sentence(rng, 1, 3)}</h3>" * (rng.random() < 0.5) + each, ("div", "section", "ol"))
     inner = rng.choice([_list(rng, 3), f"<p>{_sentence(rng, 1, 5)}</p>"])
     return _box(rng, ["share", "social", "breadcrumb", "breadcrumbs", "pagination", "tags", "byline", "meta", "toolbar"], inner, ("div", "ul", "section"))
 
@@ -106,10 +106,13 @@ def _article(rng):
         f"<article>{body}</article>", f"<article>{body}</article>", f"<main><article>{body}</article></main>", f"<main>{body}</main>",
         f'<div class="{rng.choice(["article", "post", "entry-content", "content", "story", "main-content"])}">{body}</div>',
         f'<div id="{rng.choice(["content", "main", "article-body", "post"])}">{body}</div>', f"<div>{body}</div>",
+        body, f'<div class="{_word(rng)}">{body}</div>', f'<div class="{_word(rng)}"><div id="{_word(rng)}">{body}</div></div>',
     ])
 
 
 def labelled_page(rng: random.Random) -> str:
+    if rng.random() < 0.03:  # text without any markup, or paragraphs alone
+        return rng.choice([_prose(rng, True, 12), "".join(f"<p>{_prose(rng, True)}</p>" for _ in range(rng.randint(1, 5)))])
     before = [_around(rng, k) for k in rng.sample(["menu", "header", "notice", "ad", "side", "small", "form"], rng.randint(0, 4))]
     after = [_around(rng, k) for k in rng.sample(["comments", "side", "ad", "form", "small", "notice", "menu"], rng.randint(0, 3))]
     if rng.random() < 0.9:

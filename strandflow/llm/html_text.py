@@ -44,13 +44,14 @@ INLINE = set(
 )
 SIBLINGS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 SCOPES = set("ul ol dl table body html article section div td th".split())
+LANDMARKS = SCOPES | set(SIBLINGS) | {"p"}
 
 #: Names that ancestors' tags, classes, ids and roles are looked up in.
 KNOWN_TAGS = set("nav header footer aside form article main section ul ol li dl table td blockquote pre figure figcaption h1 h2 h3 h4 h5 h6 p div body head menu address details dialog fieldset".split())
 KNOWN_NAMES = set(
     "nav navigation navbar menu menubar header masthead banner top footer bottom contentinfo sidebar side aside complementary "
     "ad ads advert adverts advertisement sponsor sponsored promo promotion cookie cookies consent gdpr notice alert warning message modal popup overlay "
-    "comment comments reply replies discussion disqus respond share sharing social follow related recommended recommendations more trending popular "
+    "comment comments commentary feedback reader readers review reviews opinions forum reply replies discussion disqus respond share sharing social follow related recommended recommendations more trending popular "
     "newsletter subscribe subscription signup login register form search breadcrumb breadcrumbs pagination pager paging tags tag meta byline author widget "
     "toolbar skip copyright legal article content contents post entry body main story text page container wrapper column col row inner paragraph caption".split()
 )
@@ -80,7 +81,8 @@ def leaf_blocks(page: str | None) -> list[Block]:
     """The page's leaf blocks in order; text as shown, with white space collapsed."""
     out: list[Block] = []
     empty: frozenset = frozenset()
-    stack: list[tuple[str, frozenset, frozenset]] = []
+    stack: list[tuple[str, frozenset, frozenset, str]] = []  # tag, names above, names near, innermost block tag
+    marks: list[int] = []  # places in the stack of the tags in LANDMARKS
     open_tags: dict[str, int] = {}
     parts: list[str] = []
     linked = total = at = 0
@@ -90,14 +92,16 @@ def leaf_blocks(page: str | None) -> list[Block]:
         if parts:
             text = " ".join(html.unescape("".join(parts)).split())
             if text:
-                tag = next((t for t, *_ in reversed(stack) if t not in INLINE), "")
-                out.append(Block(text, tag, *(stack[-1][1:] if stack else (empty, empty)), linked / max(total, 1)))
+                above, near, tag = stack[-1][1:] if stack else (empty, empty, "")
+                out.append(Block(text, tag, above, near, linked / max(total, 1)))
             parts.clear()
         linked = total = 0
 
     def pop():
         open_tags[stack[-1][0]] -= 1
         stack.pop()
+        if marks and marks[-1] == len(stack):
+            marks.pop()
 
     def add(piece: str):
         nonlocal linked, total
@@ -108,10 +112,13 @@ def leaf_blocks(page: str | None) -> list[Block]:
                 linked += len(piece)
 
     page = page or ""
+    last = page.rfind(">")  # no tag ends beyond it
+    if (tail := page.find("<!--", last + 1)) >= 0:
+        page = page[:tail]
     unclosed: set[str] = set()  # unseen elements that have no further end tag
-    while m := _TOKEN.search(page, at):
+    while at <= last and (m := _TOKEN.search(page, at, last + 1)):
         add(page[at : m.start()])
-        at = m.end()
+        at = m.end() if not m[0].startswith("<!--") or m[0].endswith("-->") else len(page)
         tag = (m[2] or m[5] or "").lower()
         if not tag:
             continue
@@ -136,19 +143,21 @@ def leaf_blocks(page: str | None) -> list[Block]:
             continue
         if tag in SIBLINGS or tag not in INLINE:
             ends = SIBLINGS.get(tag, set()) | {"p"}
-            depth = len(stack) - 1
-            while depth >= 0 and stack[depth][0] not in ends and stack[depth][0] not in SCOPES:
-                depth -= 1
-            if depth >= 0 and stack[depth][0] in ends:
+            nth = len(marks) - 1
+            while nth >= 0 and stack[marks[nth]][0] not in ends and stack[marks[nth]][0] not in SCOPES:
+                nth -= 1
+            if nth >= 0 and stack[depth := marks[nth]][0] in ends:
                 while len(stack) > depth:
                     pop()
         if not attributes.endswith("/") or tag not in INLINE:
-            above, near = stack[-1][1:] if stack else (empty, empty)
+            above, near, block = stack[-1][1:] if stack else (empty, empty, "")
             if own := _names(tag, attributes):
                 if tag in STRUCTURE or len(own) > (tag in KNOWN_TAGS):
                     near = frozenset(f"near={x}" for x in own)
                 above = above | own
-            stack.append((tag, above, near))
+            if tag in LANDMARKS:
+                marks.append(len(stack))
+            stack.append((tag, above, near, block if tag in INLINE else tag))
             open_tags[tag] = open_tags.get(tag, 0) + 1
     add(page[at:])
     flush()

@@ -7,9 +7,9 @@ documents; label-to-label transitions are learned with them. Marginal label
 probabilities come from forward-backward over chains of CHAIN words; a document's
 language is the label with the largest mean marginal over its words that have a letter.
 
-Training uses a bounded sample (``docs_per_language`` documents a language, chosen by a
-hash of the id) and spans spliced in from other languages, so that transitions see
-switches. Scoring reads every text whole.
+Training uses a bounded sample of documents, chosen by a hash, of every language that has
+a label, and spans spliced in from other languages, so that transitions see switches.
+Scoring reads every text whole.
 """
 
 from __future__ import annotations
@@ -134,7 +134,8 @@ def marginals(texts: list[str], model: Model) -> tuple[np.ndarray, np.ndarray, n
 
 
 def predict(texts: list[str], model: Model) -> tuple[list[str], np.ndarray]:
-    """Language and score of each text; a text without a letter gets UNKNOWN and 0."""
+    """Language and score of each text; a text without a letter gets UNKNOWN and 0. Of
+    languages that tie, the first in alphabetical order counts."""
     probs, letters, counts = marginals(texts, model)
     owner = np.repeat(np.arange(len(texts)), counts)
     sums = np.stack([np.bincount(owner, p * letters, minlength=len(texts)) for p in probs.T.astype(np.float64)], axis=1)
@@ -206,22 +207,25 @@ def train(texts: list[str], labels: list[str], epochs: int = 4, rate: float = 0.
     return model
 
 
-def labelled_sample(docs: DataFrame, docs_per_language: int, max_languages: int) -> tuple[list[str], list[str]]:
-    """At most so many labelled texts a language, chosen by a hash of the id, for the commonest languages."""
-    known = docs.where("lang IS NOT NULL AND text IS NOT NULL")
-    counts = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_languages).collect()
-    ticket = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    share = F.lit(0.0)
-    for r in counts:
-        share = F.when(F.col("lang") == r["lang"], F.lit(min(1.0, 1.2 * docs_per_language / r["count"]))).otherwise(share)
-    rows = known.where(ticket < share).select("doc_id", "lang", "text").toPandas().sort_values("doc_id")
-    rows = rows.groupby("lang").head(docs_per_language)
+def labelled_sample(docs: DataFrame, docs_per_language: int, docs_in_all: int) -> tuple[list[str], list[str]]:
+    """Labelled texts of every language: at most docs_per_language each and, where there are so
+    many languages that this is more than docs_in_all, an equal share of that (20 at least).
+    The sample is drawn by a hash of id and text; rows that repeat both count once."""
+    known = docs.where("lang IS NOT NULL AND text IS NOT NULL").select("doc_id", "lang", "text")
+    counts = known.groupBy("lang").count()
+    languages = max(1, counts.count())
+    each = min(docs_per_language, max(20, docs_in_all // languages))
+    ticket = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    drawn = known.join(F.broadcast(counts), "lang").where(ticket < F.least(F.lit(1.0), F.lit(1.2 * each) / F.col("count")))
+    rows = drawn.select("doc_id", "lang", "text").distinct().toPandas().sort_values(["doc_id", "text"])
+    rows = rows.groupby("lang").head(each)
     return rows["text"].tolist(), rows["lang"].tolist()
 
 
-def fit(docs: DataFrame, docs_per_language: int = 200, max_languages: int = 100) -> Model:
-    """docs: doc_id, text, lang; rows without a text or language teach nothing."""
-    return train(*labelled_sample(docs, docs_per_language, max_languages))
+def fit(docs: DataFrame, docs_per_language: int = 200, docs_in_all: int = 4000) -> Model:
+    """docs: doc_id, text, lang; rows without a text or language teach nothing, all others may:
+    every language is learned, from a sample of bounded size."""
+    return train(*labelled_sample(docs, docs_per_language, docs_in_all))
 
 
 def chunks(texts: list, size: int = CHUNK_CHARS):
@@ -284,11 +288,14 @@ def learn(docs: DataFrame) -> Model:
     return fit(docs.where(~held_out(F.col("doc_id"), FOLDS, FOLD)))
 
 
-def keep_identified(docs: DataFrame, least: float = 0.3) -> DataFrame:
-    """docs without those of no language or of a mean word posterior below ``least``.
+def keep_identified(docs: DataFrame, least: float = 0.05) -> DataFrame:
+    """docs without those of no language or with a mean word posterior so near to chance (one
+    in the number of learned languages) that it goes less than the share ``least`` of the way
+    from there to certainty. With one language or none, only texts without a letter go.
 
     The model is learned from docs itself; each text is scored where it is read, so the
-    rows are not joined or shuffled."""
+    rows are not joined or shuffled. Null and empty texts go, rows that repeat or lack an id
+    are judged each, the first of languages that tie counts, an empty table gives no rows."""
     model = docs.sparkSession.sparkContext.broadcast(learn(docs))
 
     def run(batches):
@@ -299,7 +306,8 @@ def keep_identified(docs: DataFrame, least: float = 0.3) -> DataFrame:
                 own = texts[part]
                 if m.languages:
                     names, score = predict(own, m)
-                    keep = np.array([n != UNKNOWN for n in names], bool) & (score >= least)
+                    chance = 1 / len(m.languages)
+                    keep = np.array([n != UNKNOWN for n in names], bool) & (score >= chance + least * (1 - chance))
                 else:
                     keep = np.array([bool(LETTER.search(t)) for t in own], bool)
                 yield batch.slice(part.start, part.stop - part.start).filter(pa.array(keep))

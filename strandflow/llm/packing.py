@@ -89,7 +89,8 @@ def pack(rows: DataFrame, budget: int = 16_384, n_buckets: int = 16) -> DataFram
         bucket, padded = F.when(fits, F.lit(k)).otherwise(bucket), F.when(fits, F.lit(tops[k])).otherwise(padded)
     shards = rows.count() // SHARD_ROWS + 1
     placed = rows.select("doc_id", "n_tokens", bucket.cast("int").alias("bucket"), padded.cast("long").alias("padded_to"))
-    placed = placed.withColumn("shard", F.pmod(F.xxhash64("doc_id"), F.lit(shards)))
+    unnamed = F.when(F.col("doc_id").isNull(), F.spark_partition_id())  # rows without an id are dealt by where they lie
+    placed = placed.withColumn("shard", F.pmod(F.xxhash64("doc_id", "n_tokens", unnamed), F.lit(shards)))
     sizes = placed.groupBy("bucket", "shard").agg(F.count("*").alias("rows"))
     before = Window.partitionBy("bucket").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     offsets = cut(sizes.select("bucket", "shard", F.coalesce(F.sum("rows").over(before), F.lit(0)).alias("offset")))
@@ -104,6 +105,9 @@ def pack(rows: DataFrame, budget: int = 16_384, n_buckets: int = 16) -> DataFram
 
 
 def pack_documents(docs: DataFrame, budget: int = 16_384, n_buckets: int = 16) -> DataFrame:
+    """One row per document as in pack(). Null, empty and blank texts have length 0, rows that
+    repeat or lack an id take a slot each, texts beyond the budget are batches of one, and an
+    empty table gives no rows."""
     return pack(cut(word_lengths(docs)), budget, n_buckets)
 
 

@@ -90,7 +90,8 @@ def fit_space(texts: list[str], labels: list[int], dimensions: int = 64, k: int
 
 def vote(texts: list[str | None], space: Space, block: int = 512) -> np.ndarray:
     """Share of the similarity-weighted votes for label 1; the labels' mean where no
-    neighbour is similar, 0.5 where nothing was learned."""
+    neighbour is similar, 0.5 where nothing was learned. Of neighbours that tie at the k-th
+    place the ones learned first vote, so equal texts get equal scores."""
     out = np.full(len(texts), float(space.labels.mean()) if len(space.labels) else 0.5)
     if not len(space.labels):
         return out
@@ -99,7 +100,10 @@ def vote(texts: list[str | None], space: Space, block: int = 512) -> np.ndarray:
         raw = [(t or "").encode("utf-8", "surrogatepass") for t in texts[s : s + block]]
         similar = _unit(weighted(raw, space.idf) @ space.axes) @ space.vectors.T
         near = np.argpartition(-similar, k - 1, axis=1)[:, :k]
-        weight = np.maximum(np.take_along_axis(similar, near, axis=1), 0) ** 2
+        least = np.take_along_axis(similar, near, axis=1).min(axis=1)
+        for i in np.flatnonzero((similar >= least[:, None]).sum(axis=1) > k):  # ties at the k-th place
+            near[i] = np.argsort(-similar[i], kind="stable")[:k]
+        weight = np.maximum(np.take_along_axis(similar, near, axis=1), 0)
         total = weight.sum(axis=1)
         votes = (weight * space.labels[near]).sum(axis=1) / np.maximum(total, 1e-9)
         out[s : s + block] = np.where(total > 1e-9, votes, out[s : s + block])

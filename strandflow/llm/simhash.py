@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import attach, cut, join_ids, table
+from .common import attach, by_row, cut, join_ids, table
 from .components import components
 
 #: A-Z to a-z on UTF-8 bytes.
@@ -240,9 +240,14 @@ def simhash_groups(docs: DataFrame, width: int = 3, max_bits: int = 3, split_abo
 
 
 def drop_near_copies(docs: DataFrame, width: int = 5, max_bits: int = 3) -> DataFrame:
-    """docs without the rows whose component has a smaller doc_id."""
-    gone = cut(simhash_groups(docs, width, max_bits).where("doc_id <> component_id").select("doc_id").distinct())
-    return join_ids(docs, gone, "doc_id", "left_anti").select(docs.columns)
+    """docs with one row of each component of fingerprints, that of the smallest doc_id. Rows are
+    told apart by more than their ids; those without an id come last."""
+
+    def drop(rows: DataFrame) -> DataFrame:
+        gone = cut(simhash_groups(rows, width, max_bits).where("doc_id <> component_id").select("doc_id").distinct())
+        return join_ids(rows, gone, "doc_id", "left_anti").select(rows.columns)
+
+    return by_row(docs, drop)
 
 
 def op6_simhash(spark, sf_dir: str) -> DataFrame:

@@ -1,7 +1,9 @@
-"""Near-duplicates at a stated shingle similarity, by exact prefix filtering.
+"""Near-duplicates at a stated shingle similarity: SimHash first, then exact prefix filtering.
 
-Three of 64 bits only reach texts that are all but equal, so for a similarity of 0.8 this
-stage compares sets of word shingles. Every text's distinct shingle hashes are put in one
+The byte-position index of simhash.py links the fingerprints that differ in at most three
+bits, and the texts of those links are verified. Three of 64 bits only reach texts that are
+all but equal (a pair just above 0.8 differs in about nine), so the pairs that are left are
+found on the sets of word shingles themselves. Every text's distinct shingle hashes are put in one
 order for all texts, common shingles last. Two sets of Jaccard similarity t share one of
 the first n - ceil(t n) + 1 of each, so each text is posted under those only and every
 similar pair meets in a posting list, wherever its edits are. Which shingles are common is
@@ -29,9 +31,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import attach, cut, join_ids
+from .common import attach, by_row, cut, join_ids
 from .components import components
-from .simhash import shingle_hashes
+from .simhash import majority_bits, near_links, shingle_hashes
 
 #: A document with more links than this has its shingles joined in several parts.
 FAN = 1000
@@ -42,7 +44,7 @@ COMMON = 50_000
 #: Rows of the same list between the two of a pair, a round; the pairs with the first row come before.
 ROUNDS = [(1, 8), (8, None)]
 
-SKETCH = "doc_id long, f1 long, f2 long, n int, parity binary, prefix array<long>"
+SKETCH = "doc_id long, fp long, f1 long, f2 long, n int, parity binary, prefix array<long>"
 
 
 def common_shingles(docs: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -83,17 +85,19 @@ def least_shared(total, similarity: float):
 
 
 def sketches(docs: DataFrame, width: int, similarity: float) -> DataFrame:
-    """doc_id, f1 and f2 (a digest of the shingle set), n (its size), its parities and its prefix."""
+    """doc_id, fp (the SimHash), f1 and f2 (a digest of the shingle set), n (its size), its parities and its prefix."""
     shared = docs.sparkSession.sparkContext.broadcast(common_shingles(docs, width))
 
     def run(batches):
         for batch in batches:
-            sets = [np.unique(shingle_hashes(t, width)) for t in batch.column(1).cast(pa.binary()).to_pylist()]
+            parts = [shingle_hashes(t, width) for t in batch.column(1).cast(pa.binary()).to_pylist()]
+            fp = majority_bits(np.concatenate(parts) if parts else np.empty(0, np.uint64), np.array([len(p) for p in parts], np.int64))
+            sets = [np.unique(p) for p in parts]
             digests = np.array([[xxhash.xxh64_intdigest(s.tobytes(), seed) for seed in (1, 2)] for s in sets], np.uint64).reshape(-1, 2).view(np.int64)
             bits = [np.packbits(np.bincount((s >> np.uint64(32) & np.uint64(511)).astype(np.int64), minlength=512) & 1).tobytes() for s in sets]
             prefix = [in_order(s, shared.value)[: len(s) - int(least_shared(np.float64(len(s)), similarity)) + 1].view(np.int64) for s in sets]
-            columns = [batch.column(0), pa.array(digests[:, 0]), pa.array(digests[:, 1]), pa.array([len(s) for s in sets], pa.int32()), pa.array(bits, pa.binary()), pa.array(prefix, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "f1", "f2", "n", "parity", "prefix"])
+            columns = [batch.column(0), pa.array(fp.view(np.int64)), pa.array(digests[:, 0]), pa.array(digests[:, 1]), pa.array([len(s) for s in sets], pa.int32()), pa.array(bits, pa.binary()), pa.array(prefix, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "fp", "f1", "f2", "n", "parity", "prefix"])
 
     return docs.mapInArrow(run, SKETCH)
 
@@ -227,9 +231,18 @@ def verified(docs: DataFrame, links: DataFrame, width: int, similarity: float) -
     return both.where((union == 0) | (shared >= similarity * union)).select("a", "b")
 
 
+def fingerprint_links(reps: DataFrame) -> DataFrame:
+    """a, b: rows of one fingerprint, linked to the first of them, and the fingerprints that the
+    byte-position index of simhash.py links."""
+    groups = cut(reps.groupBy("fp").agg(F.min("rep").alias("first"), F.count("*").alias("size")))
+    equal = attach(reps.select("rep", "fp"), groups.where("size > 1"), "fp", "size").where("rep <> first")
+    near = near_links(groups.select("fp", F.col("first").alias("rep")))
+    return cut(equal.select(F.col("first").alias("a"), F.col("rep").alias("b")).unionByName(near.select("a", "b")).distinct())
+
+
 def similar_roots(docs: DataFrame, width: int = 5, similarity: float = 0.8, block: int = 8192) -> DataFrame:
     """node, root: documents that aren't the smallest of their similarity component, and that
-    smallest one. Texts of one shingle set are linked to the first of them and verified too."""
+    smallest one. Texts of one shingle set are linked to the first of them."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id IS NOT NULL")
     rows = cut(sketches(docs, width, similarity))
     groups = cut(rows.groupBy("f1", "f2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("size")))
@@ -239,7 +252,7 @@ def similar_roots(docs: DataFrame, width: int = 5, similarity: float = 0.8, bloc
     lists = cut(posting_lists(reps.where("n > 0").select("rep", "n", "prefix")))
     ids = cut(lists.select("rep").distinct())
     lists = cut(lists.join(join_ids(reps.select("rep", "parity"), ids, "rep", "inner"), "rep"))
-    good = cut(verified(docs, same, width, similarity))
+    good = cut(same.unionByName(verified(docs, fingerprint_links(reps.where("n > 0").select("rep", "fp")), width, similarity)))
     roots = components(good)
     for span in (None, *ROUNDS):
         known = roots.select(F.col("node").alias("rep"), "root")
@@ -252,8 +265,13 @@ def similar_roots(docs: DataFrame, width: int = 5, similarity: float = 0.8, bloc
 
 
 def drop_similar(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFrame:
-    """docs with one document, that of the smallest id, of each similarity component; rows
-    without an id stay, and so do rows that repeat the id that stays. Texts without a word
-    are alike. A text of fewer words than a shingle is its own shingle."""
-    gone = cut(similar_roots(docs, width, similarity).select(F.col("node").alias("doc_id")).distinct())
-    return join_ids(docs, gone, "doc_id", "left_anti").select(docs.columns)
+    """docs with one row, that of the smallest id, of each similarity component. Rows are told
+    apart by more than their ids; those without an id come last. Null, empty and blank texts
+    are alike. A text of fewer words than a shingle is its own shingle. An empty table gives
+    no rows."""
+
+    def drop(rows: DataFrame) -> DataFrame:
+        gone = cut(similar_roots(rows, width, similarity).select(F.col("node").alias("doc_id")).distinct())
+        return join_ids(rows, gone, "doc_id", "left_anti").select(rows.columns)
+
+    return by_row(docs, drop)

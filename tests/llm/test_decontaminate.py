@@ -70,6 +70,41 @@ def test_empty_tables(spark):
     assert dc.drop_contaminated(some, bench).count() == 1
 
 
+def slow_overlap(text, item):
+    """Covered item tokens and the best stretch over all gapless alignments."""
+    a, b, covered, best = dc.tokens(text), dc.tokens(item), set(), (0, 0, 0)
+    for shift in range(1 - len(b), len(a)):
+        low = max(0, -shift)
+        same = np.array([a[j + shift] == b[j] for j in range(low, min(len(b), len(a) - shift))], bool)
+        for first, end in dc.stretches(same, min(dc.LEAST, len(b))):
+            covered |= {low + first + k for k in range(end - first) if same[first + k]}
+            best = max(best, (int(same[first:end].sum()), -(low + first + shift), -(low + first)))
+    return len(covered), best[0], -best[1], -best[2]
+
+
+def test_repeated_tokens_match_brute_force(monkeypatch):
+    monkeypatch.setattr(dc, "PAIRS", 300)
+    monkeypatch.setattr(dc, "TRIED", 5)
+    rng = random.Random(4)
+    for _ in range(60):
+        words = "abc"[: rng.randint(1, 3)]
+        item, text = (" ".join(rng.choice(words) for _ in range(rng.randint(8, n))) for n in (40, 400))
+        got = dc.overlaps([None, "q", text], dc.build_slice([7], [item]), 10, 0.8)
+        want = slow_overlap(text, item)
+        assert [(r[0], r[2], *r[4:7]) for r in got] == ([(2, *want)] if want[1] else [])
+
+
+def test_a_run_of_one_token_takes_little_memory():
+    import tracemalloc
+
+    part = dc.build_slice([1, 2], ["a " * 1000, "b " * 300])
+    tracemalloc.start()
+    got = dc.overlaps(["a " * 100_000, "b " * 16_000], part, 10, 0.8)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert got == [(0, 1, 1000, 1000, 1000, 0, 0, True), (1, 2, 300, 300, 300, 0, 0, True)] and peak < 250e6
+
+
 def test_stretches_of_an_alignment_add_up():
     item = [f"w{i}" for i in range(21)]
     copy = item[:9] + ["x", "y", "z"] + item[12:]

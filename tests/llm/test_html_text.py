@@ -1,5 +1,6 @@
 import html as h
 import re
+import time
 from itertools import product
 
 import numpy as np
@@ -69,6 +70,29 @@ def test_odd_pages(spark, extractor):
     assert html_text.page_blocks(frame.where("page_id = 5"), extractor).where("main").count() == 2
 
 
+def test_layouts_the_generator_does_not_make(extractor):
+    lines = [f"Sentence number {i} tells a bit more about the harbour and the old town." for i in range(6)]
+    body, want = "".join(f"<p>{x}</p>" for x in lines), " ".join(lines)
+    for page in (
+        f"<body>{body}</body>", f"<div class='mw-parser-output'>{body}</div>", want, want.replace(". ", ".\n"), f"{body}<footer>Imprint</footer>",
+        f"<body><article>{body}<div class='comments-area'><p>I like this text very much, thanks.</p></div></article></body>",
+        f"<body><article>{body}<div id='reader-feedback'><p>I like this text very much, thanks.</p></div></article></body>",
+        f"<div id='mw-content-text'><div class='mw-parser-output'>{body}</div></div><div id='mw-navigation'><ul><li><a href=x>Main page</a></li></ul></div>",
+        f"<body><div class='top-bar'><a href=/>Home</a> <a href=/x>News</a></div><div class='story-wrap'>{body}</div><div class='bottom'><p>All rights reserved, 2020 The Paper.</p></div></body>",
+    ):
+        assert extractor.text(page) == want, page[:60]
+
+
+def test_long_malformed_pages_take_linear_time(extractor):
+    odd = ["<a " * 350_000, "<span>" * 80_000 + "<p>x</p>" * 80_000, "<p><div>" + "<span>" * 60_000 + "<p>x</p>" * 60_000, "<a \"'>" * 150_000,
+           "<span>" * 80_000 + "x<br>" * 80_000, "<!--" * 250_000, "<svg>" * 200_000, "<x-a>" * 80_000 + "<p>y</p>" * 80_000, "<b '" * 250_000 + ">"]
+    for page in odd:
+        began = time.process_time()
+        html_text.leaf_blocks(page)
+        assert time.process_time() - began < 8, page[:20]
+    assert extractor.text("<article><p>One line of text stands here.</p><!-- and <p>no more</p>") == "One line of text stands here."
+
+
 def test_unseen_elements_end_where_they_end():
     def shown(page):
         return " ".join(b.text for b in html_text.leaf_blocks(page))

@@ -60,6 +60,22 @@ def test_odd_texts_and_keys(spark):
     assert {r.lang_pred for r in li.identify(docs, li.fit(empty)).collect()} == {"und"}
 
 
+def test_every_language_is_learned(spark):
+    rng = np.random.default_rng(2)
+    letters = [chr(c) for c in range(0x561, 0x581)]
+    names = [f"l{k:03}" for k in range(130)]
+    speech = {n: ["".join(rng.choice(letters, 6)) for _ in range(8)] for n in names}
+    rows = [(i, " ".join(rng.choice(speech[n], 12)), n) for i, n in enumerate(n for n in names for _ in range(8))]
+    docs = spark.createDataFrame(rows + [(None, rows[0][1], names[0])] * 50, "doc_id long, text string, lang string")
+    model = li.fit(docs)
+    assert model.languages == names
+    got = {r.doc_id: r.lang_pred for r in li.identify(docs.where("doc_id IS NOT NULL"), model).collect()}
+    assert np.mean([got[i] == n for i, _, n in rows]) > 0.97
+    texts, langs = li.labelled_sample(docs, 5, 10_000)
+    assert set(langs) == set(names) and max(map(langs.count, names)) <= 5
+    assert max(map(li.labelled_sample(docs, 200, 100)[1].count, names)) <= 20
+
+
 def test_long_words_score_whole():
     data = sample(30)
     model = li.train([t for t, _ in data], [x for _, x in data])

@@ -1,5 +1,8 @@
+import os
 import textwrap
 
+import pytest
+
 from strandflow.llm import licenses as lic
 
 
@@ -42,4 +45,29 @@ def test_known_texts_are_found_at_any_width(spark):
     rows += [("MIT", lic.KNOWN[1][1].replace("(c) <year> <copyright holders>", x)) for x in ("The Authors", "2001 Me", "[year] Me", "© Me", "Jane Doe")]
     docs = spark.createDataFrame([(i, t) for i, (_, t) in enumerate(rows)], "doc_id long, text string")
     got = {(r.doc_id, r.license) for r in lic.scan_licenses(docs, known).where("unit = 'text'").collect()}
+    assert len({k for k, _ in rows}) >= 6
     assert got == {(i, k) for i, (k, _) in enumerate(rows)}
+
+
+FULL = {"Apache-2.0": "Apache-2.0", "CC0-1.0": "CC0-1.0", "GPL-2.0": "GPL-2", "GPL-3.0": "GPL-3", "LGPL-2.1": "LGPL-2.1", "LGPL-3.0": "LGPL-3", "MPL-2.0": "MPL-2.0"}
+
+
+@pytest.mark.skipif(not os.path.isfile("/usr/share/common-licenses/GPL-3"), reason="no licence texts on this machine")
+def test_full_texts_are_found_by_digest_at_any_width(spark):
+    def wrapped(text, width):
+        parts = []
+        for part in text.split("\n\n"):
+            kept = [x.strip() for x in part.split("\n") if x.strip()]
+            heads = [x for x in kept if x.lower().startswith("copyright (") or x.lower().startswith("copyright [")]
+            parts.append("\n".join([*heads, textwrap.fill(" ".join(x for x in kept if x not in heads), width, break_long_words=False)]))
+        return "\n\n".join(parts)
+
+    rows = []
+    for name, file in FULL.items():
+        text = open(f"/usr/share/common-licenses/{file}", encoding="utf-8").read()
+        rows += [(name, text), (name, text.upper().replace("\n", "\r\n"))] + [(name, wrapped(text, width)) for width in (40, 50, 60, 72, 80, 100, 120)]
+    docs = spark.createDataFrame([(i, t) for i, (_, t) in enumerate(rows)], "doc_id long, text string")
+    known = spark.createDataFrame(lic.KNOWN, "license string, text string")
+    digests = spark.createDataFrame(lic.KNOWN_DIGESTS, "license string, size int, digest string")
+    got = {(r.doc_id, r.license) for r in lic.scan_licenses(docs, known, digests).where("unit = 'text'").collect()}
+    assert got == {(i, k) for i, (k, _) in enumerate(rows)}, sorted({(k, i) for i, (k, _) in enumerate(rows)} - {(k, i) for i, k in got})

@@ -52,10 +52,26 @@ def test_groups_match_brute_force(spark):
 
 def test_nulls_and_empty_tables(spark):
     docs = spark.createDataFrame([(None, "a b"), (1, "a b"), (2, "a b"), (2, "a b"), (3, None)], "doc_id long, text string")
-    assert sorted(r.doc_id or 0 for r in st.drop_similar(docs).collect()) == [0, 1, 3]
+    assert sorted(r.doc_id or 0 for r in st.drop_similar(docs).collect()) == [1, 3]
+    rows = [(0, "a b c d e f"), (1, "a b c d e f"), (1, "only here it stands"), (None, "only here it stands"), (None, "z")]
+    got = st.drop_similar(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id is None, r.doc_id or 0, r.text[:1]) for r in got) == [(False, 0, "a"), (False, 1, "o"), (True, 0, "z")]
     assert st.drop_similar(docs.limit(0)).collect() == []
 
 
+def test_the_fingerprint_index_links_near_texts(spark):
+    rng = random.Random(6)
+    words = [f"w{i}" for i in range(3000)]
+    rows = []
+    for k in range(20):  # long texts with one word replaced: nearly all within three bits
+        base = [rng.choice(words) for _ in range(3000)]
+        rows += [(2 * k, " ".join(base)), (2 * k + 1, " ".join(base[:1500] + ["zz"] + base[1501:]))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    reps = st.sketches(docs, 5, 0.8).withColumnRenamed("doc_id", "rep")
+    pairs = {tuple(r) for r in st.fingerprint_links(reps.select("rep", "fp")).collect()}
+    assert pairs <= {(2 * k, 2 * k + 1) for k in range(20)} and len(pairs) >= 12
+
+
 def test_blocks_and_parts_change_nothing(spark, monkeypatch):
     rng = random.Random(5)
     words = [f"w{i}" for i in range(500)]
