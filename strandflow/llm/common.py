@@ -44,6 +44,16 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """df written in the shared folder and read again. Loops that join their own results use it
+    in place of cut(): a checkpoint hands on the planner's size estimates, and products of
+    products soon have so many digits that planning takes longer than the work; a written
+    table has its true size."""
+    path = scratch(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def held_out(doc_id, folds: int, fold: int):
     """Is crc32 of the id as text, modulo folds, the held-out fold?"""
     return F.crc32(doc_id.cast("string")) % folds == fold

@@ -207,7 +207,7 @@ def shingle_sets(docs: DataFrame, width: int) -> DataFrame:
     def run(batches):
         kind = pa.list_(pa.int64())
         for batch in batches:
-            sets = [np.unique(shingle_hashes(t, width)).view(np.int64) for t in batch.column(1).cast(pa.binary()).to_pylist()]
+            sets = [np.sort(np.unique(shingle_hashes(t, width)).view(np.int64)) for t in batch.column(1).cast(pa.binary()).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, kind)], ["doc_id", "shingles"])
 
     return docs.mapInArrow(run, "doc_id long, shingles array<long>")
@@ -225,10 +225,22 @@ def verified(docs: DataFrame, links: DataFrame, width: int, similarity: float) -
     parts = F.coalesce("parts", F.lit(1))
     dealt = join_ids(links, fan, "a", "left").select("a", "b", F.pmod(F.xxhash64("b"), parts).alias("part"))
     left = join_ids(left, fan, "a", "left").select("a", "sa", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)).alias("part"))
-    both = dealt.join(left, ["a", "part"]).join(right, "b")
-    shared = F.size(F.array_intersect("sa", "sb"))
-    union = F.size("sa") + F.size("sb") - shared
-    return both.where((union == 0) | (shared >= similarity * union)).select("a", "b")
+    both = dealt.join(left, ["a", "part"]).join(right, "b").select("a", "b", "sa", "sb")
+
+    def run(batches):
+        for batch in batches:
+            sa, sb = batch.column(2), batch.column(3)
+            keep = np.zeros(batch.num_rows, bool)
+            for i in range(batch.num_rows):
+                x, y = sa[i].values.to_numpy(), sb[i].values.to_numpy()
+                if len(x) > len(y):
+                    x, y = y, x
+                at = np.minimum(np.searchsorted(y, x), max(len(y) - 1, 0))
+                shared = int((y[at] == x).sum()) if len(y) else 0
+                keep[i] = shared >= similarity * (len(x) + len(y) - shared)
+            yield batch.select([0, 1]).filter(pa.array(keep))
+
+    return both.mapInArrow(run, "a long, b long")
 
 
 def fingerprint_links(reps: DataFrame) -> DataFrame:
