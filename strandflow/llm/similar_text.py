@@ -9,9 +9,11 @@ the first n - ceil(t n) + 1 of each, so each text is posted under those only and
 similar pair meets in a posting list, wherever its edits are. Which shingles are common is
 learned from a sample of texts; it decides how long lists get, never what is found.
 
-Pairs of a list are tried in rounds: with its first row, then with the nearest earlier
-rows, then with all others. Pairs that verified links have joined by then are left out, so
-a large family of copies needs few pairs, and no pair that could be similar is left untried.
+Pairs of a list are tried in rounds. First every document meets one other, the smallest that
+heads one of its lists. Lists whose rows verified links have joined by then are done with and
+go; in the others pairs are tried with the first row, then with the nearest earlier rows, then
+with all others, and pairs that are joined by then are left out. So a large family of copies
+needs few pairs, and no pair that could be similar is left untried.
 Before the exact Jaccard similarity of the two texts is taken, pairs go only by bounds that
 hold for certain: by the sets' sizes and the places of the shared shingle, and by the
 parities of the shingles that fall on each of 512 bits (each bit that differs is a shingle
@@ -102,6 +104,73 @@ def sketches(docs: DataFrame, width: int, similarity: float) -> DataFrame:
     return docs.mapInArrow(run, SKETCH)
 
 
+def _whole_lists(rows: DataFrame, schema: str, chunk: int, keep_rows) -> DataFrame:
+    """rows(key, rep, ...) sorted by key and rep, and of them what keep_rows says of the whole
+    lists of a chunk; a list longer than a chunk is passed on whole."""
+
+    def run(batches):
+        held, n = [], 0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            held.append(batch)
+            n += batch.num_rows
+            if n < chunk:
+                continue
+            part = pa.Table.from_batches(held).combine_chunks()
+            key = part.column("key").to_numpy()
+            end = int(np.searchsorted(key, key[-1]))
+            if end:
+                yield from part.slice(0, end).filter(pa.array(keep_rows(part.slice(0, end)))).to_batches()
+                held = part.slice(end).to_batches()
+            elif n >= 2 * chunk:
+                yield from part.slice(0, n - 1).to_batches()
+                held = part.slice(n - 1).to_batches()
+            n = sum(b.num_rows for b in held)
+        if held:
+            part = pa.Table.from_batches(held).combine_chunks()
+            yield from part.filter(pa.array(keep_rows(part))).to_batches()
+
+    return rows.repartition("key").sortWithinPartitions("key", "rep").mapInArrow(run, schema)
+
+
+def mixed_lists(lists: DataFrame, roots: DataFrame, chunk: int = 1 << 16) -> DataFrame:
+    """The rows of lists(key, rep, n, at) whose list has rows of more than one root, with their root."""
+
+    def keep(part):
+        key, root = part.column("key").to_numpy(), part.column("root").to_numpy()
+        edge = np.flatnonzero(np.diff(key, prepend=key[:1] - 1))
+        size = np.diff(np.append(edge, len(key)))
+        return np.repeat(np.minimum.reduceat(root, edge) != np.maximum.reduceat(root, edge), size)
+
+    known = roots.select(F.col("node").alias("rep"), "root")
+    rows = join_ids(lists.select("key", "rep", "n", "at"), known, "rep", "left")
+    rows = rows.select("key", "rep", "n", "at", F.coalesce("root", "rep").alias("root"))
+    return _whole_lists(rows, "key long, rep long, n int, at int, root long", chunk, keep)
+
+
+def head_links(lists: DataFrame, similarity: float) -> DataFrame:
+    """lists, materialised by posting_lists() -> b and a: of the rows that head the lists of b and
+    may be similar to it, the smallest. Lists lie together in their partitions, so only
+    the links move."""
+
+    def run(batches):
+        key, head, n_head, at_head = None, 0, 0, 0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            keys, reps, n, at = (batch.column(i).to_numpy().astype(np.int64) for i in range(4))
+            fresh = np.flatnonzero(np.diff(keys, prepend=keys[:1] - (keys[0] != key)))
+            heads = np.concatenate(([-1], fresh))[np.searchsorted(fresh, np.arange(len(keys)), "right")]
+            first = [np.where(heads < 0, old, x[heads]) for old, x in ((head, reps), (n_head, n), (at_head, at))]
+            key, head, n_head, at_head = keys[-1], first[0][-1], first[1][-1], first[2][-1]
+            least = least_shared((n + first[1]).astype(float), similarity / (1 + similarity))
+            near = (first[0] != reps) & (np.minimum(n - at, first[1] - first[2]) + np.minimum(at, first[2]) >= least)
+            yield pa.RecordBatch.from_arrays([pa.array(first[0][near]), pa.array(reps[near])], ["a", "b"])
+
+    return lists.mapInArrow(run, "a long, b long").groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
+
+
 def posting_lists(groups: DataFrame) -> DataFrame:
     """groups(rep, n, prefix) -> key, rep, n, at (the key's place in the set) of lists of two rows or more."""
     names = ["key", "rep", "n", "at"]
@@ -262,13 +331,18 @@ def similar_roots(docs: DataFrame, width: int = 5, similarity: float = 0.8, bloc
     same = cut(same.select(F.col("rep").alias("a"), F.col("doc_id").alias("b")).distinct())
     reps = join_ids(rows, cut(same.select(F.col("b").alias("doc_id"))), "doc_id", "left_anti").withColumnRenamed("doc_id", "rep")
     lists = cut(posting_lists(reps.where("n > 0").select("rep", "n", "prefix")))
-    ids = cut(lists.select("rep").distinct())
-    lists = cut(lists.join(join_ids(reps.select("rep", "parity"), ids, "rep", "inner"), "rep"))
     good = cut(same.unionByName(verified(docs, fingerprint_links(reps.where("n > 0").select("rep", "fp")), width, similarity)))
     roots = components(good)
+    heads = _possible(_apart(head_links(lists, similarity), roots), reps, similarity)
+    parity = reps.select("rep", "parity")
+    good = cut(good.unionByName(verified(docs, cut(heads), width, similarity)))
+    roots = components(good)
     for span in (None, *ROUNDS):
-        known = roots.select(F.col("node").alias("rep"), "root")
-        cells = _cells(lists.join(known, "rep", "left").withColumn("root", F.coalesce("root", "rep")), block)
+        lists = cut(mixed_lists(lists, roots))
+        if not lists.take(1):
+            break
+        ids = cut(lists.select("rep").distinct())
+        cells = _cells(lists.join(join_ids(parity, ids, "rep", "inner"), "rep"), block)
         links = cut(candidate_links(cells, similarity, span))
         if links.take(1):
             good = cut(good.unionByName(verified(docs, links, width, similarity)))
@@ -276,6 +350,31 @@ def similar_roots(docs: DataFrame, width: int = 5, similarity: float = 0.8, bloc
     return roots
 
 
+def _possible(links: DataFrame, reps: DataFrame, similarity: float) -> DataFrame:
+    """The links whose parities don't rule them out."""
+
+    def run(batches):
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            n_a, n_b = (batch.column(i).to_numpy().astype(np.int64) for i in (2, 4))
+            bits = [np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint64).reshape(-1, 8) for i in (3, 5)]
+            spare = n_a + n_b - 2 * least_shared((n_a + n_b).astype(float), similarity / (1 + similarity))
+            near = np.bitwise_count(bits[0] ^ bits[1]).sum(axis=1, dtype=np.int64) <= spare
+            yield batch.select([0, 1]).filter(pa.array(near))
+
+    side = lambda x: reps.select(F.col("rep").alias(x), F.col("n").alias(f"n{x}"), F.col("parity").alias(f"p{x}"))
+    both = links.join(side("a"), "a").join(side("b"), "b").select("a", "b", "na", "pa", "nb", "pb")
+    return both.mapInArrow(run, "a long, b long")
+
+
+def _apart(links: DataFrame, roots: DataFrame) -> DataFrame:
+    """The links whose ends aren't joined yet."""
+    at_a, at_b = (roots.select(F.col("node").alias(x), F.col("root").alias(f"r{x}")) for x in "ab")
+    both = links.join(at_a, "a", "left").join(at_b, "b", "left")
+    return both.where(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select("a", "b")
+
+
 def drop_similar(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFrame:
     """docs with one row, that of the smallest id, of each similarity component. Rows are told
     apart by more than their ids; those without an id come last. Null, empty and blank texts
