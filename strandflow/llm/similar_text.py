@@ -17,7 +17,8 @@ needs few pairs, and no pair that could be similar is left untried.
 Before the exact Jaccard similarity of the two texts is taken, pairs go only by bounds that
 hold for certain: by the sets' sizes and the places of the shared shingle, and by the
 parities of the shingles that fall on each of 512 bits (each bit that differs is a shingle
-that only one of the sets has).
+that only one of the sets has), then by those on as many bits as the smaller set has shingles,
+so that even texts of many thousand words are read only where they are likely to be similar.
 
 Long posting lists are cut into blocks: each pair of blocks is compared by a task of its
 own, so no task's memory or time depends on the length of a list and every pair of the
@@ -46,7 +47,7 @@ COMMON = 50_000
 #: Rows of the same list between the two of a pair, a round; the pairs with the first row come before.
 ROUNDS = [(1, 8), (8, None)]
 
-SKETCH = "doc_id long, fp long, f1 long, f2 long, n int, parity binary, prefix array<long>"
+SKETCH = "doc_id long, fp long, f1 long, f2 long, n int, parity binary, wide binary, prefix array<long>"
 
 
 def common_shingles(docs: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -86,8 +87,20 @@ def least_shared(total, similarity: float):
     return np.ceil(similarity * total - 1e-9).astype(np.int64)
 
 
+def parities(hashes: np.ndarray, log_bits: int) -> np.ndarray:
+    """As packed bits, whether an odd number of hashes falls on each of 2 ** log_bits places."""
+    place = (hashes >> np.uint64(32) & np.uint64((1 << log_bits) - 1)).astype(np.int64)
+    return np.packbits(np.bincount(place, minlength=1 << log_bits) & 1)
+
+
+def folded(bits: np.ndarray, n_bytes: int) -> np.ndarray:
+    """Packed parities on fewer places."""
+    return np.bitwise_xor.reduce(bits.reshape(-1, n_bytes), axis=0)
+
+
 def sketches(docs: DataFrame, width: int, similarity: float) -> DataFrame:
-    """doc_id, fp (the SimHash), f1 and f2 (a digest of the shingle set), n (its size), its parities and its prefix."""
+    """doc_id, fp (the SimHash), f1 and f2 (a digest of the shingle set), n (its size), its
+    parities on 512 bits and on as many as it has shingles (at least 512; a power of two) and its prefix."""
     shared = docs.sparkSession.sparkContext.broadcast(common_shingles(docs, width))
 
     def run(batches):
@@ -96,10 +109,11 @@ def sketches(docs: DataFrame, width: int, similarity: float) -> DataFrame:
             fp = majority_bits(np.concatenate(parts) if parts else np.empty(0, np.uint64), np.array([len(p) for p in parts], np.int64))
             sets = [np.unique(p) for p in parts]
             digests = np.array([[xxhash.xxh64_intdigest(s.tobytes(), seed) for seed in (1, 2)] for s in sets], np.uint64).reshape(-1, 2).view(np.int64)
-            bits = [np.packbits(np.bincount((s >> np.uint64(32) & np.uint64(511)).astype(np.int64), minlength=512) & 1).tobytes() for s in sets]
+            wide = [parities(s, max(9, int(len(s) - 1).bit_length())) for s in sets]
+            bits = [folded(w, 64) for w in wide]
             prefix = [in_order(s, shared.value)[: len(s) - int(least_shared(np.float64(len(s)), similarity)) + 1].view(np.int64) for s in sets]
-            columns = [batch.column(0), pa.array(fp.view(np.int64)), pa.array(digests[:, 0]), pa.array(digests[:, 1]), pa.array([len(s) for s in sets], pa.int32()), pa.array(bits, pa.binary()), pa.array(prefix, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "fp", "f1", "f2", "n", "parity", "prefix"])
+            columns = [batch.column(0), pa.array(fp.view(np.int64)), pa.array(digests[:, 0]), pa.array(digests[:, 1]), pa.array([len(s) for s in sets], pa.int32()), pa.array([b.tobytes() for b in bits], pa.binary()), pa.array([w.tobytes() for w in wide], pa.binary()), pa.array(prefix, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "fp", "f1", "f2", "n", "parity", "wide", "prefix"])
 
     return docs.mapInArrow(run, SKETCH)
 
@@ -343,7 +357,7 @@ def similar_roots(docs: DataFrame, width: int = 5, similarity: float = 0.8, bloc
             break
         ids = cut(lists.select("rep").distinct())
         cells = _cells(lists.join(join_ids(parity, ids, "rep", "inner"), "rep"), block)
-        links = cut(candidate_links(cells, similarity, span))
+        links = cut(_possible(candidate_links(cells, similarity, span), reps, similarity))
         if links.take(1):
             good = cut(good.unionByName(verified(docs, links, width, similarity)))
             roots = components(good)
@@ -358,12 +372,15 @@ def _possible(links: DataFrame, reps: DataFrame, similarity: float) -> DataFrame
             if not batch.num_rows:
                 continue
             n_a, n_b = (batch.column(i).to_numpy().astype(np.int64) for i in (2, 4))
-            bits = [np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint64).reshape(-1, 8) for i in (3, 5)]
             spare = n_a + n_b - 2 * least_shared((n_a + n_b).astype(float), similarity / (1 + similarity))
-            near = np.bitwise_count(bits[0] ^ bits[1]).sum(axis=1, dtype=np.int64) <= spare
+            near = np.zeros(batch.num_rows, bool)
+            for i, (x, y) in enumerate(zip(batch.column(3).to_pylist(), batch.column(5).to_pylist(), strict=True)):
+                x, y = (np.frombuffer(w, np.uint8) for w in (x, y))
+                least = min(len(x), len(y))
+                near[i] = int(np.bitwise_count(folded(x, least) ^ folded(y, least)).sum()) <= spare[i]
             yield batch.select([0, 1]).filter(pa.array(near))
 
-    side = lambda x: reps.select(F.col("rep").alias(x), F.col("n").alias(f"n{x}"), F.col("parity").alias(f"p{x}"))
+    side = lambda x: reps.select(F.col("rep").alias(x), F.col("n").alias(f"n{x}"), F.col("wide").alias(f"p{x}"))
     both = links.join(side("a"), "a").join(side("b"), "b").select("a", "b", "na", "pa", "nb", "pb")
     return both.mapInArrow(run, "a long, b long")
 
