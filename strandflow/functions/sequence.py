@@ -31,9 +31,7 @@ def oriented(seq: Column, strand: Column) -> Column:
 
 def codons(seq: Column) -> Column:
     """Complete codons from the first base, upper case; an empty array below three bases."""
-    n = F.floor(F.length(seq) / 3).cast("int")
-    some = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.substring(F.upper(seq), i * 3 + 1, F.lit(3)))
-    return F.when(n > 0, some).otherwise(F.array().cast("array<string>"))
+    return F.coalesce(F.regexp_extract_all(F.upper(seq), F.lit("(?s).{3}"), 0), F.array().cast("array<string>"))
 
 
 def amino_letters(stops: tuple[str, ...] = STOPS) -> dict[str, str]:
@@ -69,10 +67,9 @@ def terminal_codons(cds: Column) -> Column:
 
 
 def kmers(seq: Column, k: int) -> Column:
-    """All overlapping k-mers in order."""
-    n = F.length(seq) - k + 1
-    some = F.transform(F.sequence(F.lit(1), n), lambda i: F.substring(seq, i, F.lit(k)))
-    return F.when(n > 0, some).otherwise(F.array().cast("array<string>"))
+    """All overlapping k-mers in order, found in one walk along the sequence."""
+    found = F.regexp_extract_all(seq, F.lit(f"(?s)(?=(.{{{k}}}))"), 1)
+    return F.coalesce(found, F.array().cast("array<string>"))
 
 
 def crop(seq: Column, n: Column, strand: Column) -> Column:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import attributes as at
+from .components import cut
 from .intervals import merge_touching
 
 
@@ -37,9 +38,11 @@ def gene_spans(transcripts: DataFrame) -> DataFrame:
 
 def global_numbers(df: DataFrame, order: list[str], out: str, partitions: int | None = None) -> DataFrame:
     """Number rows from 1 in a total order without one task seeing them all: rows are range
-    partitioned, numbered inside each range and shifted by the ranges before it."""
-    ranged = df.repartitionByRange(*([partitions] if partitions else []), *order).sortWithinPartitions(*order)
-    placed = ranged.withColumn("_id", F.monotonically_increasing_id())
+    partitioned, numbered inside each range and shifted by the ranges before it. The ranges are
+    written once, so that the rows and the sizes of the ranges come from the same partitions."""
+    n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = df.repartitionByRange(n, *order).sortWithinPartitions(*order)
+    placed = cut(ranged.withColumn("_id", F.monotonically_increasing_id()))
     placed = placed.withColumn("_part", F.shiftright(F.col("_id"), 33)).withColumn("_nth", F.col("_id").bitwiseAND(F.lit((1 << 33) - 1)))
     sizes = placed.groupBy("_part").agg(F.max("_nth").alias("_most"))
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # one row a partition
@@ -92,7 +95,8 @@ def lift_over(rows: DataFrame, segments: DataFrame) -> DataFrame:
     contains it; a row on a sequence that isn't packed maps to itself; others get nulls."""
     inside = (F.col("seq") == F.col("packed_name")) & (F.col("start") >= F.col("packed_start")) & (F.col("end") <= F.col("packed_end"))
     found = _near_segments(rows, segments, inside, "left")
-    packed = F.broadcast(segments.select(F.col("packed_name").alias("_p")).distinct())
+    names = segments.select(F.col("packed_name").alias("_p")).distinct()
+    packed = F.broadcast(names) if segments.count() <= BROADCAST_SEGMENTS else names
     found = found.join(packed, F.col("seq") == F.col("_p"), "left")
     native = F.col("_p").isNull()
     shift = F.col("packed_start") - 1

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import annotation, decode, intervals, stitch, topology, windows
+from ..operators.components import cut
 
 
 def model_windows(seqs: DataFrame, core: int, flank: int = 0) -> DataFrame:
@@ -52,7 +53,8 @@ def models_from_paths(paths: DataFrame) -> DataFrame:
 def annotate(windows_with_p: DataFrame, flank: int = 0, use_bases: bool = True) -> DataFrame:
     """windows(seq_name, strand, core_start, core_end, bases, p) -> gene models."""
     keys = "seq_name string, strand string, core_start long, core_end long"
-    return models_from_paths(genomic_paths(decode.decode_windows(windows_with_p, keys, use_bases), flank))
+    decoded = cut(decode.decode_windows(windows_with_p, keys, use_bases))  # the plan below reads it many times
+    return models_from_paths(genomic_paths(decoded, flank))
 
 
 def gff3(models: DataFrame) -> DataFrame:

@@ -176,10 +176,10 @@ def interval_clip(spark, d):
 
 
 @query("interval_expand_merge", f"""
-WITH {LOOSE}, big AS (SELECT seq, greatest(0, "start" - 10) AS "start", least(100000, "end" + 10) AS "end" FROM loose WHERE id % 10 = 1),
+WITH {LOOSE}, big AS (SELECT seq, greatest(0, "start" - 10) AS "start", least(100000, "end" + 10) AS "end" FROM loose),
 {_merge_sql(0, "seq", "big")} SELECT seq, s, e FROM merged""")
 def interval_expand_merge(spark, d):
-    rows = loose(spark, d).where("id % 10 = 1").withColumn("limit", F.lit(100_000).cast("long"))
+    rows = loose(spark, d).withColumn("limit", F.lit(100_000).cast("long"))
     return intervals.expand_merge(rows, ["seq"], "limit", 10).select("seq", *[F.col(a).cast("long").alias(b) for a, b in (("start", "s"), ("end", "e"))])
 
 
@@ -232,7 +232,7 @@ def codon_terminals(spark, d):
 WITH {LOOSE}, p AS (SELECT seq, strand, "start", "end", id % 3 AS phase, id % 4 <> 0 AS is_cds FROM loose),
 m AS (SELECT *, max("end") OVER (PARTITION BY seq, strand ORDER BY "start", "end" ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM p),
 i AS (SELECT *, sum(CASE WHEN reach IS NULL OR "start" > reach + 1 THEN 1 ELSE 0 END) OVER (PARTITION BY seq, strand ORDER BY "start", "end" ROWS UNBOUNDED PRECEDING) AS island FROM m)
-SELECT seq, strand, min("start") AS s, max("end") AS e, count(*) FILTER (is_cds) > 0 AS coding FROM i GROUP BY seq, strand, island""")
+SELECT seq, strand, min("start") AS s, max("end") AS e, count(*) FILTER (is_cds) > 0 AS coding FROM i GROUP BY seq, strand, island""")  # the phase is checked by hand in tests/core
 def stop_merge(spark, d):
     rows = loose(spark, d).withColumn("phase", F.col("id") % 3).withColumn("is_cds", F.col("id") % 4 != 0)
     return intervals.merge_stop_codons(rows, ["seq"]).select("seq", "strand", F.col("start").alias("s"), F.col("end").alias("e"), F.col("phase").isNotNull().alias("coding"))
@@ -421,19 +421,20 @@ def codon_translate(spark, d):
 
 
 def _orfs(spark, d):
-    """Texts' bases cut after each stop codon, with lengths of all remainders."""
-    s = F.col("seq")
-    cut = F.concat(F.lit("ATG"), F.substring(s, F.lit(1), F.col("seq_name").cast("int") % 90), F.lit("TAA"))
-    return seqs(spark, d).select("seq_name", cut.alias("cds"))
+    """The whole texts' bases, cut after each TGA whatever the frame: seq_name, nth, cds. Some
+    pieces are whole codons, some are not, and some hold a TAA or TAG before their end."""
+    cut = F.filter(F.split(F.regexp_replace("seq", "TGA", "TGA|"), r"\|"), lambda x: x != "")
+    return seqs(spark, d).select("seq_name", F.posexplode(cut).alias("nth", "cds")).withColumn("nth", F.col("nth").cast("long"))
 
 
-_ORFS = f"{SEQS}, orfs AS (SELECT seq_name, 'ATG' || substring(seq, 1, seq_name % 90) || 'TAA' AS cds FROM seqs)"
+_ORFS = f"""{SEQS}, cuts AS (SELECT seq_name, list_filter(string_split(replace(seq, 'TGA', 'TGA|'), '|'), lambda x: x <> '') AS parts FROM seqs),
+orfs AS (SELECT seq_name, unnest(parts) AS cds, generate_subscripts(parts, 1) - 1 AS nth FROM cuts)"""
 
 
 @query("strict_filter", f"""WITH {_ORFS}, c AS (SELECT *, list_transform(range(length(cds) // 3), lambda i: substring(cds, i * 3 + 1, 3)) AS parts FROM orfs)
-SELECT seq_name FROM c WHERE length(cds) >= 61 AND length(cds) % 3 = 0 AND len(list_filter(parts[:-2], lambda x: x IN ('TAA', 'TAG', 'TGA'))) = 0""")
+SELECT seq_name, nth FROM c WHERE length(cds) >= 61 AND length(cds) % 3 = 0 AND parts[-1] IN ('TAA', 'TAG', 'TGA') AND len(list_filter(parts[:-2], lambda x: x IN ('TAA', 'TAG', 'TGA'))) = 0""")
 def strict_filter(spark, d):
-    return _orfs(spark, d).where(sq.is_complete_coding(F.col("cds"))).select("seq_name")
+    return _orfs(spark, d).where(sq.is_complete_coding(F.col("cds"))).select("seq_name", "nth")
 
 
 @query("terminal_codons", f"WITH {SEQS} SELECT seq_name, CASE WHEN length(seq) < 3 THEN '.' ELSE seq[:3] END AS first_codon, CASE WHEN length(seq) < 3 THEN '.' ELSE seq[-3:] END AS last_codon FROM seqs")
@@ -530,15 +531,15 @@ def step_legality(spark, d):
 
 
 def _windows(spark, d):
-    """Eight events a window, every fifth window left out."""
-    rows = paths(spark, d).withColumn("w", F.floor((F.col("pos") - 1) / 8)).where("w % 5 <> 4")
+    """Eight events a window; after every fifth window positions go on two further, which leaves a gap."""
+    rows = paths(spark, d).withColumn("w", F.floor((F.col("pos") - 1) / 8)).withColumn("pos", F.col("pos") + F.floor(F.col("w") / 5) * 2)
     return rows.groupBy(F.col("user_id").alias("seq"), F.lit("+").alias("strand"), "w").agg(
         F.min("pos").alias("start"), F.max("pos").alias("end"), F.min_by("state", "pos").alias("first_state"), F.max_by("state", "pos").alias("last_state")
     )
 
 
-_WINDOWS = f"""{PATHS}, {_STEPS}, win AS (SELECT user_id AS seq, (pos - 1) // 8 AS w, min(pos) AS s, max(pos) AS e, arg_min(state, pos) AS first_state, arg_max(state, pos) AS last_state
-  FROM paths WHERE (pos - 1) // 8 % 5 <> 4 GROUP BY 1, 2),
+_WINDOWS = f"""{PATHS}, {_STEPS}, win AS (SELECT user_id AS seq, (pos - 1) // 8 AS w, CAST(min(pos) + (pos - 1) // 40 * 2 AS BIGINT) AS s, CAST(max(pos) + (pos - 1) // 40 * 2 AS BIGINT) AS e, arg_min(state, pos) AS first_state, arg_max(state, pos) AS last_state
+  FROM paths GROUP BY user_id, (pos - 1) // 8, (pos - 1) // 40),
 seam AS (SELECT *, lag(e) OVER o AS left_end, lag(last_state) OVER o AS left_state FROM win WINDOW o AS (PARTITION BY seq ORDER BY s)),
 st AS (SELECT *, CASE WHEN left_end IS NULL THEN NULL WHEN left_end + 1 <> s THEN 'coordinate_gap'
   WHEN EXISTS (SELECT 1 FROM steps WHERE a = left_state AND b = first_state) THEN 'joined' ELSE 'invalid_transition' END AS status FROM seam)"""
@@ -609,12 +610,13 @@ def argmax_state(spark, d):
     return _t(spark, d, "embeddings").select("vec_id", nu.first_argmax(F.col("embedding")).alias("state"))
 
 
-@query("prob_normalise", """WITH e AS (SELECT vec_id, list_transform(embedding[1:8], lambda x: exp(CAST(x AS DOUBLE) - list_max(embedding[1:8]))) AS v FROM embeddings)
-SELECT vec_id, round(v[1] / list_sum(v), 6) AS p1, round(v[8] / list_sum(v), 6) AS p8 FROM e""")
+@query("prob_normalise", """WITH e AS (SELECT vec_id, list_transform(embedding, lambda x: exp(CAST(x AS DOUBLE) - list_max(embedding))) AS v FROM embeddings)
+SELECT vec_id, round(v[1] / list_sum(v), 6) AS first_p, round(v[-1] / list_sum(v), 6) AS last_p, round(list_max(v) / list_sum(v), 6) AS most FROM e""")
 def prob_normalise(spark, d):
-    row = F.transform(F.slice("embedding", 1, 8), lambda x: x.cast("double"))
+    row = F.transform("embedding", lambda x: x.cast("double"))
     p = nu.as_probabilities(F.array(row))[0]
-    return _t(spark, d, "embeddings").select("vec_id", F.round(p[0], 6).alias("p1"), F.round(p[7], 6).alias("p8"))
+    ends = {"first_p": F.element_at(p, 1), "last_p": F.element_at(p, -1), "most": F.array_max(p)}
+    return _t(spark, d, "embeddings").select("vec_id", *[F.round(x, 6).alias(name) for name, x in ends.items()])
 
 
 @query("safe_log", f"WITH {PATHS} SELECT user_id, pos, round(CASE WHEN pct = 0 THEN -1000 ELSE ln(pct / 100.0) END, 6) AS lp FROM paths")
@@ -694,13 +696,13 @@ def balanced_slices(spark, d):
 
 def _two(spark, d):
     rows = cds(spark, d).withColumn("chain", F.floor(F.col("start") / 1000).cast("long"))
-    short = rows.select(F.col("chain").alias("gene"), "chain", F.col("tx"), "chrom", "strand", "start", "end").where("chain % 3 <> 0")
+    short = rows.select(F.col("chain").alias("gene"), "chain", F.col("tx"), "chrom", "strand", "start", "end")
     ref = short.select("gene", F.col("tx"), "chrom", "strand", "start", "end")
     shifted = F.when(F.col("gene") % 4 == 0, F.col("end") + 1).otherwise(F.col("end"))
     return evaluate.orf_keys(ref), evaluate.orf_keys(ref.withColumn("end", shifted).withColumn("gene", F.col("gene") * 2))
 
 
-_TWO = f"""{CDS}, ref AS (SELECT "start" // 1000 AS gene, tx, chrom, strand, "start", "end" FROM cds WHERE "start" // 1000 % 3 <> 0),
+_TWO = f"""{CDS}, ref AS (SELECT "start" // 1000 AS gene, tx, chrom, strand, "start", "end" FROM cds),
 pred AS (SELECT gene * 2 AS gene, tx, chrom, strand, "start", CASE WHEN gene % 4 = 0 THEN "end" + 1 ELSE "end" END AS "end" FROM ref),
 rk AS (SELECT DISTINCT gene, orf FROM (SELECT gene, tx, string_agg(chrom || ':' || strand || ':' || CAST("start" AS VARCHAR) || ':' || CAST("end" AS VARCHAR), ',' ORDER BY "start", "end") AS orf FROM ref GROUP BY gene, tx)),
 pk AS (SELECT DISTINCT gene, orf FROM (SELECT gene, tx, string_agg(chrom || ':' || strand || ':' || CAST("start" AS VARCHAR) || ':' || CAST("end" AS VARCHAR), ',' ORDER BY "start", "end") AS orf FROM pred GROUP BY gene, tx)),

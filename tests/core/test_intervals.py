@@ -102,3 +102,23 @@ def test_matching_is_one_to_one(spark):
     assert rows(evaluate.unmatched(pred, m, "pred_gene"), "gene") == [("p2",), ("p4",)]
     one = evaluate.precision_recall(ref, pred, m).first()
     assert (one.matched, one.precision, one.recall) == (2, 0.5, 1.0)
+
+
+def test_global_numbers_lose_no_rows_when_partitions_are_coalesced(spark):
+    from pyspark.sql import functions as F
+
+    from strandflow.operators import annotation
+
+    rows = spark.range(60_000).select(F.col("id"), F.sha2(F.col("id").cast("string"), 512).alias("a"), F.sha2(F.col("id").cast("string"), 512).alias("b"))
+    kept = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.advisoryPartitionSizeInBytes", "spark.sql.shuffle.partitions")}
+    try:
+        for size in ("64k", "256k", "64m"):
+            spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", size)
+            spark.conf.set("spark.sql.shuffle.partitions", "40")
+            out = annotation.global_numbers(rows, ["a"], "n")
+            assert out.agg(F.count("*"), F.count_distinct("n"), F.min("n"), F.max("n")).first()[:] == (60_000, 60_000, 1, 60_000)
+            first = {r.n: r.a for r in out.where("n < 200").select("n", "a").collect()}
+            assert [first[k] for k in sorted(first)] == sorted(first.values())
+    finally:
+        for k, v in kept.items():
+            spark.conf.set(k, v)
