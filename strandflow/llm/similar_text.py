@@ -36,6 +36,7 @@ from pyspark.sql import functions as F
 
 from .common import attach, by_row, cut, join_ids
 from .components import components
+from .language_id import chunks
 from .simhash import majority_bits, near_links, shingle_hashes
 
 #: A document with more links than this has its shingles joined in several parts.
@@ -44,18 +45,28 @@ FAN = 1000
 SAMPLE_TEXTS, SAMPLE_SHARE = 10_000, 16
 #: At most so many shingles that stand in three sampled texts are put last.
 COMMON = 50_000
+#: Bytes of text whose shingles a task holds at a time.
+TEXT_BYTES = 1_000_000
 #: Rows of the same list between the two of a pair, a round; the pairs with the first row come before.
 ROUNDS = [(1, 8), (8, None)]
 
 SKETCH = "doc_id long, fp long, f1 long, f2 long, n int, parity binary, wide binary, prefix array<long>"
 
 
+def _some(batches, column: int):
+    """Parts of batches whose texts together stay small, and these texts."""
+    for batch in batches:
+        texts = batch.column(column).cast(pa.binary()).to_pylist()
+        for part in chunks(texts, TEXT_BYTES):
+            yield batch.slice(part.start, part.stop - part.start), texts[part]
+
+
 def common_shingles(docs: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
     """(sorted hashes, their places from the rarest on) of shingles that many sampled texts have."""
 
     def run(batches):
-        for batch in batches:
-            sets = [np.unique(shingle_hashes(t, width)) for t in batch.column(0).cast(pa.binary()).to_pylist()]
+        for _, texts in _some(batches, 0):
+            sets = [np.unique(shingle_hashes(t, width)) for t in texts]
             found, count = np.unique(np.concatenate(sets) if sets else np.empty(0, np.uint64), return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(count.astype(np.int64))], ["h", "n"])
 
@@ -104,8 +115,8 @@ def sketches(docs: DataFrame, width: int, similarity: float) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(common_shingles(docs, width))
 
     def run(batches):
-        for batch in batches:
-            parts = [shingle_hashes(t, width) for t in batch.column(1).cast(pa.binary()).to_pylist()]
+        for batch, texts in _some(batches, 1):
+            parts = [shingle_hashes(t, width) for t in texts]
             fp = majority_bits(np.concatenate(parts) if parts else np.empty(0, np.uint64), np.array([len(p) for p in parts], np.int64))
             sets = [np.unique(p) for p in parts]
             digests = np.array([[xxhash.xxh64_intdigest(s.tobytes(), seed) for seed in (1, 2)] for s in sets], np.uint64).reshape(-1, 2).view(np.int64)
@@ -289,8 +300,8 @@ def shingle_sets(docs: DataFrame, width: int) -> DataFrame:
 
     def run(batches):
         kind = pa.list_(pa.int64())
-        for batch in batches:
-            sets = [np.sort(np.unique(shingle_hashes(t, width)).view(np.int64)) for t in batch.column(1).cast(pa.binary()).to_pylist()]
+        for batch, texts in _some(batches, 1):
+            sets = [np.sort(np.unique(shingle_hashes(t, width)).view(np.int64)) for t in texts]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, kind)], ["doc_id", "shingles"])
 
     return docs.mapInArrow(run, "doc_id long, shingles array<long>")
@@ -368,9 +379,7 @@ def _possible(links: DataFrame, reps: DataFrame, similarity: float) -> DataFrame
     """The links whose parities don't rule them out."""
 
     def run(batches):
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        for batch in (b.slice(k, 1000) for b in batches for k in range(0, b.num_rows, 1000)):
             n_a, n_b = (batch.column(i).to_numpy().astype(np.int64) for i in (2, 4))
             spare = n_a + n_b - 2 * least_shared((n_a + n_b).astype(float), similarity / (1 + similarity))
             near = np.zeros(batch.num_rows, bool)
