@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from .functions import attributes as at
 from .functions import numeric as nu
 from .functions import sequence as sq
-from .operators import annotation, convert, decode, evaluate, intervals, planning, repair, stitch, topology, windows
+from .operators import annotation, convert, decode, evaluate, intervals, planning, repair, stitch, topology, transcripts, windows
 from .plans import annotate
 from .sources import features as ft
 from .sources import vectors
@@ -437,6 +437,64 @@ def strict_filter(spark, d):
     return _orfs(spark, d).where(sq.is_complete_coding(F.col("cds"))).select("seq_name", "nth")
 
 
+def pieces(spark, d) -> DataFrame:
+    """Two pieces of each of _orfs on its text's bases. Every third transcript is a minus one, every
+    fifth reaches three bases beyond its end, some lie on sequences that don't exist."""
+    size = F.length("cds").cast("long")
+    orfs = _orfs(spark, d).withColumn("stop", F.sum(size).over(Window.partitionBy("seq_name").orderBy("nth")))
+    orfs = orfs.withColumn("first", F.col("stop") - size + 1).withColumn("mid", F.least(F.col("stop"), F.col("first") + 19))
+    seq_name = F.when(F.col("seq_name") % 17 == 3, F.col("seq_name") + 1_000_000_000).otherwise(F.col("seq_name"))
+    tx = F.concat(F.col("seq_name").cast("string"), F.lit("."), F.col("nth").cast("string"))
+    late = F.col("stop") + F.when(F.col("nth") % 5 == 4, 3).otherwise(0)
+    both = F.array(F.struct(F.col("first").alias("start"), F.col("mid").alias("end")), F.struct((F.col("mid") + 1).alias("start"), late.alias("end")))
+    out = orfs.select(seq_name.alias("seq_name"), tx.alias("tx"), F.when(F.col("nth") % 3 == 2, "-").otherwise("+").alias("strand"), F.explode(both).alias("p"))
+    return out.select("seq_name", "tx", "strand", "p.start", "p.end").where("end >= start")
+
+
+_PIECES = f"""{_ORFS}, ends AS (SELECT *, CAST(sum(length(cds)) OVER (PARTITION BY seq_name ORDER BY nth) AS BIGINT) AS stop FROM orfs),
+mids AS (SELECT *, stop - length(cds) + 1 AS first, least(stop, stop - length(cds) + 20) AS mid FROM ends),
+named AS (SELECT CASE WHEN seq_name % 17 = 3 THEN seq_name + 1000000000 ELSE seq_name END AS seq_name, CAST(seq_name AS VARCHAR) || '.' || CAST(nth AS VARCHAR) AS tx,
+  CASE WHEN nth % 3 = 2 THEN '-' ELSE '+' END AS strand, first, mid, stop + CASE WHEN nth % 5 = 4 THEN 3 ELSE 0 END AS late FROM mids),
+pieces AS (SELECT * FROM (SELECT seq_name, tx, strand, first AS "start", mid AS "end" FROM named UNION ALL SELECT seq_name, tx, strand, mid + 1, late FROM named) WHERE "end" >= "start"),
+spliced AS (SELECT p.seq_name, tx, strand, count(*) AS n_pieces, CAST(sum("end" - "start" + 1) AS BIGINT) AS n_bases,
+  coalesce(string_agg(substring(seq, "start", "end" - "start" + 1), '' ORDER BY "start"), '') AS bases FROM pieces p LEFT JOIN seqs s ON p.seq_name = s.seq_name GROUP BY 1, 2, 3),
+oriented AS (SELECT seq_name, tx, strand, n_pieces, n_bases, CASE WHEN strand = '-' THEN reverse(translate(bases, 'ACGT', 'TGCA')) ELSE bases END AS cds, length(bases) = n_bases AS complete FROM spliced)"""
+
+
+@query("spliced_cds", f"WITH {_PIECES} SELECT * FROM oriented")
+def spliced_cds(spark, d):
+    return transcripts.spliced_cds(pieces(spark, d), seqs(spark, d))
+
+
+@query("strict_transcripts", f"""WITH {_PIECES}, c AS (SELECT *, list_transform(range(length(cds) // 3), lambda i: substring(cds, i * 3 + 1, 3)) AS parts FROM oriented WHERE complete)
+SELECT seq_name, tx, strand FROM c WHERE length(cds) >= 61 AND length(cds) % 3 = 0 AND parts[-1] IN ('TAA', 'TAG', 'TGA') AND len(list_filter(parts[:-2], lambda x: x IN ('TAA', 'TAG', 'TGA'))) = 0""")
+def strict_transcripts(spark, d):
+    return transcripts.strict_transcripts(pieces(spark, d), seqs(spark, d))
+
+
+@query("least_coding", f"""WITH {_PIECES} SELECT seq_name, tx, strand FROM oriented WHERE n_bases >= 201""")
+def least_coding(spark, d):
+    return transcripts.least_coding(pieces(spark, d))
+
+
+_FEATURES = """features AS (
+  SELECT 'chr' || CAST(l_orderkey % 5 AS VARCHAR) AS seq_name, l_orderkey AS tx, CASE l_linenumber % 3 WHEN 0 THEN 'CDS' WHEN 1 THEN 'five_prime_UTR' ELSE 'exon' END AS type,
+         l_orderkey * 1000 + l_linenumber * 100 AS "start", l_orderkey * 1000 + l_linenumber * 100 + CAST(l_quantity AS BIGINT) - 1 AS "end" FROM lineitem),
+lengths AS (SELECT seq_name, max("end") // 2 AS length FROM features WHERE seq_name <> 'chr4' GROUP BY seq_name)"""
+
+
+@query("clip_features", f"""WITH {_FEATURES}, cut AS (SELECT f.seq_name, tx, type, greatest("start", 1) AS "start", least("end", coalesce(length, "end")) AS "end" FROM features f LEFT JOIN lengths l ON f.seq_name = l.seq_name)
+SELECT * FROM cut WHERE "start" <= "end" AND tx IN (SELECT tx FROM cut WHERE "start" <= "end" AND type IN ('CDS', 'exon'))""")
+def clip_features(spark, d):
+    start, kind = F.col("l_orderkey") * 1000 + F.col("l_linenumber") * 100, F.col("l_linenumber") % 3
+    features = _t(spark, d, "lineitem").select(
+        F.concat(F.lit("chr"), (F.col("l_orderkey") % 5).cast("string")).alias("seq_name"), F.col("l_orderkey").alias("tx"), F.when(kind == 0, "CDS").when(kind == 1, "five_prime_UTR").otherwise("exon").alias("type"),
+        start.cast("long").alias("start"), (start + F.col("l_quantity").cast("long") - 1).cast("long").alias("end"),
+    )
+    lengths = features.where("seq_name <> 'chr4'").groupBy("seq_name").agg(F.floor(F.max("end") / 2).alias("length"))
+    return transcripts.clip_features(features, lengths)
+
+
 @query("terminal_codons", f"WITH {SEQS} SELECT seq_name, CASE WHEN length(seq) < 3 THEN '.' ELSE seq[:3] END AS first_codon, CASE WHEN length(seq) < 3 THEN '.' ELSE seq[-3:] END AS last_codon FROM seqs")
 def terminal_codons(spark, d):
     ends = sq.terminal_codons(F.col("seq"))
