@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from .common import written
 
 
-def _roots(parent: DataFrame) -> DataFrame:
+def follow(parent: DataFrame) -> DataFrame:
     """parent(node, root) with root < node, jumped until every root is final."""
     while True:
         up = parent.select(F.col("node").alias("root"), F.col("root").alias("above"))
@@ -41,7 +41,7 @@ def components(links: DataFrame) -> DataFrame:
             links.select(F.col("b").alias("node"), F.col("a").alias("root"))
             .groupBy("node").agg(F.min("root").alias("root"))
         )
-        ends = _roots(written(hooks, "hooks"))
+        ends = follow(written(hooks, "hooks"))
         at_a = ends.select(F.col("node").alias("a"), F.col("root").alias("ra"))
         at_b = ends.select(F.col("node").alias("b"), F.col("root").alias("rb"))
         moved = links.join(at_a, "a", "left").join(at_b, "b", "left")

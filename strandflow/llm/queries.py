@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, exact_dedup, html_text, language_id, licenses, packing, quality, simhash, toxicity, url_filter
+from . import decontaminate, exact_dedup, html_text, language_id, licenses, packing, quality, simhash, spelling, toxicity, url_filter
 
 QUERIES = {
     "op1_url_filter": url_filter.op1_url_filter,
@@ -15,10 +15,12 @@ QUERIES = {
     "op8_language_id": language_id.op8_language_id,
     "op9_html_text": html_text.op9_html_text,
     "op10_decontaminate": decontaminate.op10_decontaminate,
+    "op11_spelling": spelling.op11_spelling,
 }
 
 ORACLES = {
     "op1_url_filter": url_filter.OP1_SQL,
     "op2_exact_dedup": exact_dedup.OP2_SQL,
     "op7_license_scan": licenses.OP7_SQL,
+    "op11_spelling": spelling.OP11_SQL,
 }
