@@ -86,8 +86,9 @@ def join_ids(docs: DataFrame, ids: DataFrame, on: str, how: str) -> DataFrame:
     return docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, on, how)
 
 
-def by_row(docs: DataFrame, drop) -> DataFrame:
-    """drop(docs), where drop decides by doc_id, with the rows told apart by more than their ids.
+def told_apart(docs: DataFrame) -> tuple[DataFrame, str | None]:
+    """docs with an id for each row, and the name of the column that now has the ids they came with (None
+    if those tell the rows apart).
 
     If ids are null or repeated, each row gets a number of its own in the order of the ids, null
     ids last; rows of one id follow in the order of their texts' hashes and then of their places in
@@ -95,12 +96,20 @@ def by_row(docs: DataFrame, drop) -> DataFrame:
     once, so every reading of a row sees the same one."""
     n, ids = docs.agg(F.count("*"), F.count_distinct("doc_id")).first()
     if n == ids:
-        return drop(docs)
+        return docs, None
     own = f"doc_id_{uuid.uuid4().hex}"
     place = f"place_{uuid.uuid4().hex}"
     rows = docs.withColumn(place, F.monotonically_increasing_id())
     rows = rows.orderBy(F.col("doc_id").asc_nulls_last(), F.xxhash64("text"), place).drop(place).withColumnRenamed("doc_id", own)
-    kept = drop(cut(rows.withColumn("doc_id", F.monotonically_increasing_id())))
+    return cut(rows.withColumn("doc_id", F.monotonically_increasing_id())), own
+
+
+def by_row(docs: DataFrame, drop) -> DataFrame:
+    """drop(docs), where drop decides by doc_id, with the rows told apart by more than their ids."""
+    rows, own = told_apart(docs)
+    kept = drop(rows)
+    if own is None:
+        return kept
     return kept.drop("doc_id").withColumnRenamed(own, "doc_id").select(docs.columns)
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, exact_dedup, html_text, language_id, licenses, packing, quality, simhash, spelling, toxicity, url_filter
+from . import decontaminate, exact_dedup, html_text, language_id, licenses, minhash, packing, phrases, quality, simhash, spelling, toxicity, url_filter
 
 QUERIES = {
     "op1_url_filter": url_filter.op1_url_filter,
@@ -16,6 +16,8 @@ QUERIES = {
     "op9_html_text": html_text.op9_html_text,
     "op10_decontaminate": decontaminate.op10_decontaminate,
     "op11_spelling": spelling.op11_spelling,
+    "op12_phrases": phrases.op12_phrases,
+    "op13_minhash": minhash.op13_minhash,
 }
 
 ORACLES = {
@@ -23,4 +25,6 @@ ORACLES = {
     "op2_exact_dedup": exact_dedup.OP2_SQL,
     "op7_license_scan": licenses.OP7_SQL,
     "op11_spelling": spelling.OP11_SQL,
+    "op12_phrases": phrases.OP12_SQL,
+    "op13_minhash": minhash.OP13_SQL,
 }

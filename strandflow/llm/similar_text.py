@@ -28,6 +28,8 @@ several tasks.
 
 from __future__ import annotations
 
+from fractions import Fraction
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -53,7 +55,7 @@ ROUNDS = [(1, 8), (8, None)]
 SKETCH = "doc_id long, fp long, f1 long, f2 long, n int, parity binary, wide binary, prefix array<long>"
 
 
-def _some(batches, column: int):
+def some_texts(batches, column: int):
     """Parts of batches whose texts together stay small, and these texts."""
     for batch in batches:
         texts = batch.column(column).cast(pa.binary()).to_pylist()
@@ -65,7 +67,7 @@ def common_shingles(docs: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray
     """(sorted hashes, their places from the rarest on) of shingles that many sampled texts have."""
 
     def run(batches):
-        for _, texts in _some(batches, 0):
+        for _, texts in some_texts(batches, 0):
             sets = [np.unique(shingle_hashes(t, width)) for t in texts]
             found, count = np.unique(np.concatenate(sets) if sets else np.empty(0, np.uint64), return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(count.astype(np.int64))], ["h", "n"])
@@ -115,7 +117,7 @@ def sketches(docs: DataFrame, width: int, similarity: float) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(common_shingles(docs, width))
 
     def run(batches):
-        for batch, texts in _some(batches, 1):
+        for batch, texts in some_texts(batches, 1):
             parts = [shingle_hashes(t, width) for t in texts]
             fp = majority_bits(np.concatenate(parts) if parts else np.empty(0, np.uint64), np.array([len(p) for p in parts], np.int64))
             sets = [np.unique(p) for p in parts]
@@ -221,8 +223,8 @@ def posting_lists(groups: DataFrame) -> DataFrame:
     return posted.repartition("key").sortWithinPartitions("key", "rep").mapInArrow(run, "key long, rep long, n int, at int")
 
 
-def _cells(lists: DataFrame, block: int) -> DataFrame:
-    """lists(key, ...) -> key, pair, ...: a list of up to ``block`` rows is one cell. The rows of
+def cells(lists: DataFrame, block: int, *carried: str) -> DataFrame:
+    """lists(key, rep, ...) -> key, pair, rep and what is carried: a list of up to ``block`` rows is one cell. The rows of
     a longer one fall into blocks by a hash, and a cell holds the rows of two blocks."""
     sizes = lists.groupBy("key").count().where(F.col("count") > block)
     long = cut(sizes.select("key", F.ceil(F.col("count") / block).cast("long").alias("blocks")))
@@ -230,57 +232,72 @@ def _cells(lists: DataFrame, block: int) -> DataFrame:
     own = F.pmod(F.xxhash64("rep"), blocks)
     others = F.sequence(F.lit(0).cast("long"), blocks - 1)
     pairs = F.transform(others, lambda j: F.least(own, j).bitwiseOR(F.shiftleft(F.greatest(own, j), 31)))
-    return join_ids(lists, long, "key", "left").select("key", F.explode(pairs).alias("pair"), "rep", "n", "at", "parity", "root")
+    return join_ids(lists, long, "key", "left").select("key", F.explode(pairs).alias("pair"), "rep", *carried)
 
 
-def list_pairs(lists: np.ndarray, n: np.ndarray, at: np.ndarray, parity: np.ndarray, root: np.ndarray, similarity: float, span) -> tuple[np.ndarray, np.ndarray]:
-    """Index pairs of rows of one list and two roots that may be similar. span None: each row with
+def row_pairs(lists: np.ndarray, root: np.ndarray, possible, span) -> tuple[np.ndarray, np.ndarray]:
+    """Index pairs of rows of one list and two roots that possible(a, b) keeps. span None: each row with
     the first of its list; else with the earlier ones but the first, at a distance in [span)."""
     index = np.arange(len(lists))
     first = np.searchsorted(lists, lists) if len(lists) else index
 
-    def possible(a, b):
+    def tried(a, b):
         other = root[a] != root[b]
         a, b = a[other], b[other]
-        total = n[a] + n[b]
-        least = least_shared(total.astype(float), similarity / (1 + similarity))
-        most = np.minimum(at[a], at[b]) + 1 + np.minimum(n[a] - at[a], n[b] - at[b]) - 1
-        a, b, spare = a[most >= least], b[most >= least], (total - 2 * least)[most >= least]
-        near = np.bitwise_count(parity[a] ^ parity[b]).sum(axis=1, dtype=np.int64) <= spare
-        return a[near], b[near]
+        keep = possible(a, b)
+        return a[keep], b[keep]
 
     if span is None:
-        return possible(first, index)
+        return tried(first, index)
     found, d, alive = [], span[0], index
     while span[1] is None or d < span[1]:
         alive = alive[alive + d < len(lists)]
         alive = alive[(lists[alive] == lists[alive + d])]
         if not len(alive):
             break
-        tried = first[alive] == alive
-        found.append(possible(alive[~tried], alive[~tried] + d))
+        met = first[alive] == alive
+        found.append(tried(alive[~met], alive[~met] + d))
         d += 1
     return tuple(np.concatenate(x) for x in zip(*found, strict=True)) if found else (index[:0], index[:0])
 
 
-def candidate_links(cells: DataFrame, similarity: float, span, chunk: int = 1 << 16) -> DataFrame:
-    """Cells of posting lists -> the distinct pairs a < b of representatives of one round."""
+def bounded_pairs(n: np.ndarray, at: np.ndarray, parity: np.ndarray, similarity: float):
+    """possible(a, b) by the sets' sizes, the places of the shared shingle and the parities."""
+
+    def possible(a, b):
+        total = n[a] + n[b]
+        least = least_shared(total.astype(float), similarity / (1 + similarity))
+        keep = np.minimum(at[a], at[b]) + np.minimum(n[a] - at[a], n[b] - at[b]) >= least
+        near = np.flatnonzero(keep)
+        bits = np.bitwise_count(parity[a[near]] ^ parity[b[near]]).sum(axis=1, dtype=np.int64)
+        keep[near] = bits <= (total - 2 * least)[near]
+        return keep
+
+    return possible
+
+
+def candidate_links(dealt: DataFrame, bounds, span, chunk: int = 1 << 16) -> DataFrame:
+    """Cells (key, pair, rep, root, carried ...) of lists -> the distinct pairs a < b of representatives
+    of one round. bounds(*carried columns) -> possible(a, b); binary columns come as rows of words of 64 bits."""
 
     def run(batches):
         held, rows = [], 0
 
         def links(parts):
-            key, pair, reps, n, at, parity, root = parts
+            key, pair, reps, root, *own = parts
             lists = np.cumsum(np.concatenate(([0], (key[1:] != key[:-1]) | (pair[1:] != pair[:-1]))))
-            a, b = list_pairs(lists, n.astype(np.int64), at.astype(np.int64), parity, root, similarity, span)
+            a, b = row_pairs(lists, root, bounds(*own), span)
             return pa.RecordBatch.from_arrays([pa.array(reps[a]), pa.array(reps[b])], ["a", "b"])
 
+        def column(c):
+            if pa.types.is_binary(c.type):
+                return np.frombuffer(b"".join(c.to_pylist()), np.uint64).reshape(len(c), -1)
+            return c.to_numpy(zero_copy_only=False).astype(np.int64)
+
         for batch in batches:
             if not batch.num_rows:
                 continue
-            own = [batch.column(i) for i in range(7)]
-            bits = np.frombuffer(b"".join(own[5].to_pylist()), np.uint64).reshape(-1, 8)
-            held.append([bits if i == 5 else c.to_numpy(zero_copy_only=False) for i, c in enumerate(own)])
+            held.append([column(c) for c in batch.columns])
             rows += batch.num_rows
             if rows >= chunk:
                 parts = [np.concatenate(x) for x in zip(*held, strict=True)]
@@ -292,7 +309,7 @@ def candidate_links(cells: DataFrame, similarity: float, span, chunk: int = 1 <<
         if held and len(held[0][0]):
             yield links([np.concatenate(x) for x in zip(*held, strict=True)])
 
-    return cells.repartition("key", "pair").sortWithinPartitions("key", "pair", "rep").mapInArrow(run, "a long, b long").distinct()
+    return dealt.repartition("key", "pair").sortWithinPartitions("key", "pair", "rep").mapInArrow(run, "a long, b long").distinct()
 
 
 def shingle_sets(docs: DataFrame, width: int) -> DataFrame:
@@ -300,7 +317,7 @@ def shingle_sets(docs: DataFrame, width: int) -> DataFrame:
 
     def run(batches):
         kind = pa.list_(pa.int64())
-        for batch, texts in _some(batches, 1):
+        for batch, texts in some_texts(batches, 1):
             sets = [np.sort(np.unique(shingle_hashes(t, width)).view(np.int64)) for t in texts]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, kind)], ["doc_id", "shingles"])
 
@@ -319,6 +336,7 @@ def verified(docs: DataFrame, links: DataFrame, width: int, similarity: float) -
     parts = F.coalesce("parts", F.lit(1))
     dealt = join_ids(links, fan, "a", "left").select("a", "b", F.pmod(F.xxhash64("b"), parts).alias("part"))
     left = join_ids(left, fan, "a", "left").select("a", "sa", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)).alias("part"))
+    num, den = Fraction(str(similarity)).as_integer_ratio()
     both = dealt.join(left, ["a", "part"]).join(right, "b").select("a", "b", "sa", "sb")
 
     def run(batches):
@@ -331,7 +349,7 @@ def verified(docs: DataFrame, links: DataFrame, width: int, similarity: float) -
                     x, y = y, x
                 at = np.minimum(np.searchsorted(y, x), max(len(y) - 1, 0))
                 shared = int((y[at] == x).sum()) if len(y) else 0
-                keep[i] = shared >= similarity * (len(x) + len(y) - shared)
+                keep[i] = den * shared >= num * (len(x) + len(y) - shared)
             yield batch.select([0, 1]).filter(pa.array(keep))
 
     return both.mapInArrow(run, "a long, b long")
@@ -367,8 +385,9 @@ def similar_roots(docs: DataFrame, width: int = 5, similarity: float = 0.8, bloc
         if not lists.take(1):
             break
         ids = cut(lists.select("rep").distinct())
-        cells = _cells(lists.join(join_ids(parity, ids, "rep", "inner"), "rep"), block)
-        links = cut(_possible(candidate_links(cells, similarity, span), reps, similarity))
+        dealt = cells(lists.join(join_ids(parity, ids, "rep", "inner"), "rep"), block, "root", "n", "at", "parity")
+        bounds = lambda n, at, parity: bounded_pairs(n, at, parity, similarity)
+        links = cut(_possible(candidate_links(dealt, bounds, span), reps, similarity))
         if links.take(1):
             good = cut(good.unionByName(verified(docs, links, width, similarity)))
             roots = components(good)
