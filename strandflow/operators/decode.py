@@ -6,6 +6,7 @@ read and never shuffled. All scores are logs in 32 bits, rebased at every step.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import lru_cache
 from itertools import product
 
@@ -14,6 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .components import cut
 from .topology import NEXT
 
 N, ABSENT = 20, -1000.0
@@ -63,53 +65,111 @@ def codon_table(patterns: dict[str, float]) -> np.ndarray:
     return out
 
 
-def base_weights(bases: str, width: int) -> np.ndarray:
-    """(width, 4) one-hot rows; an unknown base and what is missing counts a quarter each."""
-    code = np.frombuffer(bases.upper().encode("ascii", "replace"), np.uint8)[:width]
-    out = np.full((width, 4), 0.25)
-    known = np.isin(code, np.frombuffer(b"ACGT", np.uint8))
-    rows = np.flatnonzero(known)
-    out[rows] = 0
-    out[rows, np.searchsorted(np.frombuffer(b"ACGT", np.uint8), code[rows])] = 1
+_CODE = np.full(256, 4, np.uint8)
+_CODE[np.frombuffer(b"ACGTacgt", np.uint8)] = [0, 1, 2, 3, 0, 1, 2, 3]
+
+
+def base_codes(bases: str, width: int) -> np.ndarray:
+    """0 to 3 for ACGT in either case; 4 for other bases and for what is missing."""
+    out = np.full(width, 4, np.uint8)
+    known = _CODE[np.frombuffer(bases.encode("ascii", "replace"), np.uint8)[:width]]
+    out[: len(known)] = known
     return out
 
 
-def codon_terms(bases: str, width: int) -> np.ndarray:
-    """(width, 20) codon and splice factors of the states, from the bases beside each position."""
-    w = np.concatenate([np.full((2, 4), 0.25), base_weights(bases, width), np.full((2, 4), 0.25)])
+def _with_unknown(table: np.ndarray) -> np.ndarray:
+    """(5, 5, 5): a codon table in which an unknown base counts as a quarter of each."""
+    w = np.concatenate([np.eye(4), np.full((1, 4), 0.25)])
+    return np.einsum("ia,jb,kc,abc->ijk", w, w, w, table)
 
-    def score(table, shift):
-        return np.einsum("ia,ib,ic,abc->i", *[w[shift + k : shift + k + width] for k in range(3)], table)
 
-    out = np.full((width, N), 1 / 64)
+@lru_cache
+def _codon_scores() -> dict[str, np.ndarray]:
     coding = np.full((4, 4, 4), 1 / 61)
     for stop in STOP:
         coding[tuple("ACGT".index(c) for c in stop)] = 0
-    out[:, 7] = score(codon_table(START), 2)
-    for s in (8, 9, 10):
-        out[:, s] = score(codon_table(DONOR), 2)
-    out[:, 14] = score(codon_table(STOP), 0)
-    for s in (11, 12, 13):
-        out[:, s] = score(codon_table(ACCEPTOR), 0)
-    out[:, 6] = score(coding, 0)
-    out[:, 9] *= 64 * score(coding, 0)  # a donor on its left, no stop codon on its right
+    tables = {"start": codon_table(START), "stop": codon_table(STOP), "donor": codon_table(DONOR), "acceptor": codon_table(ACCEPTOR), "coding": coding}
+    return {name: _with_unknown(t) for name, t in tables.items()}
+
+
+def codon_terms(codes: np.ndarray) -> np.ndarray:
+    """(..., width, 20) codon and splice factors of the states, from the base codes beside each position."""
+    beside = np.pad(codes, [(0, 0)] * (codes.ndim - 1) + [(2, 2)], constant_values=4)
+    width = codes.shape[-1]
+
+    def score(name, shift):
+        return _codon_scores()[name][tuple(beside[..., shift + k : shift + k + width] for k in range(3))]
+
+    out = np.full((*codes.shape, N), 1 / 64)
+    coding = score("coding", 0)
+    out[..., 7] = score("start", 2)
+    out[..., 8:11] = score("donor", 2)[..., None]
+    out[..., 14] = score("stop", 0)
+    out[..., 11:14] = score("acceptor", 0)[..., None]
+    out[..., 6] = coding
+    out[..., 9] *= 64 * coding  # a donor on its left, no stop codon on its right
     return out
 
 
+def _sources(steps: np.ndarray) -> np.ndarray:
+    """(q, k) the states from which each state can be reached, lowest first, filled up with q."""
+    found = [np.flatnonzero(steps[:, j]) for j in range(steps.shape[1])]
+    out = np.full((len(found), max(1, *map(len, found))), len(steps))
+    for j, f in enumerate(found):
+        out[j, : len(f)] = f
+    return out
+
+
+def _best_step(v: np.ndarray, sources: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of v (q + 1, B; the last row never wins) the best value at each state and where it comes from
+    (ties: the lowest source). weights: (q, k, 1) or (q, k, B)."""
+    best, at = v[sources[:, 0]] + weights[:, 0], np.zeros((len(sources), v.shape[1]), np.uint8)
+    for k in range(1, sources.shape[1]):
+        other = v[sources[:, k]] + weights[:, k]
+        better = other > best
+        best = np.where(better, other, best)
+        at[better] = k
+    return best, at
+
+
+def _traced(last: np.ndarray, back: np.ndarray, sources: np.ndarray) -> np.ndarray:
+    """(B, L) the states on the best way to ``last`` (B), by back (L, q, B)."""
+    rows = np.arange(len(last))
+    path = np.empty((len(last), len(back)), np.int64)
+    for t in range(len(back) - 1, -1, -1):
+        path[:, t] = last
+        last = sources[last, back[t, last, rows]]
+    return path
+
+
 def viterbi(scores: np.ndarray, steps: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """Best paths of a batch: scores (B, L, q), steps (q, q), first (q). Ties go to the lowest state."""
+    """Best paths of a batch: scores (B, L, q), steps (q, q), first (q). Ties go to the lowest state.
+
+    Only steps that aren't absent are tried, but for rows in which an absent one may be the best."""
     b, length, q = scores.shape
-    back = np.zeros((b, length, q), np.uint8)
-    v = first + scores[:, 0]
+    sources = _sources(steps > ABSENT)
+    weights = np.concatenate([steps, np.full((1, q), -np.inf, steps.dtype)])[sources, np.arange(q)[:, None]][:, :, None]
+    back = np.zeros((length, q, b), np.uint8)
+    dense: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+    v = (first + scores[:, 0]).T
     for t in range(1, length):
-        v = v - v.max(axis=1, keepdims=True)
-        reach = v[:, :, None] + steps
-        back[:, t] = reach.argmax(axis=1)
-        v = reach.max(axis=1) + scores[:, t]
-    path = np.zeros((b, length), np.int64)
-    path[:, -1] = v.argmax(axis=1)
-    for t in range(length - 1, 0, -1):
-        path[:, t - 1] = back[np.arange(b), t, path[:, t]]
+        v = v - v.max(axis=0)
+        best, back[t] = _best_step(np.concatenate([v, np.full((1, b), -np.inf, v.dtype)]), sources, weights)
+        low = np.flatnonzero((best <= ABSENT).any(axis=0))
+        if len(low):
+            reach = v[:, None, low] + steps[:, :, None]
+            best[:, low] = reach.max(axis=0)
+            dense[t] = low, reach.argmax(axis=0)
+        v = best + scores[:, t].T
+    rows, at = np.arange(b), v.argmax(axis=0)
+    path = np.empty((b, length), np.int64)
+    for t in range(length - 1, -1, -1):
+        path[:, t] = at
+        before = sources[at, back[t, at, rows]]
+        if t in dense:
+            low, source = dense[t]
+            before[low] = source[at[low], np.arange(len(low))]
+        at = before
     return path
 
 
@@ -174,84 +234,358 @@ def expanded(stops: tuple[str, ...] = ("TAA", "TAG", "TGA")) -> tuple[list[tuple
     return nodes, allowed, initial
 
 
-def _codes(bases: str, length: int) -> np.ndarray:
-    w = base_weights(bases, length)
-    return np.where(w.max(axis=1) == 1, w.argmax(axis=1), 4)
+#: The non-coding reading that short frames compete with: UTR states whose side doesn't bind, entered from and left
+#: to intergenic. Its places, and which of them follow one another.
+SILENT = (("exon5", 15), ("exon3", 16), ("donor5", 17), ("intron5", 18), ("acceptor5", 19), ("donor3", 17), ("intron3", 18), ("acceptor3", 19))
+SILENT_STEPS = (
+    "exon5 exon5, exon5 donor5, donor5 intron5, intron5 intron5, intron5 acceptor5, acceptor5 exon5, acceptor5 exon3, exon5 exon3, "
+    "exon3 exon3, exon3 donor3, donor3 intron3, intron3 intron3, intron3 acceptor3, acceptor3 exon3"
+)
+
+
+@lru_cache
+def graph(silent: bool = False):
+    """labels (n), initial (5 bases, n), sources (n, k), weights (5, n, k; -inf where a step isn't allowed),
+    shown (n) and own (n): the automaton of expanded(), with the non-coding reading if ``silent``.
+    shown is the state a place stands for in the result; own is false for the places of that reading."""
+    nodes, allowed, initial = expanded()
+    labels = np.array([s for s, _ in nodes])
+    shown, own = labels, np.ones(len(labels), bool)
+    if silent:
+        place = {name: len(labels) + i for i, (name, _) in enumerate(SILENT)}
+        between = nodes.index((0, ""))
+        labels = np.append(labels, [s for _, s in SILENT])
+        shown, own = np.append(shown, np.zeros(len(SILENT), int)), np.append(own, np.zeros(len(SILENT), bool))
+        initial = np.pad(initial, ((0, 0), (0, len(SILENT))), constant_values=True)
+        allowed = np.pad(allowed, ((0, 0), (0, len(SILENT)), (0, len(SILENT))))
+        for step in SILENT_STEPS.split(", "):
+            a, b = (place[x] for x in step.split())
+            allowed[:, a, b] = True
+        allowed[:, between, place["exon5"]] = allowed[:, place["exon3"], between] = True
+    sources = _sources(allowed.any(axis=0))
+    steps = np.where(allowed, log_or_absent(transitions())[np.ix_(labels, labels)], -np.inf)
+    steps = np.concatenate([steps, np.full((5, 1, len(labels)), -np.inf)], axis=1).astype(np.float32)
+    weights = steps[:, sources, np.arange(len(labels))[:, None]]
+    return labels, initial, sources, weights, shown, own
+
+
+def legal_paths(paths: np.ndarray, codes: np.ndarray) -> np.ndarray:
+    """Which of the paths (B, L) over base codes (B, L) keep to legal steps, with codon and UTR memory?"""
+    labels, initial, sources, weights, _, _ = graph()
+    b, length = paths.shape
+    if not length:
+        return np.ones(b, bool)
+    allowed = np.isfinite(weights).transpose(1, 2, 0)
+    live = np.zeros((len(labels) + 1, b), bool)
+    live[:-1] = initial[codes[:, 0]].T & (labels[:, None] == paths[:, 0])
+    for t in range(1, length):
+        on = labels[:, None] == paths[:, t]
+        came = np.zeros((len(labels), b), bool)
+        for k in range(sources.shape[1]):
+            came |= live[sources[:, k]] & allowed[:, k][:, codes[:, t]]
+        live[:-1] = came & on
+    return live.any(axis=0)
 
 
 def is_legal(path: np.ndarray, bases: str) -> bool:
     """Are all steps of a path legal, with codon and UTR memory?"""
-    nodes, allowed, initial = expanded()
-    state = np.array([s for s, _ in nodes])
-    code = _codes(bases, len(path))
-    live = initial[code[0]] & (state == path[0]) if len(path) else np.ones(1, bool)
-    for t in range(1, len(path)):
-        live = allowed[code[t]][live].any(axis=0) & (state == path[t])
-    return bool(live.any())
+    return bool(legal_paths(path[None], base_codes(bases, len(path))[None])[0])
 
 
-def constrained_viterbi(scores: np.ndarray, bases: str, anchors: dict[int, int] | None = None) -> np.ndarray:
-    """Best legal path of one window (L, 20) under the memory constraints; ``anchors`` fixes
-    states at positions. Raises if no path is legal."""
-    nodes, allowed, initial = expanded()
-    state = np.array([s for s, _ in nodes])
-    steps = log_or_absent(transitions())[np.ix_(state, state)]
-    code, length = _codes(bases, len(scores)), len(scores)
-    back = np.zeros((length, len(nodes)), np.uint8)
+def constrained_paths(scores: np.ndarray, codes: np.ndarray, fixed: np.ndarray | None = None, silent: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """Best legal paths (B, L) of scores (B, L, 20) over base codes (B, L), and which rows have one.
 
-    def fixed(t, v):
-        return np.where(state == anchors[t], v, -np.inf) if anchors and t in anchors else v
+    fixed (B, L) holds the states that a path must have at its positions, -1 where it is free. With
+    ``silent`` the non-coding reading takes part wherever a path is free; it counts as intergenic."""
+    labels, initial, sources, weights, shown, own = graph(silent)
+    b, length, _ = scores.shape
+    back = np.zeros((length, len(labels), b), np.uint8)
+    table = np.ascontiguousarray(weights.transpose(1, 2, 0))
+    v = np.full((len(labels) + 1, b), -np.inf, np.float32)
 
-    v = fixed(0, np.where(initial[code[0]], scores[0][state], -np.inf))
-    masked = np.where(allowed, steps, -np.inf)
+    def reached(t, best):
+        best = best + scores[:, t].T[labels]
+        if fixed is not None:
+            kept = fixed[:, t]
+            best[((labels[:, None] != kept) | ~own[:, None]) & (kept >= 0)] = -np.inf
+        return best
+
+    v[:-1] = reached(0, np.where(initial[codes[:, 0]].T, np.float32(0), np.float32(-np.inf)))
     for t in range(1, length):
-        if not np.isfinite(v.max()):
-            break
-        reach = (v - v.max())[:, None] + masked[code[t]]
-        back[t] = reach.argmax(axis=0)
-        v = fixed(t, reach.max(axis=0) + scores[t][state])
-    if not np.isfinite(v.max()):
+        top = v.max(axis=0)
+        v -= np.where(np.isfinite(top), top, 0)
+        best, back[t] = _best_step(v, sources, table[:, :, codes[:, t]])
+        v[:-1] = reached(t, best)
+    ends = v[:-1]
+    path = _traced(ends.argmax(axis=0), back, np.minimum(sources, len(labels) - 1))
+    return shown[path], np.isfinite(ends.max(axis=0))
+
+
+def constrained_viterbi(scores: np.ndarray, bases: str, anchors: dict[int, int] | None = None) -> np.ndarray:
+    """Best legal path of one window (L, 20) under the memory constraints; ``anchors`` fixes
+    states at positions. Raises if no path is legal."""
+    fixed = np.full((1, len(scores)), -1)
+    for at, state in (anchors or {}).items():
+        fixed[0, at] = state
+    paths, found = constrained_paths(scores[None], base_codes(bases, len(scores))[None], fixed)
+    if not found[0]:
         raise ValueError("no legal path through this window")
-    at, path = int(v.argmax()), np.zeros(length, np.int64)
-    for t in range(length - 1, -1, -1):
-        path[t] = state[at]
-        at = back[t, at]
-    return path
+    return paths[0]
 
 
-def emissions(probs: np.ndarray, bases: str | None, smoothing: float = 0.01) -> np.ndarray:
-    """Log emission scores (L, 20): smoothed class probabilities times codon terms."""
+def emissions(probs: np.ndarray, bases: str | np.ndarray | None, smoothing: float = 0.01) -> np.ndarray:
+    """Log emission scores (..., L, 20): smoothed class probabilities times codon terms (bases as text or codes)."""
     kernel = np.full((N, N), smoothing / (N - 1))
     np.fill_diagonal(kernel, 1 - smoothing)
     out = probs @ kernel.T
-    return log_or_absent(out * codon_terms(bases, len(probs))) if bases is not None else log_or_absent(out)
+    if bases is None:
+        return log_or_absent(out)
+    return log_or_absent(out * codon_terms(base_codes(bases, len(probs)) if isinstance(bases, str) else bases))
+
+
+#: The coding bases below which a complete frame is short (a fixed value).
+SHORT = 60
+
+
+def stretches(on: np.ndarray) -> np.ndarray:
+    """(n, 2) first and end of the runs of true values."""
+    return np.flatnonzero(np.diff(np.pad(on.astype(np.int8), 1))).reshape(-1, 2)
+
+
+def coding_frames(path: np.ndarray):
+    """Every genic stretch with coding bases: first, end, and whether it is a complete frame of
+    fewer than SHORT coding bases."""
+    coding, heads, stops = (np.concatenate(([0], np.cumsum(x))) for x in ((path >= 4) & (path <= 14), path == 7, path == 14))
+    for a, b in stretches(path != 0).tolist():
+        n = coding[b] - coding[a]
+        if n:
+            yield a, b, bool(n < SHORT and heads[b] - heads[a] == 1 == stops[b] - stops[a])
+
 
+def short_frames(path: np.ndarray) -> tuple[bool, np.ndarray]:
+    """Is there a short complete frame, and which positions belong to the other coding
+    stretches, which a second decoding must leave as they are?"""
+    frames = list(coding_frames(path))
+    protected = np.zeros(len(path), bool)
+    for a, b, short in frames:
+        protected[a:b] |= not short
+    return any(short for *_, short in frames), protected
 
-#: Windows of one length that are decoded side by side.
-TOGETHER = 256
 
+def repaired_paths(scores: np.ndarray, codes: np.ndarray) -> np.ndarray:
+    """Best legal paths. Where one has short complete frames, it is decoded again with the non-coding reading
+    beside the model's own, while all its other coding stretches stay as they are."""
+    paths, found = constrained_paths(scores, codes)
+    if not found.all():
+        raise ValueError("no legal path through a window")
+    short, protected = zip(*map(short_frames, paths), strict=True)
+    again = np.flatnonzero(short)
+    if len(again):
+        fixed = np.where(np.array(protected)[again], paths[again], -1)
+        paths[again], _ = constrained_paths(scores[again], codes[again], fixed, silent=True)
+    return paths
 
-def decode_windows(windows: DataFrame, keys: str, use_bases: bool = True, repair: bool = True) -> DataFrame:
+
+#: Windows of one length that are decoded side by side, and positions of all of them together.
+TOGETHER, POSITIONS = 256, 400_000
+
+
+def _side_by_side(sizes: list[int]):
+    """Index lists of windows of one length above zero, few enough to be held together."""
+    by_length: dict[int, list[int]] = {}
+    for i, n in enumerate(sizes):
+        by_length.setdefault(n, []).append(i)
+    for n, part in by_length.items():
+        step = max(1, min(TOGETHER, POSITIONS // max(n, 1)))
+        yield from (part[i : i + step] for i in range(0, len(part) if n else 0, step))
+
+
+def has_coding_signal(probs: np.ndarray, width: int = 200, least: float = 0.8) -> np.ndarray:
+    """(B) has some frame of ``width`` positions (or the whole of a shorter window) of probs (B, L, 20) a mean
+    probability of coding states of at least ``least``?"""
+    coding = np.concatenate([np.zeros((len(probs), 1)), np.cumsum(probs[..., 4:15].sum(axis=-1), axis=1)], axis=1)
+    width = min(width, probs.shape[1])
+    return ((coding[:, width:] - coding[:, :-width]) / width >= least).any(axis=1)
+
+
+def decoded(probs: np.ndarray, codes: np.ndarray | None, repair: bool = True, prefilter: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """Paths (B, L) of windows of one length, and which were decoded again under the constraints.
+
+    Every window takes its unconstrained best path; only those that break a memory rule take the
+    best legal one. With ``prefilter`` windows without a coding signal are intergenic throughout."""
+    paths, again = np.zeros(probs.shape[:2], np.int64), np.zeros(len(probs), bool)
+    live = np.flatnonzero(has_coding_signal(probs)) if prefilter else np.arange(len(probs))
+    if not len(live):
+        return paths, again
+    own = None if codes is None else codes[live]
+    scores = emissions(probs[live], own)
+    paths[live] = viterbi(scores, log_or_absent(transitions()), np.full(N, -np.log(N), np.float32))
+    if repair and own is not None:
+        bad = np.flatnonzero(~legal_paths(paths[live], own))
+        if len(bad):
+            paths[live[bad]], again[live[bad]] = repaired_paths(scores[bad], own[bad]), True
+    return paths, again
+
+
+#: Prior weights of the 20 states for motif_scorer, about their share of a compact genome.
+PRIOR = np.array([0.5] + [0.04] * 3 + [0.08] * 3 + [0.01] + [0.01] * 6 + [0.01] + [0.02] * 2 + [0.005, 0.02, 0.005])
+
+
+def motif_scorer(codes: np.ndarray) -> np.ndarray:
+    """(B, L, 20) class probabilities from the bases alone: PRIOR, raised at start and stop codons and splice
+    sites and lowered where a motif is missing. A stand-in where no trained scorer's output is given."""
+    out = PRIOR * (64 * codon_terms(codes) + 0.01)
+    return out / out.sum(axis=-1, keepdims=True)
+
+
+def decode_windows(
+    windows: DataFrame, keys: str, use_bases: bool = True, repair: bool = True, prefilter: bool = False, scorer: Callable | None = None
+) -> DataFrame:
     """windows(keys..., p array<array<float>>, bases string in transcription order) -> keys,
     states array<int>, repaired boolean.
 
-    Every window takes its unconstrained best path; only those that break a memory rule
-    are decoded again under the constraints. keys: a DDL list of the columns to carry."""
+    keys: a DDL list of the columns to carry. Scores use the bases only with ``use_bases``; paths are
+    repaired by them in any case, where a window has them. A window without probabilities has no states.
+    With a ``scorer``, a function from base codes (B, L) to probabilities (B, L, 20), p is not read: windows are
+    scored where they are decoded and no probability is ever written or moved."""
+    names = [c.split()[0] for c in keys.split(",")]
+
+    def run(batches):
+        for pdf in batches:
+            bases = pdf["bases"].tolist()
+            if scorer is None:
+                probs = [np.asarray([] if p is None else p, np.float64).reshape(-1, N) for p in pdf["p"]]
+                sizes = [len(p) for p in probs]
+            else:
+                sizes = [len(b or "") for b in bases]
+            out, fixed = [[]] * len(sizes), [False] * len(sizes)
+            for same in _side_by_side(sizes):
+                for known in (True, False):
+                    own = [i for i in same if (bases[i] is not None) == known]
+                    if not own:
+                        continue
+                    n = sizes[own[0]]
+                    codes = np.stack([base_codes(bases[i], n) for i in own]) if known else None
+                    stack = np.stack([probs[i] for i in own]) if scorer is None else scorer(codes)
+                    if use_bases or not known:
+                        paths, again = decoded(stack, codes, repair, prefilter)
+                    else:
+                        paths, again = decoded(stack, None, False, prefilter)
+                        bad = np.flatnonzero(~legal_paths(paths, codes)) if repair else []
+                        if len(bad):
+                            paths[bad], again[bad] = repaired_paths(emissions(stack[bad], None), codes[bad]), True
+                    for i, path, done in zip(own, paths, again.tolist(), strict=True):
+                        out[i], fixed[i] = path, done
+            yield pd.DataFrame({**{n: pdf[n] for n in names}, "states": out, "repaired": fixed})
+
+    read = [*names, "bases"] if scorer is not None else [*names, F.flatten("p").alias("p"), "bases"]
+    return windows.select(*read).mapInPandas(run, f"{keys}, states array<int>, repaired boolean")
+
+
+def posterior_windows(windows: DataFrame, keys: str, use_bases: bool = True) -> DataFrame:
+    """windows(keys..., p, bases) -> keys, states array<int>, confidence array<float>: at each position the state
+    that has the largest posterior probability over all paths (ties: the lowest), and that probability."""
     names = [c.split()[0] for c in keys.split(",")]
 
     def run(batches):
         steps, first = log_or_absent(transitions()), np.full(N, -np.log(N), np.float32)
         for pdf in batches:
             probs = [np.asarray([] if p is None else p, np.float64).reshape(-1, N) for p in pdf["p"]]
-            bases, by_length = pdf["bases"].tolist(), {}
-            for i, p in enumerate(probs):
-                by_length.setdefault(len(p), []).append(i)
-            out, fixed = [np.zeros(0, np.int64)] * len(probs), [False] * len(probs)
-            for same in (part[i : i + TOGETHER] for length, part in by_length.items() if length for i in range(0, len(part), TOGETHER)):
-                scores = np.stack([emissions(probs[i], bases[i] if use_bases else None) for i in same])
-                for i, own, path in zip(same, scores, viterbi(scores, steps, first), strict=True):
-                    fixed[i] = bool(repair and bases[i] is not None and not is_legal(path, bases[i]))
-                    out[i] = constrained_viterbi(own, bases[i]) if fixed[i] else path
-            yield pd.DataFrame({**{n: pdf[n] for n in names}, "states": [o.tolist() for o in out], "repaired": fixed})
-
-    return windows.select(*names, F.flatten("p").alias("p"), "bases").mapInPandas(run, f"{keys}, states array<int>, repaired boolean")
+            bases = pdf["bases"].tolist()
+            states, sure = [[]] * len(probs), [[]] * len(probs)
+            for same in _side_by_side([len(p) for p in probs]):
+                for i, post in zip(same, posterior(np.stack([emissions(probs[i], bases[i] if use_bases else None) for i in same]), steps, first), strict=True):
+                    states[i], sure[i] = post.argmax(axis=1), post.max(axis=1).astype(np.float32)
+            yield pd.DataFrame({**{n: pdf[n] for n in names}, "states": states, "confidence": sure})
+
+    return windows.select(*names, F.flatten("p").alias("p"), "bases").mapInPandas(run, f"{keys}, states array<int>, confidence array<float>")
+
+
+# ---------------------------------------------------------------- whole sequences, in chunks
+
+
+def chunk_matrices(scores: np.ndarray, steps: np.ndarray, entry: np.ndarray) -> np.ndarray:
+    """(B, q, q): for chunks (B, L, q), the best score from each state at the last position before the chunk,
+    by the steps in ``entry`` (B, q, q), to each state at its end. These compose by sums and maxima, in any grouping."""
+    b, length, q = scores.shape
+    m = entry + scores[:, None, 0]
+    sources = _sources(steps > ABSENT)
+    weights = np.concatenate([steps, np.full((1, q), -np.inf)])[sources, np.arange(q)[:, None]]
+    for t in range(1, length):
+        best = m.max(axis=2, keepdims=True) + ABSENT  # what an absent step would give
+        padded = np.concatenate([m, np.full((b, q, 1), -np.inf)], axis=2)
+        for k in range(sources.shape[1]):
+            best = np.maximum(best, padded[:, :, sources[:, k]] + weights[:, k])
+        m = best + scores[:, None, t]
+    return m
+
+
+def border_states(matrices: np.ndarray) -> np.ndarray:
+    """(C) the states at the ends of chunks (C, q, q) on the best path through all of them, with any state before the first."""
+    v = matrices[0].max(axis=0)
+    reached = [v - v.max()]
+    for m in matrices[1:]:
+        v = (reached[-1][:, None] + m).max(axis=0)
+        reached.append(v - v.max())
+    out = np.empty(len(matrices), np.int64)
+    out[-1] = int(reached[-1].argmax())
+    for c in range(len(matrices) - 1, 0, -1):
+        out[c - 1] = int((reached[c - 1] + matrices[c][:, out[c]]).argmax())
+    return out
+
+
+#: Chunks whose border states may be broadcast; beyond it chunks and borders are shuffled.
+BROADCAST_CHUNKS = 1_000_000
+
+
+def decode_sequences(chunks: DataFrame, use_bases: bool = False) -> DataFrame:
+    """chunks(seq_name, chunk, p, bases), chunk counting from 0 along a sequence -> seq_name, chunk, states: the
+    best path through the whole of each sequence, whatever its length. Chunks without positions have no states.
+
+    Three steps: each chunk's matrix of best scores between its two borders, where the chunk is;
+    one fold per sequence over the matrices (400 numbers a chunk), for the states at all borders; and each chunk's
+    path between its own two border states, where the chunk is. Chunks don't move while their borders
+    are few enough to be broadcast. Codon terms see no further than a chunk's own bases. Of equally good paths
+    it may be another than one decoding of the whole would take."""
+    kind = dict(chunks.dtypes)["seq_name"]
+    rows = chunks.select("seq_name", F.col("chunk").cast("long").alias("chunk"), F.flatten("p").alias("p"), "bases")
+
+    def scored(pdf):
+        probs = [np.asarray([] if p is None else p, np.float64).reshape(-1, N) for p in pdf["p"]]
+        bases = pdf["bases"].tolist()
+        for same in _side_by_side([len(p) for p in probs]):
+            yield same, np.stack([emissions(probs[i], bases[i] if use_bases else None) for i in same]).astype(np.float64)
+
+    def entries(state, steps):
+        """Scores of the steps into a chunk from a state; a free entry where there is none."""
+        return np.where((state < 0)[:, None], 0.0, steps[state])
+
+    def matrices(batches):
+        steps = log_or_absent(transitions()).astype(np.float64)
+        for pdf in batches:
+            name, chunk = pdf["seq_name"].to_numpy(), pdf["chunk"].to_numpy()
+            for same, scores in scored(pdf):
+                entry = np.where((chunk[same] == 0)[:, None, None], 0.0, steps)
+                yield pd.DataFrame({"seq_name": name[same], "chunk": chunk[same], "m": list(chunk_matrices(scores, steps, entry).reshape(len(same), -1))})
+
+    def fold(pdf):
+        pdf = pdf.sort_values("chunk")
+        leave = border_states(np.stack(pdf["m"].to_numpy()).reshape(-1, N, N))
+        return pd.DataFrame({"seq_name": pdf["seq_name"], "chunk": pdf["chunk"], "entry": np.append(-1, leave[:-1]), "leave": leave})
+
+    def paths(batches):
+        steps = log_or_absent(transitions()).astype(np.float64)
+        for pdf in batches:
+            states, ends = [[]] * len(pdf), pdf[["entry", "leave"]].to_numpy()
+            for same, scores in scored(pdf):
+                entry, leave = ends[same].astype(np.int64).T
+                scores[np.arange(len(same)), -1] = np.where(np.arange(N) == leave[:, None], scores[:, -1], -np.inf)
+                for i, path in zip(same, viterbi(scores, steps, entries(entry, steps)), strict=True):
+                    states[i] = path
+            yield pd.DataFrame({"seq_name": pdf["seq_name"], "chunk": pdf["chunk"], "states": states})
+
+    found = rows.mapInPandas(matrices, f"seq_name {kind}, chunk long, m array<double>")
+    borders = cut(found.groupBy("seq_name").applyInPandas(fold, f"seq_name {kind}, chunk long, entry long, leave long"))
+    few = borders.count() <= BROADCAST_CHUNKS
+    placed = rows.join(F.broadcast(borders) if few else borders, ["seq_name", "chunk"], "left")
+    return placed.mapInPandas(paths, f"seq_name {kind}, chunk long, states array<int>")

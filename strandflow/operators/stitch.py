@@ -29,52 +29,103 @@ def seams(windows: DataFrame) -> DataFrame:
     return marked.withColumn("block", F.sum(fresh).over(order.rowsBetween(Window.unboundedPreceding, 0)).cast("long"))
 
 
-def _conflict(left: list[tuple], right: list[tuple]) -> bool:
-    """Do the UTR contexts on the two sides of a seam name both sides of a gene across a splice?"""
-    sides, splice = set(), False
-    for ranges, at, step in ((left[::-1], left[-1][2], -1), (right, right[0][1], 1)):
-        for kind, start, end in ranges:
-            touch, far = (end, start) if step < 0 else (start, end)
-            if kind not in CONTEXT or touch != at:
-                break
-            sides |= {kind} & set(SIDES)
-            splice |= kind not in SIDES
-            at = far + step
-    return splice and len(sides) > 1 and left[-1][0] in CONTEXT and right[0][0] in CONTEXT
+#: What a run of a window's path carries on: its states at both ends in genomic order, how many start and
+#: stop states it has, and whether all steps inside it are legal.
+SUMMARY = ("first_state", "last_state", "starts", "stops", "legal")
+
+
+def _conflicts(rows: list[tuple]) -> list:
+    """Windows of one UTR context, as (win_start, sides, splice) in order, before which it must be cut:
+    those with which what has been joined so far would have two sides and a splice."""
+    out, sides, splice = [], set(), False
+    for nth, (at, own, spliced) in enumerate(rows):
+        if nth and (splice or spliced) and len(sides | own) > 1:
+            out.append(at)
+            sides, splice = set(own), spliced
+        else:
+            sides, splice = sides | own, splice or spliced
+    return out
+
+
+def context_cuts(rows: DataFrame) -> DataFrame:
+    """rows(seq, strand, block, win_start, kind, start, end) -> seq, strand, block, at: windows whose join to the
+    window before would give one UTR two sides.
+
+    That depends on what is joined before, but only as far back as UTR and introns go on without
+    a gap, so it is folded for each such context that has two sides, a splice and several windows, and
+    not for a whole sequence. A context has a row a window there."""
+    key = ["seq", "strand", "block"]
+    order = Window.partitionBy(*key).orderBy("start")
+    inside = F.col("kind").isin(*CONTEXT)
+    linked = F.coalesce(inside & F.lag(inside).over(order) & (F.lag("end").over(order) + 1 == F.col("start")), F.lit(False))
+    marked = rows.withColumn("_fresh", (~linked).cast("int")).withColumn("context", F.sum("_fresh").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    sides = F.sort_array(F.collect_set(F.when(F.col("kind").isin(*SIDES), F.col("kind"))))
+    own = marked.where(inside).groupBy(*key, "context", "win_start").agg(sides.alias("sides"), F.bool_or(~F.col("kind").isin(*SIDES)).alias("splice"))
+    whole = Window.partitionBy(*key, "context")
+    both = F.size(F.array_distinct(F.flatten(F.collect_set("sides").over(whole)))) > 1
+    own = own.withColumn("_both", both).withColumn("_splice", F.max("splice").over(whole)).withColumn("_windows", F.count("*").over(whole))
+
+    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("win_start")
+        cuts = _conflicts([(w, set(x), bool(y)) for w, x, y in zip(pdf["win_start"], pdf["sides"], pdf["splice"], strict=True)])
+        return pdf[pdf["win_start"].isin(cuts)][[*key, "win_start"]].rename(columns={"win_start": "at"})
+
+    kinds = dict(rows.dtypes)
+    schema = ", ".join(f"{c} {kinds[c]}" for c in key) + f", at {kinds['win_start']}"
+    return own.where("_both AND _splice AND _windows > 1").drop("_both", "_splice", "_windows").groupBy(*key, "context").applyInPandas(fold, schema)
+
+
+def _joined(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """Touching ranges of one kind made one, with what they carry."""
+    carried = [c for c in SUMMARY if c in rows.columns]
+    if not carried:
+        return merge_runs(rows, keys, "kind")
+    order = Window.partitionBy(*keys).orderBy("start")
+    linked = F.coalesce(F.lag("kind").over(order).eqNullSafe(F.col("kind")) & (F.lag("end").over(order) + 1 == F.col("start")), F.lit(False))
+    step = legal_step(F.lag("last_state").over(order), F.col("first_state"), F.col("strand"))
+    marked = rows.withColumn("_fresh", (~linked).cast("int")).withColumn("_ok", F.col("legal") & (~linked | step))
+    marked = marked.withColumn("_run", F.sum("_fresh").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    return marked.groupBy(*keys, "_run", "kind").agg(
+        F.max("end").alias("end"), F.min_by("first_state", "start").alias("first_state"), F.max_by("last_state", "start").alias("last_state"),
+        F.sum("starts").alias("starts"), F.sum("stops").alias("stops"), F.bool_and("_ok").alias("legal"), F.min("start").alias("start"),
+    ).drop("_run")
 
 
 def stitch(windows: DataFrame, ranges: DataFrame) -> DataFrame:
-    """Blocks of ranges: seq, strand, block, kind, start, end.
+    """Blocks of ranges: seq, strand, block, kind, start, end, block_start and, if ranges have them, the
+    SUMMARY columns.
 
     ranges(seq, strand, win_start, kind, start, end) are each window's own. Blocks from
-    seams() are cut further where a join would give one UTR two sides; that depends on
-    what is joined before, so such blocks, and only those with UTR context at a seam, are
-    folded in order, each on its own."""
+    seams() are cut further where a join would give one UTR two sides (see context_cuts)."""
     placed = seams(windows).select("seq", "strand", F.col("start").alias("win_start"), "block")
     rows = ranges.join(placed, ["seq", "strand", "win_start"])
-    sides = F.collect_set(F.when(F.col("kind").isin(*SIDES), F.col("kind")))
-    mixed = rows.groupBy("seq", "strand", "block").agg(F.size(sides).alias("_sides"), F.count_distinct("win_start").alias("_windows"))
-    rows = rows.join(mixed, ["seq", "strand", "block"])
-    unsure = (F.col("_sides") > 1) & (F.col("_windows") > 1)
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        part, current, parts = 0, [], {}
-        for win, own in pdf.sort_values("start").groupby("win_start", sort=True):
-            mine = list(own[["kind", "start", "end"]].itertuples(index=False, name=None))
-            if current and _conflict(current, mine):
-                part, current = part + 1, []
-            current += mine
-            parts[win] = part
-        return pdf.assign(part=pdf["win_start"].map(parts)).drop(columns=["_sides", "_windows"])
-
-    schema = ", ".join(f"{c} {t}" for c, t in rows.drop("_sides", "_windows").dtypes) + ", part long"
-    folded = rows.where(unsure).groupBy("seq", "strand", "block").applyInPandas(fold, schema)
-    plain = rows.where(~unsure).drop("_sides", "_windows").withColumn("part", F.lit(0).cast("long"))
-    joined = merge_runs(folded.unionByName(plain), ["seq", "strand", "block", "part"], "kind")
-    first = F.min("start").over(Window.partitionBy("seq", "strand", "block", "part"))
+    key = ["seq", "strand", "block"]
+    cuts = context_cuts(rows).select(*key, F.col("at").alias("win_start"), F.lit(1).alias("_cut"))
+    rows = rows.join(cuts, [*key, "win_start"], "left")
+    order = Window.partitionBy(*key).orderBy("win_start", "start")
+    fresh = F.when(F.col("_cut").isNotNull() & (F.row_number().over(Window.partitionBy(*key, "win_start").orderBy("start")) == 1), 1).otherwise(0)
+    rows = rows.withColumn("_cut", fresh).withColumn("part", F.sum("_cut").over(order.rowsBetween(Window.unboundedPreceding, 0)).cast("long")).drop("_cut")
+    joined = _joined(rows, [*key, "part"])
+    first = F.min("start").over(Window.partitionBy(*key, "part"))
     return joined.withColumn("block_start", first).drop("part")
 
 
+def whole_coding(groups: DataFrame, keys: list[str]) -> DataFrame:
+    """groups(keys, strand, kind, start, end, SUMMARY) of split_transcripts() -> keys of those whose path from
+    the first to the last coding base is a complete coding path (see complete_paths)."""
+    every = Window.partitionBy(*keys)
+    coding = F.col("kind") == "CDS"
+    inner = groups.withColumn("_from", F.min(F.when(coding, F.col("start"))).over(every)).withColumn("_to", F.max(F.when(coding, F.col("end"))).over(every))
+    inner = inner.where("start >= _from AND end <= _to")
+    order = every.orderBy("start")
+    step = (F.lag("end").over(order) + 1 == F.col("start")) & legal_step(F.lag("last_state").over(order), F.col("first_state"), F.col("strand"))
+    rows = inner.withColumn("_ok", F.col("legal") & (F.lag("end").over(order).isNull() | step))
+    minus = F.min("strand") == "-"
+    low, high = F.min_by("first_state", "start"), F.max_by("last_state", "start")
+    ends = (F.when(minus, high).otherwise(low) == 7) & (F.when(minus, low).otherwise(high) == 14)
+    return rows.groupBy(*keys).agg((F.bool_and("_ok") & ends & (F.sum("starts") == 1) & (F.sum("stops") == 1)).alias("_whole")).where("_whole").drop("_whole")
+
+
 def resolve_utr(ranges: DataFrame, keys: list[str], strict: bool = False) -> DataFrame:
     """Give UTR splice markers the side of their context: keys, kind, start, end.
 

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..operators import annotation, decode, intervals, stitch, topology, windows
+from ..operators import annotation, decode, stitch, topology, windows
 from ..operators.components import cut
 
 
@@ -24,37 +28,87 @@ def genomic_paths(decoded: DataFrame, flank: int = 0) -> DataFrame:
     return rows.select("seq", "strand", "win_start", (F.col("win_start") + F.col("_i")).alias("pos"), "state")
 
 
-def models_from_paths(paths: DataFrame) -> DataFrame:
-    """Gene models of paths(seq, strand, win_start, pos, state): gene, tx, chrom, strand, feature, start, end.
-
-    Ranges of each window are stitched over legal seams and split at intergenic; groups at
-    a block's edges stay only if their coding path is complete; UTR markers get their side."""
-    kinds = paths.withColumn("kind", topology.feature_of(F.col("state")))
-    ranges = intervals.runs(kinds, ["seq", "strand", "win_start"], "kind")
-    ends = paths.groupBy("seq", "strand", "win_start").agg(
-        F.min("pos").alias("start"), F.max("pos").alias("end"), F.min_by("state", "pos").alias("first_state"), F.max_by("state", "pos").alias("last_state")
+def path_runs(decoded: DataFrame, flank: int = 0) -> DataFrame:
+    """decoded(seq_name, strand, core_start, core_end, states) -> seq, strand, win_start, kind, start, end and
+    stitch.SUMMARY: each window's runs of one feature in genomic order, without flanks and padding.
+
+    A window is encoded where it is decoded; no row a base is ever made."""
+    names = sorted(set(topology.FEATURES))
+    kinds = np.array([names.index(f) for f in topology.FEATURES])
+    may_follow = np.zeros((20, 20), bool)
+    for state, after in topology.NEXT.items():
+        may_follow[state, list(after)] = True
+    schema = "seq string, strand string, win_start long, kind string, start long, end long, first_state int, last_state int, starts int, stops int, legal boolean"
+
+    def encoded(states, strand, first, size):
+        path = np.asarray(states, np.int64)
+        path = (path[::-1] if strand == "-" else path)[flank : flank + size]
+        if not len(path):
+            return ()
+        if path.min() < 0 or path.max() > 19:
+            raise ValueError("a state is outside 0 to 19")
+        kind = kinds[path]
+        head = np.flatnonzero(np.concatenate(([True], kind[1:] != kind[:-1])))
+        tail = np.append(head[1:], len(path)) - 1
+        a, b = (path[1:], path[:-1]) if strand == "-" else (path[:-1], path[1:])
+        wrong = np.concatenate(([0], np.cumsum(~may_follow[a, b])))
+        count = lambda state: np.diff(np.concatenate(([0], np.cumsum(path == state)))[np.append(head, len(path))])
+        return zip([names[k] for k in kind[head]], (first + head).tolist(), (first + tail).tolist(), path[head].tolist(), path[tail].tolist(), count(7).tolist(), count(14).tolist(), (wrong[tail] == wrong[head]).tolist(), strict=True)
+
+    def run(batches):
+        for pdf in batches:
+            out = [
+                (r.seq_name, r.strand, r.core_start, *x)
+                for r in pdf.itertuples(index=False)
+                if r.core_end >= r.core_start and len(r.states)
+                for x in encoded(r.states, r.strand, r.core_start, r.core_end - r.core_start + 1)
+            ]
+            yield pd.DataFrame(out, columns=[c.split()[0] for c in schema.split(", ")])
+
+    return decoded.select("seq_name", "strand", "core_start", "core_end", "states").where("states IS NOT NULL").mapInPandas(run, schema)
+
+
+def models_from_runs(runs: DataFrame) -> DataFrame:
+    """Gene models of path_runs(), materialised: gene, tx, chrom, strand, feature, start, end.
+
+    Runs are stitched over legal seams and split at intergenic; groups at a block's edges stay only if
+    their coding path is complete; UTR markers get their side. All of it works on runs."""
+    ends = runs.groupBy("seq", "strand", "win_start").agg(
+        F.min("start").alias("start"), F.max("end").alias("end"), F.min_by("first_state", "start").alias("first_state"), F.max_by("last_state", "start").alias("last_state")
     )
-    spans = stitch.stitch(ends, ranges)
+    spans = stitch.stitch(ends, runs)
     key = ["seq", "strand", "block", "block_start"]
     groups = stitch.split_transcripts(spans, key)
     own = [*key, "group"]
-    cds = groups.where("kind = 'CDS'").groupBy(*own).agg(F.min("start").alias("c_start"), F.max("end").alias("c_end"))
-    edge = groups.where("edge IS NOT NULL").select(*own).distinct().join(cds, own)
-    inside = (paths.seq == edge.seq) & (paths.strand == edge.strand) & paths.pos.between(edge.c_start, edge.c_end)
-    coding = paths.join(edge.select(*[edge[c] for c in own], "c_start", "c_end"), inside).select(*[edge[c] for c in own], "pos", "state")
-    whole = stitch.complete_paths(coding, own).where("complete").select(*own)
-    inner = groups.where("edge IS NULL")
-    kept = inner.unionByName(groups.where("edge IS NOT NULL").join(whole, own, "left_semi"))
+    whole = stitch.whole_coding(groups.where("edge IS NOT NULL"), own)
+    kept = stitch.transcripts_of_edges(groups, whole, own)
     resolved = stitch.resolve_utr(kept, own)
     tx = F.concat_ws(":", "seq", "strand", "block_start", "group")
     return resolved.where("kind <> 'intron'").select(tx.alias("gene"), tx.alias("tx"), F.col("seq").alias("chrom"), "strand", F.col("kind").alias("feature"), "start", "end")
 
 
-def annotate(windows_with_p: DataFrame, flank: int = 0, use_bases: bool = True) -> DataFrame:
-    """windows(seq_name, strand, core_start, core_end, bases, p) -> gene models."""
+def models_from_paths(paths: DataFrame) -> DataFrame:
+    """models_from_runs() of paths(seq, strand, win_start, pos, state) with a row a position."""
+    order = Window.partitionBy("seq", "strand", "win_start").orderBy("pos")
+    kind, back = topology.feature_of(F.col("state")), F.lag("pos").over(order) + 1 == F.col("pos")
+    step = topology.legal_step(F.lag("state").over(order), F.col("state"), F.col("strand"))
+    marked = paths.withColumn("kind", kind)
+    linked = F.coalesce(back & (F.lag("kind").over(order) == F.col("kind")), F.lit(False))
+    marked = marked.withColumn("_fresh", (~linked).cast("int")).withColumn("_ok", ~linked | step)
+    marked = marked.withColumn("_run", F.sum("_fresh").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    runs = marked.groupBy("seq", "strand", "win_start", "_run", "kind").agg(
+        F.min("pos").alias("start"), F.max("pos").alias("end"), F.min_by("state", "pos").alias("first_state"), F.max_by("state", "pos").alias("last_state"),
+        F.count_if(F.col("state") == 7).alias("starts"), F.count_if(F.col("state") == 14).alias("stops"), F.bool_and("_ok").alias("legal"),
+    )
+    return models_from_runs(cut(runs.drop("_run")))
+
+
+def annotate(windows_with_p: DataFrame, flank: int = 0, use_bases: bool = True, prefilter: bool = False, scorer: Callable | None = None) -> DataFrame:
+    """windows(seq_name, strand, core_start, core_end, bases, p) -> gene models. With ``prefilter``
+    windows without a coding signal aren't decoded but are intergenic; with a ``scorer`` p isn't read."""
     keys = "seq_name string, strand string, core_start long, core_end long"
-    decoded = cut(decode.decode_windows(windows_with_p, keys, use_bases))  # the plan below reads it many times
-    return models_from_paths(genomic_paths(decoded, flank))
+    decoded = decode.decode_windows(windows_with_p, keys, use_bases, prefilter=prefilter, scorer=scorer)
+    return models_from_runs(cut(path_runs(decoded, flank)))  # the plan below reads the runs many times
 
 
 def gff3(models: DataFrame) -> DataFrame:

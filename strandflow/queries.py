@@ -13,10 +13,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .functions import attributes as at
+from .functions import mixture
 from .functions import numeric as nu
 from .functions import sequence as sq
 from .operators import annotation, convert, decode, evaluate, intervals, planning, repair, stitch, topology, transcripts, windows
-from .plans import annotate
+from .operators.components import cut
+from .plans import annotate, predict
 from .sources import features as ft
 from .sources import vectors
 
@@ -830,6 +832,53 @@ def annotate_models(spark, d):
     return annotate.annotate(_probabilities(spark, d))
 
 
+@query("posterior_states")
+def posterior_states(spark, d):
+    """The likeliest state of each position over all paths, and how sure it is on average."""
+    rows = decode.posterior_windows(_probabilities(spark, d), KEYS)
+    mean = F.aggregate("confidence", F.lit(0.0), lambda a, x: a + x) / F.size("confidence")
+    return rows.select("seq_name", "core_start", F.array_join("states", ",").alias("states"), F.round(mean, 4).alias("confidence"))
+
+
+@query("sequence_viterbi")
+def sequence_viterbi(spark, d):
+    """The best path through each text's bases as a whole, in pieces of 200."""
+    chunks = _probabilities(spark, d).withColumn("chunk", ((F.col("core_start") - 1) / 200).cast("long"))
+    return decode.decode_sequences(chunks).select("seq_name", "chunk", F.array_join("states", ",").alias("states"))
+
+
+@query("predicted_gff3")
+def predicted_gff3(spark, d):
+    """Texts' bases as short sequences: packed, predicted from their motifs, lifted back, those across spacers
+    predicted again, filtered and rendered."""
+    bases = cut(seqs(spark, d).select(F.col("seq_name").alias("ord"), F.col("seq_name").cast("string").alias("seq_name"), "seq"))
+    models = predict.predict_packed(bases, 2000, 1500, 100, 20_000)
+    return annotation.render_models(cut(predict.finished(models, bases)))
+
+
+#: Three normals of 64 dimensions, by rule.
+_MEANS = [[((k + 1) * (i + 3) % 7 - 3) / 20 for i in range(64)] for k in range(3)]
+_SCALES = [[0.1 + (i * (k + 2) % 5) / 20 for i in range(64)] for k in range(3)]
+_LOGITS = [0.0, 0.5, -0.5]
+
+
+def _mixture_sql() -> str:
+    weights = [math.exp(w) / sum(map(math.exp, _LOGITS)) for w in _LOGITS]
+    parts = []
+    for w, m, s in zip(weights, _MEANS, _SCALES, strict=True):
+        constant = 64 * math.log(2 * math.pi) + 2 * sum(math.log(x + mixture.SLACK) for x in s)
+        off = f"list_sum(list_transform(list_zip(embedding, {m}::DOUBLE[], {[x + mixture.SLACK for x in s]}::DOUBLE[]), lambda t: pow((t[1]::DOUBLE - t[2]) / t[3], 2)))"
+        parts.append(f"{math.log(w)!r} - 0.5 * ({constant!r} + {off})")
+    return f"""WITH t AS (SELECT vec_id, [{', '.join(parts)}] AS t FROM embeddings)
+SELECT vec_id, round(list_max(t) + ln(list_sum(list_transform(t, lambda x: exp(x - list_max(t))))), 4) AS log_pdf FROM t"""
+
+
+@query("mixture_log_pdf", _mixture_sql())
+def mixture_log_pdf(spark, d):
+    e = _t(spark, d, "embeddings")
+    return e.select("vec_id", F.round(mixture.mixture_log_pdf(F.col("embedding"), _LOGITS, _MEANS, _SCALES), 4).alias("log_pdf"))
+
+
 # ---------------------------------------------------------------- conversion and repair
 
 

@@ -89,3 +89,107 @@ def test_windows_are_decoded_and_repaired(spark):
     assert got[0].states == truth and not got[0].repaired
     assert got[1].repaired and dc.is_legal(np.array(got[1].states), "CCATGTAATAACC")
     assert got[2].states == got[3].states == []
+
+
+def dense_viterbi(scores, steps, first):
+    """The plain recursion over all steps, absent ones included."""
+    v, back = first + scores[0], []
+    for row in scores[1:]:
+        v = v - v.max()
+        reach = v[:, None] + steps
+        back.append(reach.argmax(axis=0))
+        v = reach.max(axis=0) + row
+    path = [int(v.argmax())]
+    for b in back[::-1]:
+        path.append(int(b[path[-1]]))
+    return path[::-1]
+
+
+@pytest.mark.parametrize("spread", [1.0, 400.0])
+def test_absent_steps_count_like_in_the_plain_recursion(spread):
+    rng = np.random.default_rng(int(spread))
+    scores = rng.normal(0, spread, (9, 60, 20)).astype(np.float32)
+    steps, first = dc.log_or_absent(dc.transitions()), np.full(20, -np.log(20), np.float32)
+    assert dc.viterbi(scores, steps, first).tolist() == [dense_viterbi(s, steps, first) for s in scores]
+
+
+def test_windows_side_by_side_match_windows_alone():
+    rng = np.random.default_rng(7)
+    scores = rng.normal(0, 3, (12, 40, 20)).astype(np.float32)
+    bases = ["".join(rng.choice(list("TAGCN"), 40, p=[0.3, 0.3, 0.2, 0.15, 0.05])) for _ in scores]
+    codes = np.stack([dc.base_codes(b, 40) for b in bases])
+    paths, found = dc.constrained_paths(scores, codes)
+    assert found.all() and dc.legal_paths(paths, codes).all()
+    assert paths.tolist() == [dc.constrained_viterbi(s, b).tolist() for s, b in zip(scores, bases)]
+    random_paths = np.stack([np.array(p) for p in list(legal_paths(3))[::40]])
+    codes = rng.integers(0, 5, random_paths.shape)
+    assert dc.legal_paths(random_paths, codes).tolist() == [dc.is_legal(p, "".join("ACGTN"[c] for c in row)) for p, row in zip(random_paths, codes)]
+
+
+def test_codon_terms_count_unknown_bases_as_quarters():
+    for text in ("ATGNTAAGNNTGA", "nnn", "A"):
+        terms = dc.codon_terms(dc.base_codes(text, len(text)))
+        padded = "NN" + text.upper() + "NN"
+        weight = lambda table, at: np.mean([table.get(a + b + c, 0) for a, b, c in product(*["ACGT" if x == "N" else x for x in padded[at : at + 3]])])  # noqa: E731, B023
+        for i in range(len(text)):
+            assert np.isclose(terms[i, 7], weight(dc.START, i + 2)) and np.isclose(terms[i, 14], weight(dc.STOP, i))
+            assert np.isclose(terms[i, 6], (1 - weight(dict.fromkeys(dc.STOP, 1), i)) / 61) and terms[i, 0] == 1 / 64
+
+
+def test_short_frames_lose_to_a_spliced_non_coding_reading():
+    frame = [7, 5, 6, *[4, 5, 6] * 4, 4, 5, 14]
+    path = np.array([0] * 3 + frame + [0] * 3)
+    bases = "CCC" + "ATG" + "CCC" * 4 + "TAA" + "CCC"
+    codes = dc.base_codes(bases, len(path))[None]
+    scores = np.full((1, len(path), 20), -6.0, np.float32)
+    scores[0, range(len(path)), path] = -1
+    assert dc.repaired_paths(scores, codes)[0].tolist() == path.tolist()
+    n = len(frame)
+    reading = [15, 17, *[18] * (n - 4), 19, 16]
+    scores[0, range(3, 3 + n), reading] = -0.01
+    assert dc.constrained_paths(scores, codes)[0][0].max() > 0
+    again = dc.repaired_paths(scores, codes)[0]
+    strict = dc.constrained_paths(scores, codes)[0][0]
+    frames = list(dc.coding_frames(strict))
+    assert (again == (np.zeros(len(path)) if any(short for *_, short in frames) else strict)).all()
+    long = np.array([0] * 3 + [7, 5, 6, *[4, 5, 6] * 30, 4, 5, 14] + [0] * 3)
+    fixed = np.where(long > 0, long, -1)[None]
+    kept, found = dc.constrained_paths(np.zeros((1, len(long), 20), np.float32), np.full((1, len(long)), 1), fixed, silent=True)
+    assert found[0] and (kept[0][fixed[0] >= 0] == fixed[0][fixed[0] >= 0]).all()
+
+
+def test_prefilter_leaves_windows_without_signal_intergenic():
+    probs = np.full((3, 300, 20), 0.001)
+    probs[0, :, 0] = probs[1, :, 0] = probs[2, :150, 0] = 0.9
+    probs[1, 50:260, 4:15] = 0.09
+    probs[2, 150:, 4:15] = 0.09  # 150 positions of signal are less than a frame
+    assert dc.has_coding_signal(probs).tolist() == [False, True, False]
+    assert dc.has_coding_signal(probs[2:, 150:]).tolist() == [True]
+    paths, _ = dc.decoded(probs, None, prefilter=True)
+    assert not paths[0].any() and not paths[2].any()
+
+
+def test_whole_sequences_decode_alike_in_any_chunks(spark):
+    rng = np.random.default_rng(11)
+    rows, want = [], {}
+    for name, n, size in (("a", 230, 50), ("b", 50, 50), ("c", 301, 100), ("d", 7, 3)):
+        p = rng.dirichlet(np.full(20, 0.05), n)
+        want[name] = dc.viterbi(dc.emissions(p, None)[None], dc.log_or_absent(dc.transitions()), np.full(20, -np.log(20), np.float32))[0].tolist()
+        rows += [(name, k, p[i : i + size].tolist(), None) for k, i in enumerate(range(0, n, size))]
+    rows.append(("e", 0, [], ""))
+    df = spark.createDataFrame(rows, "seq_name string, chunk int, p array<array<double>>, bases string")
+    for most in (dc.BROADCAST_CHUNKS, 0):
+        dc.BROADCAST_CHUNKS = most
+        got = {}
+        for r in sorted(dc.decode_sequences(df.repartition(5)).collect(), key=lambda r: (r.seq_name, r.chunk)):
+            got.setdefault(r.seq_name, []).extend(r.states)
+        assert got == want | {"e": []}
+    dc.BROADCAST_CHUNKS = 1_000_000
+
+
+def test_posterior_windows(spark):
+    p = np.random.default_rng(3).dirichlet(np.ones(20), 30)
+    df = spark.createDataFrame([("k", p.tolist(), "ACGTT" * 6), ("e", None, None)], "k string, p array<array<double>>, bases string")
+    got, empty = dc.posterior_windows(df, "k string").collect()
+    post = dc.posterior(dc.emissions(p, "ACGTT" * 6)[None], dc.log_or_absent(dc.transitions()), np.full(20, -np.log(20), np.float32))[0]
+    assert got.states == post.argmax(axis=1).tolist() and np.allclose(got.confidence, post.max(axis=1)) and empty.states == []
