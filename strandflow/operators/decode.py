@@ -390,7 +390,7 @@ def repaired_paths(scores: np.ndarray, codes: np.ndarray) -> np.ndarray:
 TOGETHER, POSITIONS = 256, 400_000
 
 
-def _side_by_side(sizes: list[int]):
+def side_by_side(sizes: list[int]):
     """Index lists of windows of one length above zero, few enough to be held together."""
     by_length: dict[int, list[int]] = {}
     for i, n in enumerate(sizes):
@@ -459,7 +459,7 @@ def decode_windows(
             else:
                 sizes = [len(b or "") for b in bases]
             out, fixed = [[]] * len(sizes), [False] * len(sizes)
-            for same in _side_by_side(sizes):
+            for same in side_by_side(sizes):
                 for known in (True, False):
                     own = [i for i in same if (bases[i] is not None) == known]
                     if not own:
@@ -493,7 +493,7 @@ def posterior_windows(windows: DataFrame, keys: str, use_bases: bool = True) ->
             probs = [np.asarray([] if p is None else p, np.float64).reshape(-1, N) for p in pdf["p"]]
             bases = pdf["bases"].tolist()
             states, sure = [[]] * len(probs), [[]] * len(probs)
-            for same in _side_by_side([len(p) for p in probs]):
+            for same in side_by_side([len(p) for p in probs]):
                 for i, post in zip(same, posterior(np.stack([emissions(probs[i], bases[i] if use_bases else None) for i in same]), steps, first), strict=True):
                     states[i], sure[i] = post.argmax(axis=1), post.max(axis=1).astype(np.float32)
             yield pd.DataFrame({**{n: pdf[n] for n in names}, "states": states, "confidence": sure})
@@ -553,7 +553,7 @@ def decode_sequences(chunks: DataFrame, use_bases: bool = False) -> DataFrame:
     def scored(pdf):
         probs = [np.asarray([] if p is None else p, np.float64).reshape(-1, N) for p in pdf["p"]]
         bases = pdf["bases"].tolist()
-        for same in _side_by_side([len(p) for p in probs]):
+        for same in side_by_side([len(p) for p in probs]):
             yield same, np.stack([emissions(probs[i], bases[i] if use_bases else None) for i in same]).astype(np.float64)
 
     def entries(state, steps):
