@@ -6,8 +6,9 @@ put two texts at 0.85 into a common list with a probability of 1 - 5e-11. Of the
 low four bits stay, packed into 64 bytes: two of them agree by chance once in 16, so
 J is estimated as (agreeing / 128 - 1/16) / (1 - 1/16), and counting agreeing minima is an
 exclusive or and a bit count. A pair goes no further if its estimate is so low that a
-pair at the wanted similarity would be that low once in 1e10 times, or if its sets' sizes
-rule it out; all others are confirmed on the full shingle sets.
+pair at the wanted similarity would be that low once in 1e10 times, or if its sets' sizes, or the
+parities of the shingles that fall on each of 512 bits, rule it out for certain; all others are confirmed on
+the full shingle sets.
 
 Texts of one shingle set are one group from the start. In the lists, every text first meets one
 other; lists whose rows are joined by then are done with, and in the others pairs are tried with the first
@@ -29,7 +30,7 @@ from pyspark.sql import functions as F
 
 from .common import attach, cut, join_ids, table, told_apart
 from .components import components
-from .similar_text import ROUNDS, candidate_links, cells, mixed_lists, posting_lists, some_texts, verified
+from .similar_text import ROUNDS, candidate_links, cells, least_shared, mixed_lists, parities, posting_lists, some_texts, verified
 from .simhash import shingle_hashes
 
 #: Minima of a text, minima of a band, and low bits that are kept of each.
@@ -94,8 +95,8 @@ def least_estimate(similarity: float, miss: float = MISS) -> float:
 
 
 def sketches(docs: DataFrame, width: int) -> DataFrame:
-    """doc_id, n (size of the shingle set), f1 and f2 (a digest of it), signature (packed low bits) and
-    bands; texts without words have an n of 0 and no bands."""
+    """doc_id, n (size of the shingle set), f1 and f2 (a digest of it), signature (packed low bits), parity
+    (on 512 bits) and bands; texts without words have an n of 0 and no bands."""
 
     def run(batches):
         for batch, texts in some_texts(batches, 1):
@@ -107,22 +108,27 @@ def sketches(docs: DataFrame, width: int) -> DataFrame:
                 least = minima([sets[i] for i in live])
                 for i, low, keys in zip(live, packed(least), band_keys(least).view(np.int64), strict=True):
                     signature[i], bands[i] = low.tobytes(), keys
-            columns = [batch.column(0), pa.array([len(s) for s in sets], pa.int32()), pa.array(digests[:, 0]), pa.array(digests[:, 1]), pa.array(signature, pa.binary()), pa.array(bands, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n", "f1", "f2", "signature", "bands"])
+            parity = [parities(s, 9).tobytes() for s in sets]
+            columns = [batch.column(0), pa.array([len(s) for s in sets], pa.int32()), pa.array(digests[:, 0]), pa.array(digests[:, 1]), pa.array(signature, pa.binary()), pa.array(parity, pa.binary()), pa.array(bands, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n", "f1", "f2", "signature", "parity", "bands"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n int, f1 long, f2 long, signature binary, bands array<long>")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n int, f1 long, f2 long, signature binary, parity binary, bands array<long>")
 
 
 def signature_bounds(similarity: float):
-    """bounds(n, signatures) -> possible(a, b) for candidate_links()."""
+    """bounds(n, signatures, parity) -> possible(a, b) for candidate_links()."""
     num, den = Fraction(str(similarity)).as_integer_ratio()
     floor = least_estimate(similarity)
 
-    def bounds(n, signatures):
+    def bounds(n, signatures, parity):
         def possible(a, b):
             keep = den * np.minimum(n[a], n[b]) >= num * np.maximum(n[a], n[b])
             near = np.flatnonzero(keep)
             keep[near] = estimate(agreeing(signatures[a[near]], signatures[b[near]])) >= floor
+            near = np.flatnonzero(keep)
+            total = n[a[near]] + n[b[near]]
+            spare = total - 2 * least_shared(total.astype(float), similarity / (1 + similarity))
+            keep[near] = np.bitwise_count(parity[a[near]] ^ parity[b[near]]).sum(axis=1, dtype=np.int64) <= spare
             return keep
 
         return possible
@@ -131,9 +137,9 @@ def signature_bounds(similarity: float):
 
 
 def set_roots(docs: DataFrame, groups: DataFrame, width: int, similarity: float, block: int) -> DataFrame:
-    """node, root of the representatives in groups(rep, n, signature, bands) that are similar to a smaller one."""
+    """node, root of the representatives in groups(rep, n, signature, parity, bands) that are similar to a smaller one."""
     lists = cut(posting_lists(groups.select("rep", "n", F.col("bands").alias("prefix"))))
-    signatures = groups.select("rep", "signature")
+    signatures = groups.select("rep", "signature", "parity")
     bounds = signature_bounds(similarity)
     good = roots = None
     for one, span in ((True, None), (False, None), *((False, s) for s in ROUNDS)):
@@ -141,7 +147,7 @@ def set_roots(docs: DataFrame, groups: DataFrame, width: int, similarity: float,
         if not lists.take(1):
             break
         ids = cut(lists.select("rep").distinct())
-        dealt = cells(lists.join(join_ids(signatures, ids, "rep", "inner"), "rep"), block, "root", "n", "signature")
+        dealt = cells(lists.join(join_ids(signatures, ids, "rep", "inner"), "rep"), block, "root", "n", "signature", "parity")
         links = candidate_links(dealt, bounds, span)
         links = cut(links.groupBy("b").agg(F.min("a").alias("a")).select("a", "b") if one else links)
         if links.take(1):
@@ -163,7 +169,7 @@ def minhash_groups(docs: DataFrame, width: int = 5, similarity: float = 0.85, bl
     An empty table gives no rows."""
     docs, own = told_apart(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
     rows = cut(sketches(docs, width))
-    first = [F.first(c).alias(c) for c in ("n", "signature", "bands")]
+    first = [F.first(c).alias(c) for c in ("n", "signature", "parity", "bands")]
     groups = cut(rows.where("n > 0").groupBy("f1", "f2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("size"), *first))
     roots = set_roots(docs, groups, width, similarity, block)
     named = groups.join(roots, groups.rep == roots.node, "left").select("f1", "f2", "size", F.coalesce("root", "rep").alias("root"))
