@@ -50,6 +50,19 @@ def global_numbers(df: DataFrame, order: list[str], out: str, partitions: int |
     return placed.join(F.broadcast(shift), "_part").withColumn(out, F.col("_nth") + F.col("_shift") + 1).drop("_id", "_part", "_nth", "_shift")
 
 
+def running_total(df: DataFrame, order: list[str], value: str, out: str) -> DataFrame:
+    """Add what ``value`` adds up to in all rows before this one in a total order, without one task seeing
+    them all (see global_numbers)."""
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    placed = cut(df.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("_id", F.monotonically_increasing_id()))
+    placed = placed.withColumn("_part", F.shiftright(F.col("_id"), 33))
+    sizes = placed.groupBy("_part").agg(F.sum(value).alias("_sum"))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # one row a partition
+    shift = sizes.select("_part", F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_shift"))
+    inside = F.coalesce(F.sum(value).over(Window.partitionBy("_part").orderBy("_id").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return placed.withColumn(out, inside).join(F.broadcast(shift), "_part").withColumn(out, (F.col(out) + F.col("_shift")).cast("long")).drop("_id", "_part", "_shift")
+
+
 def numbered(df: DataFrame, parent: list[str], order: list[str], out: str) -> DataFrame:
     """Number rows from 1 inside each parent."""
     return df.withColumn(out, F.row_number().over(Window.partitionBy(*parent).orderBy(*order)).cast("long"))

@@ -7,12 +7,15 @@ pass through the fold, batch by batch, with constant state; no bases do.
 from __future__ import annotations
 
 import heapq
+import re
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.numeric import adaptive_core, window_cost
+from .annotation import running_total
+from .components import cut
 
 
 def group_plan(lengths: DataFrame, target: int = 51_200_000, chunk: int = 640_000, factor: int = 1, flank: int = 0) -> DataFrame:
@@ -49,35 +52,45 @@ def pack(lengths: DataFrame, threshold: int, spacer: int = 100, target: int = 64
     In input order: a sequence of at least ``threshold`` closes the open pack and stays by
     itself under its own name; a short one joins it, after a spacer, unless the pack would
     exceed the target, which closes it first. Names of packs that inputs already have get
-    a suffix."""
-    taken = lengths.where(F.col("name").startswith(prefix)).select("name")
-    used = {r.name for r in taken.toLocalIterator()}
+    a suffix.
+
+    Packs never go beyond a long sequence, so the stretches of short ones between these are folded
+    apart, and their packs are numbered on from one another; only a stretch depends on one task."""
+    rows = lengths.select("ord", "name", F.col("length").cast("long").alias("length"))
+    rows = running_total(rows.withColumn("_long", (F.col("length") >= threshold).cast("long")), ["ord"], "_long", "_stretch")
+    native = rows.where("_long = 1").select("ord", F.col("name").alias("packed_name"), F.col("name").alias("original_name"), F.lit(1).cast("long").alias("packed_start"), F.col("length").alias("packed_end"), "length")
+    kinds = dict(rows.dtypes)
 
     def fold(batches):
-        number, at, name = 0, 0, None
+        stretch, number, at = None, 0, 0
         for pdf in batches:
             out = []
-            for r in pdf.itertuples():
-                n = int(r.length)
-                if n >= threshold:
-                    name = None
-                    out.append((r.name, r.name, 1, n, n))
-                    continue
-                if name is None or at + spacer + n > target:
-                    number += 1
-                    base = name = f"{prefix}{number:06d}"
-                    again = 1
-                    while name in used:
-                        again += 1
-                        name = f"{base}_{again}"
-                    at = 0
+            for ord_, s, name, n in zip(pdf["ord"], pdf["_stretch"], pdf["name"], pdf["length"], strict=True):
+                if s != stretch:
+                    stretch, number, at = s, 0, 0
+                if not number or at + spacer + n > target:
+                    number, at = number + 1, 0
                 start = at + spacer + 1 if at else 1
                 at = start + n - 1
-                out.append((name, r.name, start, at, n))
-            yield pd.DataFrame(out, columns=["packed_name", "original_name", "packed_start", "packed_end", "length"])
-
-    ordered = lengths.select("ord", "name", "length").coalesce(1).sortWithinPartitions("ord")
-    return ordered.mapInPandas(fold, "packed_name string, original_name string, packed_start long, packed_end long, length long")
+                out.append((ord_, s, number, name, start, at, n))
+            yield pd.DataFrame(out, columns=["ord", "_stretch", "_pack", "original_name", "packed_start", "packed_end", "length"])
+
+    dealt = rows.where("_long = 0").repartition("_stretch").sortWithinPartitions("_stretch", "ord")
+    short = cut(dealt.mapInPandas(fold, f"ord {kinds['ord']}, _stretch long, _pack long, original_name {kinds['name']}, packed_start long, packed_end long, length long"))
+    first = running_total(short.groupBy("_stretch").agg(F.max("_pack").alias("_packs")), ["_stretch"], "_packs", "_before")
+    short = short.join(first.select("_stretch", "_before"), "_stretch")
+    short = short.withColumn("_base", F.concat(F.lit(prefix), F.format_string("%06d", F.col("_before") + F.col("_pack"))))
+    # the suffixes that inputs' names have taken of each base; a base itself counts as the first
+    pattern = f"^({re.escape(prefix)}\\d+)(?:_([2-9]|[1-9]\\d+))?$"
+    parsed = [F.regexp_extract("name", pattern, k).alias(c) for k, c in ((1, "_base"), (2, "_n"))]
+    taken = lengths.where(F.col("name").startswith(prefix)).select(*parsed).where("_base <> ''")
+    taken = taken.select("_base", F.coalesce(F.expr("try_cast(_n AS INT)"), F.lit(1)).alias("_n"))
+    taken = taken.groupBy("_base").agg(F.collect_set("_n").alias("_used"))
+    free = F.array_min(F.array_except(F.sequence(F.lit(1), F.size("_used") + 1), "_used"))
+    again = F.when(F.array_contains("_used", 1), free)
+    name = F.when(again.isNull(), F.col("_base")).otherwise(F.concat("_base", F.lit("_"), again.cast("string")))
+    short = short.join(taken, "_base", "left").select("ord", name.alias("packed_name"), "original_name", "packed_start", "packed_end", "length")
+    return native.unionByName(short).orderBy("ord").drop("ord")
 
 
 def pack_sequences(seqs: DataFrame, segments: DataFrame, spacer: int = 100) -> DataFrame:

@@ -47,13 +47,9 @@ def _conflicts(rows: list[tuple]) -> list:
     return out
 
 
-def context_cuts(rows: DataFrame) -> DataFrame:
-    """rows(seq, strand, block, win_start, kind, start, end) -> seq, strand, block, at: windows whose join to the
-    window before would give one UTR two sides.
-
-    That depends on what is joined before, but only as far back as UTR and introns go on without
-    a gap, so it is folded for each such context that has two sides, a splice and several windows, and
-    not for a whole sequence. A context has a row a window there."""
+def _contexts(rows: DataFrame) -> DataFrame:
+    """Of rows(seq, strand, block, win_start, kind, start, end) the UTR contexts that go on over several windows
+    and have two sides and a splice: seq, strand, block, context, win_start, sides, splice, a row a window."""
     key = ["seq", "strand", "block"]
     order = Window.partitionBy(*key).orderBy("start")
     inside = F.col("kind").isin(*CONTEXT)
@@ -64,15 +60,43 @@ def context_cuts(rows: DataFrame) -> DataFrame:
     whole = Window.partitionBy(*key, "context")
     both = F.size(F.array_distinct(F.flatten(F.collect_set("sides").over(whole)))) > 1
     own = own.withColumn("_both", both).withColumn("_splice", F.max("splice").over(whole)).withColumn("_windows", F.count("*").over(whole))
+    return own.where("_both AND _splice AND _windows > 1").drop("_both", "_splice", "_windows")
+
+
+def _cuts(contexts: DataFrame) -> DataFrame:
+    key = ["seq", "strand", "block", "context"]
 
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("win_start")
         cuts = _conflicts([(w, set(x), bool(y)) for w, x, y in zip(pdf["win_start"], pdf["sides"], pdf["splice"], strict=True)])
         return pdf[pdf["win_start"].isin(cuts)][[*key, "win_start"]].rename(columns={"win_start": "at"})
 
-    kinds = dict(rows.dtypes)
+    kinds = dict(contexts.dtypes)
     schema = ", ".join(f"{c} {kinds[c]}" for c in key) + f", at {kinds['win_start']}"
-    return own.where("_both AND _splice AND _windows > 1").drop("_both", "_splice", "_windows").groupBy(*key, "context").applyInPandas(fold, schema)
+    return contexts.groupBy(*key).applyInPandas(fold, schema)
+
+
+def context_cuts(rows: DataFrame) -> DataFrame:
+    """rows(seq, strand, block, win_start, kind, start, end) -> seq, strand, block, context, at: windows whose join
+    to the window before would give one UTR two sides.
+
+    That depends on what is joined before, but only as far back as UTR and introns go on without
+    a gap, so it is folded for each such context that has two sides, a splice and several windows, and
+    not for a whole sequence. A context has a row a window there."""
+    return _cuts(_contexts(rows))
+
+
+def conflict_windows(windows: DataFrame, ranges: DataFrame) -> DataFrame:
+    """Of stitch()'s arguments -> seq, strand, seam, win_start: for each UTR context with conflicts its first seam (the
+    last position left of it), with all windows that the context goes through and their neighbours."""
+    placed = seams(windows).withColumnRenamed("start", "win_start")
+    order = Window.partitionBy("seq", "strand", "block").orderBy("win_start")
+    placed = placed.select("seq", "strand", "block", "win_start", F.lag("win_start").over(order).alias("_before"), F.lead("win_start").over(order).alias("_after"))
+    own = _contexts(ranges.join(placed.drop("_before", "_after"), ["seq", "strand", "win_start"]))
+    first = _cuts(own).groupBy("seq", "strand", "block", "context").agg((F.min("at") - 1).alias("seam"))
+    through = own.join(first, ["seq", "strand", "block", "context"]).join(placed, ["seq", "strand", "block", "win_start"])
+    near = F.filter(F.array("_before", "win_start", "_after"), lambda x: x.isNotNull())
+    return through.select("seq", "strand", "seam", F.explode(near).alias("win_start")).distinct()
 
 
 def _joined(rows: DataFrame, keys: list[str]) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.sequence import reverse_complement
+from .annotation import global_numbers
 
 
 def sequence_windows(seqs: DataFrame, core: int, flank: int = 0, pad: bool = True) -> DataFrame:
@@ -62,10 +63,9 @@ def genic_regions(values: DataFrame, keys: list[str], value: str, step: int = 50
 
 
 def balanced_slices(items: DataFrame, order: list[str], workers: int, size: int) -> DataFrame:
-    """Add task: contiguous slices in order, as many as whole waves of workers need. Ranks
-    come from a global order, so use it on lists of work, not on data."""
+    """Add task: contiguous slices in order, as many as whole waves of workers need."""
     n = items.count()
     waves = max(1, -(-n // max(workers * size, 1)))
     tasks = max(1, min(n, workers * waves))
-    rank = F.row_number().over(Window.orderBy(*order)) - 1
-    return items.withColumn("task", F.floor((rank * tasks + tasks - 1) / max(n, 1)).cast("long"))
+    ranked = global_numbers(items, order, "_rank").withColumn("_rank", F.col("_rank") - 1)
+    return ranked.withColumn("task", F.floor((F.col("_rank") * tasks + tasks - 1) / max(n, 1)).cast("long")).drop("_rank")

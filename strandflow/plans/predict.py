@@ -7,23 +7,21 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..operators import annotation, decode, planning, stitch, transcripts
+from ..operators import annotation, decode, planning, repair, stitch, transcripts
 from ..operators.components import cut
 from .annotate import model_windows, models_from_runs, path_runs
 
 KEYS = "seq_name string, strand string, core_start long, core_end long"
 
 
-def rejoined(runs: DataFrame, windows: DataFrame, core: int, scorer: Callable | None = None, use_bases: bool = True) -> DataFrame:
+def rejoined(runs: DataFrame, windows: DataFrame, core: int, scorer: Callable | None = None, use_bases: bool = True) -> tuple[DataFrame, DataFrame]:
     """path_runs() in which two windows of ``core`` bases with an illegal step between them are predicted again as
     one. windows: the model windows without flanks that the runs come from, with p if there is no scorer.
 
     A window that is the left one of such a pair gets its part of that pair's path, else one that is a
-    right one gets its part. Pairs are found on the runs and joined to the windows, so all others stay where they are."""
-    ends = runs.groupBy("seq", "strand", "win_start").agg(
-        F.min("start").alias("start"), F.max("end").alias("end"), F.min_by("first_state", "start").alias("first_state"), F.max_by("last_state", "start").alias("last_state")
-    )
-    bad = cut(stitch.seams_to_predict(ends).select(F.col("seq").alias("seq_name"), "strand", F.col("start").alias("a"), (F.col("seam") + 1).alias("b"), "end"))
+    right one gets its part. Pairs are found on the runs and joined to the windows, so all others stay where they are.
+    The second table has the new states of the windows that have some: seq_name, strand, core_start, states."""
+    bad = cut(stitch.seams_to_predict(window_ends(runs)).select(F.col("seq").alias("seq_name"), "strand", F.col("start").alias("a"), (F.col("seam") + 1).alias("b"), "end"))
     data = ["bases"] if scorer is not None else ["bases", "p"]
     side = lambda x: windows.select("seq_name", "strand", F.col("core_start").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in data])
     pairs = bad.join(side("a"), ["seq_name", "strand", "a"]).join(side("b"), ["seq_name", "strand", "b"])
@@ -38,20 +36,81 @@ def rejoined(runs: DataFrame, windows: DataFrame, core: int, scorer: Callable |
     )
     rows = again.select("seq_name", "strand", F.inline(parts))
     first = F.row_number().over(Window.partitionBy("seq_name", "strand", "core_start").orderBy("nth"))
-    fresh = cut(path_runs(rows.withColumn("_n", first).where("_n = 1").drop("_n", "nth")))
+    rows = cut(rows.withColumn("_n", first).where("_n = 1").drop("_n", "nth"))
+    fresh = cut(path_runs(rows))
     redone = fresh.select("seq", "strand", "win_start").distinct()
-    return runs.join(redone, ["seq", "strand", "win_start"], "left_anti").unionByName(fresh)
+    return runs.join(redone, ["seq", "strand", "win_start"], "left_anti").unionByName(fresh), rows.select("seq_name", "strand", "core_start", "states")
 
 
-def predict(seqs: DataFrame, core: int, flank: int = 0, scorer: Callable = decode.motif_scorer, prefilter: bool = False) -> DataFrame:
-    """sequences(seq_name, seq) -> gene models (gene, tx, chrom, strand, feature, start, end) on both strands.
+def window_ends(runs: DataFrame) -> DataFrame:
+    """The windows that path_runs() come from, as stitch.seams() wants them."""
+    return runs.groupBy("seq", "strand", "win_start").agg(
+        F.min("start").alias("start"), F.max("end").alias("end"), F.min_by("first_state", "start").alias("first_state"), F.max_by("last_state", "start").alias("last_state")
+    ).drop("win_start")
+
+
+def utr_repaired(
+    runs: DataFrame, windows: DataFrame, flank: int = 0, scorer: Callable | None = None, use_bases: bool = True, prefilter: bool = False, known: DataFrame | None = None
+) -> tuple[DataFrame, DataFrame]:
+    """path_runs() in which UTR contexts that have two sides across a splice are decoded again as a whole, and the
+    audit of each (see repair.repair_conflicts). windows: the model windows that the runs come from; known: the
+    states of those that don't have what decoding them by themselves gives.
+
+    Only the windows that such a context goes through, and their neighbours, are scored and put
+    together again; the stretch of UTR between its fixed neighbours may change, and what isn't accepted stays
+    and is cut when the windows are stitched. Contexts change places of their own, so what they
+    change in a window that they share is put together."""
+    near = cut(stitch.conflict_windows(window_ends(runs), runs).withColumnsRenamed({"seq": "seq_name", "win_start": "core_start"}))
+    data = ["bases"] if scorer is not None else ["bases", "p"]
+    few = near.select("seq_name", "strand", "core_start").distinct()
+    own = windows.select("seq_name", "strand", "core_start", "core_end", *data).join(few, ["seq_name", "strand", "core_start"], "left_semi")
+    states = decode.decode_windows(own, KEYS, use_bases, prefilter=prefilter, scorer=scorer).select("seq_name", "strand", "core_start", "states")
+    if known is not None:
+        states = states.join(known.withColumnRenamed("states", "_known"), ["seq_name", "strand", "core_start"], "left")
+        states = states.select("seq_name", "strand", "core_start", F.coalesce("_known", "states").alias("states"))
+    n, minus = (F.col("core_end") - F.col("core_start") + 1).cast("int"), F.col("strand") == "-"
+    at = F.when(minus, F.length("bases") - flank - n).otherwise(F.lit(flank)) + 1  # where the core begins in transcription
+    core = lambda c: F.slice(c, at, n)
+    turned = lambda c: F.when(minus, F.reverse(c)).otherwise(c)
+    cells = [turned(core("states")).alias("states"), F.substring("bases", at, n).alias("bases")] + ([turned(core("p")).alias("p")] if scorer is None else [])
+    own = cut(own.join(states, ["seq_name", "strand", "core_start"]).select("seq_name", "strand", "core_start", "core_end", *cells))
+    parts = near.join(own, ["seq_name", "strand", "core_start"])
+    fields = ["core_start", "core_end", *[c for c in own.columns if c in ("states", "bases", "p")]]
+    whole = parts.groupBy(F.col("seq_name").alias("seq"), "strand", "seam").agg(F.array_sort(F.collect_list(F.struct(*fields))).alias("parts"))
+    field = lambda c: F.transform("parts", lambda x: x[c])
+    text = F.array_join(F.when(F.col("strand") == "-", F.reverse(field("bases"))).otherwise(field("bases")), "")
+    joined = whole.select("seq", "strand", "seam", F.array_min(field("core_start")).alias("start"), F.flatten(field("states")).alias("states"), text.alias("bases"), *([F.flatten(field("p")).alias("p")] if scorer is None else []))
+    audit = cut(repair.repair_conflicts(joined, scorer=scorer))
+    fresh = audit.where("status = 'repaired'").select(F.col("seq").alias("seq_name"), "strand", "seam", "start", F.col("states").alias("whole"))
+    pieces = fresh.join(near, ["seq_name", "strand", "seam"]).join(own.select("seq_name", "strand", "core_start", "core_end", "states"), ["seq_name", "strand", "core_start"])
+    piece = F.slice("whole", (F.col("core_start") - F.col("start") + 1).cast("int"), n)
+    changed = F.zip_with(piece, "states", lambda x, y: F.when(x != y, x))
+    each = pieces.groupBy("seq_name", "strand", "core_start", "core_end").agg(F.first("states").alias("states"), F.collect_list(changed).alias("changes"))
+    merged = F.aggregate("changes", F.col("states"), lambda acc, c: F.zip_with(acc, c, lambda x, y: F.coalesce(y, x)))
+    again = cut(path_runs(each.withColumn("states", turned(merged))))
+    redone = again.select("seq", "strand", "win_start").distinct()
+    return runs.join(redone, ["seq", "strand", "win_start"], "left_anti").unionByName(again), audit.drop("states", "start")
+
+
+def predicted_runs(seqs: DataFrame, core: int, flank: int = 0, scorer: Callable = decode.motif_scorer, prefilter: bool = False) -> tuple[DataFrame, DataFrame]:
+    """The repaired runs of sequences(seq_name, seq) on both strands, materialised, and the audit of the repair.
 
     Windows are scored and decoded where they are cut. Without flanks, windows that don't fit together are
-    predicted again in pairs. An empty sequence has no models."""
+    predicted again in pairs."""
     windows = model_windows(seqs.select(F.col("seq_name").cast("string").alias("seq_name"), "seq").where(F.length("seq") > 0), core, flank)
     decoded = decode.decode_windows(windows.select("seq_name", "strand", "core_start", "core_end", "bases"), KEYS, prefilter=prefilter, scorer=scorer)
-    runs = cut(path_runs(decoded, flank))
-    return models_from_runs(runs if flank else cut(rejoined(runs, windows, core, scorer)))
+    runs, known = cut(path_runs(decoded, flank)), None
+    if not flank:
+        runs, known = rejoined(runs, windows, core, scorer)
+        runs = cut(runs)
+    runs, audit = utr_repaired(runs, windows, flank, scorer, prefilter=prefilter, known=known)
+    return cut(runs), audit
+
+
+def predict(seqs: DataFrame, core: int, flank: int = 0, scorer: Callable = decode.motif_scorer, prefilter: bool = False) -> DataFrame:
+    """sequences(seq_name, seq) -> gene models (gene, tx, chrom, strand, feature, start, end) on both strands.
+    An empty sequence has no models."""
+    return models_from_runs(predicted_runs(seqs, core, flank, scorer, prefilter)[0])
 
 
 def predict_packed(seqs: DataFrame, core: int, threshold: int, spacer: int = 100, target: int = 640_000, **options) -> DataFrame:

@@ -157,3 +157,92 @@ def test_genes_are_found_packed_or_not(spark, core, flank):
     assert plain == want == {(r.chrom, r.strand, r.start, r.end) for r in packed.collect()} == {(r.chrom, r.strand, r.start, r.end) for r in models.collect()}
     assert predict.finished(packed, df, least=200).count() == predict.finished(packed, df, "none", least_coding=127).count() == 0
     assert predict.finished(packed, df, "none").count() == 3
+
+
+UTR = [15] * 30 + [17] + [18] * 60 + [19] + [16] * 30
+
+
+def utr_windows(spark, size, p_sure=0.9):
+    """Windows whose own best paths give an intron between a 5' and a 3' UTR, on both strands."""
+    path = [0] * 70 + UTR + [0] * 75
+    rows = []
+    for strand in "+-":
+        own = path if strand == "+" else path[::-1]
+        for k in range(0, len(own), size):
+            part = own[k : k + size] if strand == "+" else own[k : k + size][::-1]
+            p = np.full((size, 20), (1 - p_sure) / 19)
+            padded = part + [0] * (size - len(part)) if strand == "+" else [0] * (size - len(part)) + part
+            p[range(size), padded] = p_sure
+            rows.append(("s", strand, k + 1, min(k + size, len(own)), "C" * size, p.tolist()))
+    return spark.createDataFrame(rows, "seq_name string, strand string, core_start long, core_end long, bases string, p array<array<double>>"), len(path)
+
+
+@pytest.mark.parametrize("size", [45, 60])
+def test_utr_contexts_over_windows_are_repaired(spark, size):
+    windows, n = utr_windows(spark, size)
+    runs = annotate.path_runs(dc.decode_windows(windows, predict.KEYS, use_bases=False)).cache()
+    near = stitch.conflict_windows(predict.window_ends(runs), runs)
+    assert near.count() >= 6
+    fixed, audit = predict.utr_repaired(runs, windows, use_bases=False)
+    done = {(r.strand, r.status) for r in audit.collect()}
+    assert done == {("+", "repaired"), ("-", "repaired")}
+    spans = sorted((r.strand, r.start, r.end) for r in fixed.collect())
+    for strand in "+-":
+        own = [(a, b) for s, a, b in spans if s == strand]
+        assert own[0][0] == 1 and own[-1][1] == n and all(b + 1 == c for (_, b), (c, _) in zip(own, own[1:]))
+    assert stitch.conflict_windows(predict.window_ends(fixed), fixed).count() == 0
+    whole = {}
+    for r in sorted(fixed.collect(), key=lambda r: (r.strand, r.start)):
+        whole.setdefault(r.strand, []).append((r.kind, r.end - r.start + 1))
+    assert [k for k, _ in whole["+"]] != [] and sum(x for _, x in whole["-"]) == n
+
+
+def test_windows_that_do_not_fit_are_predicted_as_one(spark):
+    """The pair's path replaces both windows' paths, on either strand."""
+    path = [0] * 40 + [7, 5, 6, *[4, 5, 6] * 15, 4, 5, 14] + [0] * 29
+    rows = []
+    for strand in "+-":
+        own = path if strand == "+" else path[::-1]
+        for k in range(0, 120, 60):
+            part = own[k : k + 60] if strand == "+" else own[k : k + 60][::-1]
+            p = np.full((60, 20), 0.002)
+            p[range(60), part] = 0.96
+            rows.append(("s", strand, k + 1, k + 60, "C" * 60, p.tolist()))
+    windows = spark.createDataFrame(rows, "seq_name string, strand string, core_start long, core_end long, bases string, p array<array<double>>")
+    broken = dc.decode_windows(windows, predict.KEYS, use_bases=False).withColumn("states", F.when(F.col("core_start") == 1, F.array_repeat(F.lit(0), 60)).otherwise(F.col("states")))
+    runs = annotate.path_runs(broken)
+    fixed, known = predict.rejoined(runs, windows, 60, use_bases=False)
+    assert known.count() == 4
+    models = {(r.strand, r.feature, r.start, r.end) for r in annotate.models_from_runs(fixed.cache()).collect()}
+    assert models == {("+", "CDS", 41, 91), ("-", "CDS", 30, 80)}
+
+
+def slow_packs(rows, threshold, spacer, target, prefix):
+    used, out, number, at, name = {n for n, _ in rows if n.startswith(prefix)}, [], 0, 0, None
+    for own, n in rows:
+        if n >= threshold:
+            name = None
+            out.append((own, own, 1, n, n))
+            continue
+        if name is None or at + spacer + n > target:
+            number, at, again = number + 1, 0, 1
+            base = name = f"{prefix}{number:06d}"
+            while name in used:
+                again += 1
+                name = f"{base}_{again}"
+        start = at + spacer + 1 if at else 1
+        at = start + n - 1
+        out.append((name, own, start, at, n))
+    return out
+
+
+def test_packs_of_stretches_are_numbered_on(spark):
+    rng = np.random.default_rng(8)
+    names = [f"n{i}" for i in range(300)]
+    names[5], names[50], names[51], names[52] = "p_000001", "p_000002", "p_000002_2", "p_000002_4"
+    names[60], names[61] = "p_x", "p_000003_2"
+    for share in (0.0, 0.1, 0.9):
+        rows = [(n, int(rng.integers(500, 900)) if rng.random() < share else int(rng.integers(0, 120))) for n in names]
+        df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "ord long, name string, length long")
+        assert [tuple(r) for r in predict.planning.pack(df.repartition(7), 300, 10, 400, "p_").collect()] == slow_packs(rows, 300, 10, 400, "p_")
+    assert predict.planning.pack(df.limit(0), 300).collect() == []
