@@ -408,15 +408,48 @@ def has_coding_signal(probs: np.ndarray, width: int = 200, least: float = 0.8) -
     return ((coding[:, width:] - coding[:, :-width]) / width >= least).any(axis=1)
 
 
-def decoded(probs: np.ndarray, codes: np.ndarray | None, repair: bool = True, prefilter: bool = False) -> tuple[np.ndarray, np.ndarray]:
+def genic_slices(probs: np.ndarray, step: int = 50, mean: float = 0.1, above: float = 0.5, least: int = 50, buffer: int = 100) -> list[tuple[int, int]]:
+    """Half-open stretches of a window (L, 20) that likely hold genes, as windows.genic_regions and
+    intervals.expand_merge find them on positions; the whole window if there are none."""
+    genic, size = probs[:, 1:].sum(axis=1), len(probs)
+    heads = np.arange(0, size, step)
+    if not len(heads):
+        return []
+    on = np.add.reduceat(genic, heads) / np.diff(np.append(heads, size)) >= mean
+    high = np.add.reduceat((genic > above).astype(np.int64), heads)
+    run = np.cumsum(~on) - ~on  # a bucket below the mean still belongs to the run that it ends
+    found: list[list[int]] = []
+    for r in np.unique(run[on]).tolist():
+        own = np.flatnonzero(run == r)
+        if high[own].sum() < least:
+            continue
+        start, end = max(0, int(heads[own[0]]) - buffer), min(size, int(heads[own[-1]]) + step + buffer)
+        if found and start <= found[-1][1]:
+            found[-1][1] = max(found[-1][1], end)
+        else:
+            found.append([start, end])
+    return [tuple(x) for x in found] or [(0, size)]
+
+
+def decoded(probs: np.ndarray, codes: np.ndarray | None, repair: bool = True, prefilter: bool = False, regions: bool = False) -> tuple[np.ndarray, np.ndarray]:
     """Paths (B, L) of windows of one length, and which were decoded again under the constraints.
 
     Every window takes its unconstrained best path; only those that break a memory rule take the
-    best legal one. With ``prefilter`` windows without a coding signal are intergenic throughout."""
+    best legal one. With ``prefilter`` windows without a coding signal are intergenic throughout; with
+    ``regions`` only stretches that likely hold genes are decoded, each by itself, and the rest is intergenic."""
     paths, again = np.zeros(probs.shape[:2], np.int64), np.zeros(len(probs), bool)
     live = np.flatnonzero(has_coding_signal(probs)) if prefilter else np.arange(len(probs))
     if not len(live):
         return paths, again
+    if regions:
+        places = [(i, a, b) for i in live.tolist() for a, b in genic_slices(probs[i])]
+        for same in side_by_side([b - a for _, a, b in places]):
+            cut_out = lambda x: np.stack([x[places[k][0], places[k][1] : places[k][2]] for k in same])  # noqa: E731, B023
+            own, redone = decoded(cut_out(probs), None if codes is None else cut_out(codes), repair)
+            for k, path, done in zip(same, own, redone.tolist(), strict=True):
+                i, a, b = places[k]
+                paths[i, a:b], again[i] = path, again[i] or done
+        return paths, again
     own = None if codes is None else codes[live]
     scores = emissions(probs[live], own)
     paths[live] = viterbi(scores, log_or_absent(transitions()), np.full(N, -np.log(N), np.float32))
@@ -439,13 +472,14 @@ def motif_scorer(codes: np.ndarray) -> np.ndarray:
 
 
 def decode_windows(
-    windows: DataFrame, keys: str, use_bases: bool = True, repair: bool = True, prefilter: bool = False, scorer: Callable | None = None
+    windows: DataFrame, keys: str, use_bases: bool = True, repair: bool = True, prefilter: bool = False, scorer: Callable | None = None, regions: bool = False
 ) -> DataFrame:
     """windows(keys..., p array<array<float>>, bases string in transcription order) -> keys,
     states array<int>, repaired boolean.
 
     keys: a DDL list of the columns to carry. Scores use the bases only with ``use_bases``; paths are
     repaired by them in any case, where a window has them. A window without probabilities has no states.
+    prefilter and regions: see decoded().
     With a ``scorer``, a function from base codes (B, L) to probabilities (B, L, 20), p is not read: windows are
     scored where they are decoded and no probability is ever written or moved."""
     names = [c.split()[0] for c in keys.split(",")]
@@ -468,9 +502,9 @@ def decode_windows(
                     codes = np.stack([base_codes(bases[i], n) for i in own]) if known else None
                     stack = np.stack([probs[i] for i in own]) if scorer is None else scorer(codes)
                     if use_bases or not known:
-                        paths, again = decoded(stack, codes, repair, prefilter)
+                        paths, again = decoded(stack, codes, repair, prefilter, regions)
                     else:
-                        paths, again = decoded(stack, None, False, prefilter)
+                        paths, again = decoded(stack, None, False, prefilter, regions)
                         bad = np.flatnonzero(~legal_paths(paths, codes)) if repair else []
                         if len(bad):
                             paths[bad], again[bad] = repaired_paths(emissions(stack[bad], None), codes[bad]), True

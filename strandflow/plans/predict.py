@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import annotation, decode, planning, repair, stitch, transcripts
 from ..operators.components import cut
+from ..sources import fasta, features
 from .annotate import model_windows, models_from_runs, path_runs
 
 KEYS = "seq_name string, strand string, core_start long, core_end long"
@@ -50,7 +51,7 @@ def window_ends(runs: DataFrame) -> DataFrame:
 
 
 def utr_repaired(
-    runs: DataFrame, windows: DataFrame, flank: int = 0, scorer: Callable | None = None, use_bases: bool = True, prefilter: bool = False, known: DataFrame | None = None
+    runs: DataFrame, windows: DataFrame, flank: int = 0, scorer: Callable | None = None, use_bases: bool = True, prefilter: bool = False, known: DataFrame | None = None, regions: bool = False
 ) -> tuple[DataFrame, DataFrame]:
     """path_runs() in which UTR contexts that have two sides across a splice are decoded again as a whole, and the
     audit of each (see repair.repair_conflicts). windows: the model windows that the runs come from; known: the
@@ -64,7 +65,7 @@ def utr_repaired(
     data = ["bases"] if scorer is not None else ["bases", "p"]
     few = near.select("seq_name", "strand", "core_start").distinct()
     own = windows.select("seq_name", "strand", "core_start", "core_end", *data).join(few, ["seq_name", "strand", "core_start"], "left_semi")
-    states = decode.decode_windows(own, KEYS, use_bases, prefilter=prefilter, scorer=scorer).select("seq_name", "strand", "core_start", "states")
+    states = decode.decode_windows(own, KEYS, use_bases, prefilter=prefilter, scorer=scorer, regions=regions).select("seq_name", "strand", "core_start", "states")
     if known is not None:
         states = states.join(known.withColumnRenamed("states", "_known"), ["seq_name", "strand", "core_start"], "left")
         states = states.select("seq_name", "strand", "core_start", F.coalesce("_known", "states").alias("states"))
@@ -92,46 +93,56 @@ def utr_repaired(
     return runs.join(redone, ["seq", "strand", "win_start"], "left_anti").unionByName(again), audit.drop("states", "start")
 
 
-def predicted_runs(seqs: DataFrame, core: int, flank: int = 0, scorer: Callable = decode.motif_scorer, prefilter: bool = False) -> tuple[DataFrame, DataFrame]:
+def predicted_runs(seqs: DataFrame, core: int, flank: int = 0, scorer: Callable = decode.motif_scorer, prefilter: bool = False, regions: bool = False) -> tuple[DataFrame, DataFrame]:
     """The repaired runs of sequences(seq_name, seq) on both strands, materialised, and the audit of the repair.
 
     Windows are scored and decoded where they are cut. Without flanks, windows that don't fit together are
     predicted again in pairs."""
     windows = model_windows(seqs.select(F.col("seq_name").cast("string").alias("seq_name"), "seq").where(F.length("seq") > 0), core, flank)
-    decoded = decode.decode_windows(windows.select("seq_name", "strand", "core_start", "core_end", "bases"), KEYS, prefilter=prefilter, scorer=scorer)
+    decoded = decode.decode_windows(windows.select("seq_name", "strand", "core_start", "core_end", "bases"), KEYS, prefilter=prefilter, scorer=scorer, regions=regions)
     runs, known = cut(path_runs(decoded, flank)), None
     if not flank:
         runs, known = rejoined(runs, windows, core, scorer)
         runs = cut(runs)
-    runs, audit = utr_repaired(runs, windows, flank, scorer, prefilter=prefilter, known=known)
+    runs, audit = utr_repaired(runs, windows, flank, scorer, prefilter=prefilter, known=known, regions=regions)
     return cut(runs), audit
 
 
-def predict(seqs: DataFrame, core: int, flank: int = 0, scorer: Callable = decode.motif_scorer, prefilter: bool = False) -> DataFrame:
+def predict(seqs: DataFrame, core: int, flank: int = 0, scorer: Callable = decode.motif_scorer, prefilter: bool = False, regions: bool = False) -> DataFrame:
     """sequences(seq_name, seq) -> gene models (gene, tx, chrom, strand, feature, start, end) on both strands.
     An empty sequence has no models."""
-    return models_from_runs(predicted_runs(seqs, core, flank, scorer, prefilter)[0])
+    return models_from_runs(predicted_runs(seqs, core, flank, scorer, prefilter, regions)[0])
 
 
-def predict_packed(seqs: DataFrame, core: int, threshold: int, spacer: int = 100, target: int = 640_000, **options) -> DataFrame:
+def packed_models(seqs: DataFrame, core: int, threshold: int, spacer: int = 100, target: int = 640_000, **options) -> tuple[DataFrame, DataFrame]:
     """predict() of sequences(ord, seq_name, seq), in which those shorter than ``threshold`` are joined into packs
-    of up to ``target`` bases first; coordinates are those of the sequences again.
+    of up to ``target`` bases first; coordinates are those of the sequences again. The second table is the audit
+    of both passes' UTR repair, in the coordinates of packs in the first.
 
     A transcript that doesn't lie within one sequence of its pack sets all sequences that it touches aside;
     these are predicted again by themselves, and only what that gives counts for them."""
     seqs = seqs.select("ord", F.col("seq_name").cast("string").alias("seq_name"), "seq")
     segments = cut(planning.pack(seqs.select("ord", F.col("seq_name").alias("name"), F.length("seq").cast("long").alias("length")), threshold, spacer, target))
     packed = planning.pack_sequences(seqs, segments, spacer).withColumnRenamed("packed_name", "seq_name")
-    models = cut(predict(packed, core, **options).withColumn("id", F.monotonically_increasing_id()).withColumnRenamed("chrom", "seq"))
+    runs, audit = predicted_runs(packed, core, **options)
+    models = cut(models_from_runs(runs).withColumn("id", F.monotonically_increasing_id()).withColumnRenamed("chrom", "seq"))
     again = cut(annotation.recheck_sources(models, segments, "tx"))
     whole = annotation.lift_groups(models, segments, "tx").where("mapped").select("tx")
     lifted = annotation.lift_over(models.join(whole, "tx", "left_semi"), segments)
     lifted = lifted.select("gene", "tx", F.col("source").alias("chrom"), "strand", "feature", F.col("source_start").alias("start"), F.col("source_end").alias("end"))
-    apart = seqs.join(again.withColumnRenamed("source", "seq_name"), "seq_name", "left_semi")
-    fresh = predict(apart, core, **options)
+    audit = audit.withColumn("pass", F.lit("packed"))
+    if not again.take(1):
+        return lifted, audit
+    runs, more = predicted_runs(seqs.join(again.withColumnRenamed("source", "seq_name"), "seq_name", "left_semi"), core, **options)
     name = lambda c: F.concat(F.lit("recheck."), c).alias(c)
-    fresh = fresh.select(name("gene"), name("tx"), "chrom", "strand", "feature", "start", "end")
-    return annotation.replace_sources(lifted, fresh, again.withColumnRenamed("source", "chrom"), "chrom")
+    fresh = models_from_runs(runs).select(name("gene"), name("tx"), "chrom", "strand", "feature", "start", "end")
+    models = annotation.replace_sources(lifted, fresh, again.withColumnRenamed("source", "chrom"), "chrom")
+    return models, audit.unionByName(more.withColumn("pass", F.lit("recheck")))
+
+
+def predict_packed(seqs: DataFrame, core: int, threshold: int, spacer: int = 100, target: int = 640_000, **options) -> DataFrame:
+    """The models of packed_models()."""
+    return packed_models(seqs, core, threshold, spacer, target, **options)[0]
 
 
 def finished(models: DataFrame, seqs: DataFrame, mode: str = "strict", least: int = 61, least_coding: int = 0) -> DataFrame:
@@ -146,3 +157,22 @@ def finished(models: DataFrame, seqs: DataFrame, mode: str = "strict", least: in
     if least_coding:
         kept = kept.join(transcripts.least_coding(pieces, least_coding), transcripts.TRANSCRIPT, "left_semi")
     return clipped.join(kept, transcripts.TRANSCRIPT, "left_semi").withColumnsRenamed({"seq_name": "chrom", "type": "feature"}).select(*"gene tx chrom strand feature start end".split())
+
+
+def predict_file(
+    spark: SparkSession, fasta_path: str, out_path: str, core: int = 20_000, threshold: int = 20_000, mode: str = "strict", min_length: int = 0, most_records: int = 0, **options
+) -> bool:
+    """Predict a FASTA file's genes and write them as GFF3 to out_path, with the audit of the UTR repair as
+    JSON lines in a folder of that name and ``.repair.json``. Names that two records have are an error; with more
+    than ``most_records`` records (zero: no limit) nothing is done, and the answer is False."""
+    if fasta.too_many_records(spark, fasta_path, most_records):
+        return False
+    seqs = cut(fasta.read_fasta(spark, fasta_path, min_length=min_length).withColumn("ord", F.monotonically_increasing_id()))
+    twice = fasta.duplicate_names(seqs).select("seq_name").take(5)
+    if twice:
+        raise ValueError(f"names of more than one record: {', '.join(r.seq_name for r in twice)}")
+    models, audit = packed_models(seqs, core, threshold, **options)
+    lines = annotation.render_models(cut(finished(models, seqs, mode)))
+    features.write_lines(lines, out_path, ["chrom", "gene_no", "tx_no", "kind", "nth"])
+    audit.write.mode("overwrite").json(f"{out_path}.repair.json")
+    return True

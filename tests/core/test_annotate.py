@@ -246,3 +246,16 @@ def test_packs_of_stretches_are_numbered_on(spark):
         df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "ord long, name string, length long")
         assert [tuple(r) for r in predict.planning.pack(df.repartition(7), 300, 10, 400, "p_").collect()] == slow_packs(rows, 300, 10, 400, "p_")
     assert predict.planning.pack(df.limit(0), 300).collect() == []
+
+
+def test_from_fasta_to_gff3(spark, tmp_path):
+    path, out = tmp_path / "g.fa", str(tmp_path / "out.gff3")
+    path.write_text(f">one first\n{'T' * 50 + GENE + 'T' * 30}\n>two\n{'T' * 300}\n")
+    assert not predict.predict_file(spark, str(path), out, 400, 500, most_records=1)
+    assert predict.predict_file(spark, str(path), out, 400, 500, scorer=sure_scorer)
+    rows = predict.features.read_features(spark, out).collect()
+    assert {(r.seqid, r.feature, r.start, r.end) for r in rows} == {("one", f, 51, 176) for f in ("gene", "mRNA", "exon", "CDS")}
+    assert spark.read.schema("status string").json(out + ".repair.json").count() == 0
+    path.write_text(">a\nAC\n>a\nGT\n")
+    with pytest.raises(ValueError, match="more than one record: a"):
+        predict.predict_file(spark, str(path), out)

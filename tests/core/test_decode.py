@@ -193,3 +193,35 @@ def test_posterior_windows(spark):
     got, empty = dc.posterior_windows(df, "k string").collect()
     post = dc.posterior(dc.emissions(p, "ACGTT" * 6)[None], dc.log_or_absent(dc.transitions()), np.full(20, -np.log(20), np.float32))[0]
     assert got.states == post.argmax(axis=1).tolist() and np.allclose(got.confidence, post.max(axis=1)) and empty.states == []
+
+
+def test_likely_genic_stretches_are_decoded_by_themselves():
+    rng = np.random.default_rng(12)
+    for _ in range(30):
+        n = int(rng.integers(1, 900))
+        genic = np.repeat(rng.choice([0.0, 0.05, 0.3, 0.9], n // 40 + 1), 40)[:n]
+        probs = np.zeros((n, 20))
+        probs[:, 0], probs[:, 5] = 1 - genic, genic
+        means = [genic[i : i + 50].mean() >= 0.1 for i in range(0, n, 50)]
+        want, start = [], None
+        for k, on in enumerate([*means, None]):
+            if start is None and on:
+                start = k
+            if start is not None and not on:
+                a, b = start * 50, min(n, (k + (on is not None)) * 50)
+                if (genic[a:b] > 0.5).sum() >= 50:
+                    want.append((max(0, a - 100), min(n, b + 100)))
+                start = None
+        merged = []
+        for a, b in want:
+            if merged and a <= merged[-1][1]:
+                merged[-1] = (merged[-1][0], max(b, merged[-1][1]))
+            else:
+                merged.append((a, b))
+        assert dc.genic_slices(probs) == (merged or [(0, n)])
+    gene = [15] * 30 + [7, 5, 6, *[4, 5, 6] * 20, 4, 5, 14] + [16] * 30
+    probs = np.full((2, 800, 20), 0.0001)
+    probs[..., 0] = 1 - 0.0019
+    probs[0, 400 : 400 + len(gene), 0], probs[0, range(400, 400 + len(gene)), gene] = 0.0001, 1 - 0.0019
+    paths, _ = dc.decoded(probs, None, regions=True)
+    assert paths[0, 400 : 400 + len(gene)].tolist() == gene and (paths[0] > 0).sum() == len(gene) and not paths[1].any()
