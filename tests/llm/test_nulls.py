@@ -3,7 +3,7 @@
 import pytest
 
 import corpus_pipeline
-from strandflow.llm import decontaminate, exact_dedup, html_text, language_id, licenses, packing, quality, simhash, toxicity, url_filter
+from strandflow.llm import decontaminate, exact_dedup, html_text, language_id, licenses, minhash, packing, phrases, quality, simhash, spelling, toxicity, url_filter
 
 EXTRA = "rep long, fp string, key string, digest string, label string, score string, bucket string, kept string"
 TEXTS = [None, "", "bar baba abra", "bar baba abra", "lele ell elle", "Released under the MIT License.", "a b c d e f g h i j k l"]
@@ -34,5 +34,9 @@ def test_all_operators_take_nulls_and_clashing_names(spark, docs):
     assert language_id.identify(docs, language_id.learn(docs)).count() == n
     assert html_text.extract_text(pages, html_text.default_extractor(40)).count() == n
     assert {r.doc_id for r in decontaminate.find_overlaps(docs, bench).collect() if r.contaminated} == {6}
+    sets = minhash.minhash_groups(docs).collect()
+    assert len(sets) == n and sum(r.kept for r in sets) == len(TEXTS) - 2 - 1 + 4  # each wordless row stays by itself
+    assert {(r.lang, r.phrase) for r in phrases.mine(docs, 3, 2).collect()} >= {("aa", "bar baba abra")}
+    assert spelling.variants(spelling.word_counts(docs, 4, 2)).count() > 0
     for name, stage in corpus_pipeline.STAGES[1:3]:
         assert stage(spark, docs, "").columns == docs.columns, name
