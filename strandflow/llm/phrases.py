@@ -13,7 +13,8 @@ another task (or batch), both return their part of its count, whether frequent o
 parts are added up, so no prefix has to fit into one task.
 
 Words are told apart by 64-bit hashes of language and word. That no two words of the corpus share
-one is checked on the whole vocabulary, and another seed is taken if they do. Which words and pairs
+one is checked on the whole vocabulary, and another seed is taken if they do. What is moved of a hash is its lower
+40 bits if no frequent word shares those with any other word, else more of them. Which words and pairs
 are frequent goes to the tasks as a table of a fixed number of bits: a bit that two share
 makes some rows more, never a wrong count.
 """
@@ -47,14 +48,14 @@ def pieces(text: bytes | None) -> list[bytes]:
 class Places(dict):
     """Places of one language's words in the list of hashes that all languages share."""
 
-    def __init__(self, lang: bytes, hashes: list[int], words: list, seed: int):
+    def __init__(self, lang: bytes, hashes: list[int], words: list, seed: int, bits: int):
         super().__init__({b".": 0})
-        self.lang, self.hashes, self.words, self.seed = lang, hashes, words, seed
-        self.prefix = b"%d:%b" % (len(lang), lang)
+        self.lang, self.hashes, self.words, self.mask = lang, hashes, words, (1 << bits) - 1
+        self.prefix = b"%d:%d:%b" % (seed, len(lang), lang)
 
     def __missing__(self, word: bytes) -> int:
         self[word] = place = len(self.hashes)
-        self.hashes.append(xxhash.xxh64_intdigest(self.prefix + word, self.seed))
+        self.hashes.append(xxhash.xxh64_intdigest(self.prefix + word, 42) & self.mask)
         self.words.append((self.lang, word))
         return place
 
@@ -63,14 +64,15 @@ def _texts(docs: DataFrame) -> DataFrame:
     return docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), F.coalesce("text", F.lit("")).alias("text"))
 
 
-def chunked(batches, seed: int, keep_words: bool = False):
-    """(places, hashes, words): the words of many texts as places in ``hashes``, place 0 between texts and pieces."""
+def chunked(batches, seed: int, bits: int = 64, keep_words: bool = False):
+    """(places, hashes, words): the words of many texts as places in ``hashes`` (the lower bits of them), place 0
+    between texts and pieces."""
     langs, hashes, words, held, n = {}, [0], [None], [], 0
     for batch in batches:
         for lang, text in zip(batch.column(0).cast(pa.binary()).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist(), strict=True):
             places = langs.get(lang)
             if places is None:
-                places = langs[lang] = Places(lang, hashes, words if keep_words else _Nothing(), seed)
+                places = langs[lang] = Places(lang, hashes, words if keep_words else _Nothing(), seed, bits)
             found = pieces(text)
             held.append(np.fromiter(map(places.__getitem__, found), np.int64, len(found)))
             held.append(np.zeros(1, np.int64))
@@ -98,11 +100,13 @@ def word_table(docs: DataFrame, seed: int) -> DataFrame:
             f[0] = 0
             some = np.flatnonzero(f)
             own = [words[i] for i in some.tolist()]
-            columns = [hashes[some].view(np.int64), [x[0] for x in own], [x[1] for x in own], f[some]]
-            yield pa.RecordBatch.from_arrays([pa.array(columns[0]), pa.array(columns[1], pa.binary()).cast(pa.string()), pa.array(columns[2], pa.binary()).cast(pa.string()), pa.array(columns[3].astype(np.int64))], ["h", "lang", "word", "f"])
+            texts = [pa.array([x[k] for x in own], pa.binary()).cast(pa.string()) for k in (0, 1)]
+            yield pa.RecordBatch.from_arrays([*texts, pa.array(f[some].astype(np.int64))], ["lang", "word", "f"])
 
-    rows = _texts(docs).mapInArrow(run, "h long, lang string, word string, f long")
-    return rows.groupBy("h", "lang", "word").agg(F.sum("f").alias("f"))
+    rows = _texts(docs).mapInArrow(run, "lang string, word string, f long").groupBy("lang", "word").agg(F.sum("f").alias("f"))
+    # as Places hashes it: Spark's function is XXH64 with the seed 42
+    h = F.xxhash64(F.concat(F.lit(f"{seed}:"), F.octet_length("lang").cast("string"), F.lit(":"), F.col("lang"), F.col("word")))
+    return rows.select(h.alias("h"), "lang", "word", "f")
 
 
 def counted_words(docs: DataFrame, tries: int = 20) -> tuple[DataFrame, int]:
@@ -115,6 +119,16 @@ def counted_words(docs: DataFrame, tries: int = 20) -> tuple[DataFrame, int]:
     raise ValueError("no seed tells all words apart")
 
 
+def enough_bits(words: DataFrame, least: int) -> int:
+    """How many lower bits of the hashes suffice to tell each frequent word from all other words."""
+    for bits in (40, 48, 56):
+        low = F.col("h").bitwiseAND(F.lit((1 << bits) - 1))
+        shared = words.groupBy(low.alias("low")).agg(F.count("*").alias("n"), F.max("f").alias("most"))
+        if not shared.where(((F.col("n") > 1) | (F.col("low") == 0)) & (F.col("most") >= least)).take(1):
+            return bits
+    return 64
+
+
 def bit_table(rows: DataFrame, column: str) -> np.ndarray:
     """A table of 2 ** TABLE_BITS bits, as bytes, in which the bits of all values of the column are set."""
     at = F.col(column).bitwiseAND(F.lit((1 << TABLE_BITS) - 1))
@@ -145,12 +159,12 @@ def pair_keys(pairs: DataFrame) -> DataFrame:
     return pairs.select("h1", "h2").mapInArrow(run, "key long")
 
 
-def pair_table(docs: DataFrame, frequent: np.ndarray, seed: int) -> DataFrame:
+def pair_table(docs: DataFrame, frequent: np.ndarray, seed: int, bits: int) -> DataFrame:
     """h1, h2, f: neighbours of which both may be frequent."""
     shared = docs.sparkSession.sparkContext.broadcast(frequent)
 
     def run(batches):
-        for places, hashes, _ in chunked(batches, seed):
+        for places, hashes, _ in chunked(batches, seed, bits):
             known = in_table(shared.value, hashes)
             known[0] = False
             near = known[places[:-1]] & known[places[1:]]
@@ -160,14 +174,14 @@ def pair_table(docs: DataFrame, frequent: np.ndarray, seed: int) -> DataFrame:
     return _texts(docs).mapInArrow(run, "h1 long, h2 long, f long").groupBy("h1", "h2").agg(F.sum("f").alias("f"))
 
 
-def projections(docs: DataFrame, frequent: np.ndarray, pairs: np.ndarray, longest: int, seed: int) -> DataFrame:
+def projections(docs: DataFrame, frequent: np.ndarray, pairs: np.ndarray, longest: int, seed: int, bits: int) -> DataFrame:
     """h1 .. hn (n = longest; zero beyond the end), f: what follows the occurrences of pairs that may be frequent,
     one word at least, as long as neighbours may be frequent pairs."""
     shared = docs.sparkSession.sparkContext.broadcast((frequent, pairs))
     names = [f"h{i + 1}" for i in range(longest)]
 
     def run(batches):
-        for places, hashes, _ in chunked(batches, seed):
+        for places, hashes, _ in chunked(batches, seed, bits):
             known = in_table(shared.value[0], hashes)
             known[0] = False
             h = np.where(known, hashes, np.uint64(0))[places]
@@ -277,11 +291,12 @@ def mine(docs: DataFrame, longest: int = 5, least: int = 100, percent: int = 100
         raise ValueError("phrases of up to three words at least")
     words, seed = counted_words(docs)
     totals = cut(words.groupBy("lang").agg(F.sum("f").alias("n")))
-    frequent = cut(words.where(F.col("f") >= least))
+    bits = enough_bits(words, least)
+    frequent = cut(words.where(F.col("f") >= least).withColumn("h", F.col("h").bitwiseAND(F.lit((1 << bits) - 1 if bits < 64 else -1))))
     word_bits = bit_table(frequent, "h")
-    pairs = cut(pair_table(docs, word_bits, seed).where(F.col("f") >= least))
+    pairs = cut(pair_table(docs, word_bits, seed, bits).where(F.col("f") >= least))
     pair_bits = bit_table(pair_keys(pairs), "key")
-    longer = grown(cut(projections(docs, word_bits, pair_bits, longest, seed)), longest, least)
+    longer = grown(cut(projections(docs, word_bits, pair_bits, longest, seed, bits)), longest, least)
     phrases = cut(longer.unionByName(pairs.select(F.array("h1", "h2").alias("phrase"), F.col("f").alias("a"))))
     kept = scored(phrases, frequent, totals).join(absorbed(phrases, percent), "phrase", "left_anti")
     kept = cut(best(kept, top))

@@ -87,3 +87,11 @@ def test_empty_and_colliding_words(spark, monkeypatch):
 
     monkeypatch.setattr(ph, "word_table", colliding)
     assert ph.counted_words(docs)[1] == 1 and tables == [0, 1]
+
+
+def test_short_ids_keep_frequent_words_apart(spark):
+    rows = [(5 << 40 | 7, 200), (7, 1), (1 << 40 | 9, 1), (9, 1)]
+    words = spark.createDataFrame(rows, "h long, f long")
+    assert ph.enough_bits(words, 100) == 48  # a frequent word and a rare one share 40 bits
+    assert ph.enough_bits(words.where("f = 1"), 100) == 40  # rare ones may
+    assert ph.enough_bits(spark.createDataFrame([(1 << 60, 500), (1 << 61, 500)], "h long, f long"), 100) == 64
