@@ -2,6 +2,7 @@ from itertools import product
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from strandflow.operators import decode as dc
 from strandflow.operators.topology import NEXT
@@ -225,3 +226,23 @@ def test_likely_genic_stretches_are_decoded_by_themselves():
     probs[0, 400 : 400 + len(gene), 0], probs[0, range(400, 400 + len(gene)), gene] = 0.0001, 1 - 0.0019
     paths, _ = dc.decoded(probs, None, regions=True)
     assert paths[0, 400 : 400 + len(gene)].tolist() == gene and (paths[0] > 0).sum() == len(gene) and not paths[1].any()
+
+
+def test_shared_probabilities_are_those_of_each_row(spark):
+    from strandflow import queries
+
+    rows = spark.createDataFrame([("0",), ("19",), ("20",), ("4711",), ("-3",), ("-2000",), (None,)], "seq_name string")
+    number = F.col("seq_name").cast("int")
+    each = F.transform(F.sequence(F.lit(1), F.lit(200)), lambda i: F.transform(F.sequence(F.lit(0), F.lit(19)), lambda s: F.when(s == (i * 7 + number) % 20, 0.6).otherwise(0.4 / 19)))
+    got = queries._with_p(rows).withColumn("want", each)
+    assert got.count() == 7 and got.where("p <> want OR p IS NULL").count() == 0
+
+
+def test_chunks_move_without_probabilities(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    rows = [(f"s{i}", c, "A" * 12, rng.dirichlet(np.ones(20), 12).tolist()) for i in range(3) for c in range(4)]
+    held = spark.createDataFrame(rows, "seq_name string, chunk long, bases string, p array<array<double>>")
+    want = {(r.seq_name, r.chunk): list(r.states) for r in dc.decode_sequences(held).collect()}
+    monkeypatch.setattr(dc, "BROADCAST_CHUNKS", 0)
+    late = dc.decode_sequences(held.drop("p"), probabilities=lambda df: df.join(F.broadcast(held.select("seq_name", "chunk", "p")), ["seq_name", "chunk"]))
+    assert {(r.seq_name, r.chunk): list(r.states) for r in late.collect()} == want
