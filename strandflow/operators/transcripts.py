@@ -11,9 +11,12 @@ from pyspark.sql import functions as F
 
 from ..functions import sequence as sq
 from . import intervals
+from .components import cut
 
 #: Bases in a row while pieces are cut from them.
 WIDTH = 1 << 16
+#: Sequences whose lengths may be broadcast.
+BROADCAST_LENGTHS = 1_000_000
 TRANSCRIPT = ["seq_name", "tx", "strand"]
 
 
@@ -36,10 +39,10 @@ def spliced_cds(pieces: DataFrame, sequences: DataFrame, width: int = WIDTH) ->
     parts = pieces.where("end >= start").select(*TRANSCRIPT, start.cast("long"), end.cast("long"), F.explode(F.sequence(first, last)).alias("bin"))
     at = F.greatest(start - F.col("bin") * width, F.lit(1))
     n = F.greatest(F.least(end - F.col("bin") * width, F.lit(width)) - at + 1, F.lit(0))
-    cut = parts.join(base_windows(sequences, width), ["seq_name", "bin"], "left").select(
+    pieced = parts.join(base_windows(sequences, width), ["seq_name", "bin"], "left").select(
         *TRANSCRIPT, F.struct("start", "end", "bin", n.alias("n"), F.col("bases").substr(at.cast("int"), n.cast("int")).alias("bases")).alias("part")
     )
-    whole = cut.groupBy(*TRANSCRIPT).agg(F.array_sort(F.collect_set("part")).alias("parts"))
+    whole = pieced.groupBy(*TRANSCRIPT).agg(F.array_sort(F.collect_set("part")).alias("parts"))
     field = lambda name: F.transform("parts", lambda p: p[name])
     bases = sq.oriented(F.array_join(field("bases"), ""), F.col("strand"))
     n_pieces = F.size(F.array_distinct(F.transform("parts", lambda p: F.struct(p["start"], p["end"]))))
@@ -70,6 +73,8 @@ def with_pieces(features: DataFrame) -> DataFrame:
 
 def clip_features(features: DataFrame, lengths: DataFrame) -> DataFrame:
     """features(seq_name, tx, type, start, end, ...) cut to their sequences, without emptied ones and
-    without transcripts left with neither a CDS nor an exon. An unknown length cuts nothing."""
-    known = features.join(lengths.select("seq_name", F.col("length").alias("_length")), "seq_name", "left")
+    without transcripts left with neither a CDS nor an exon. An unknown length cuts nothing. Features don't move
+    to their sequence's length while lengths can be broadcast, so few long sequences don't make few large tasks."""
+    sizes = cut(lengths.select("seq_name", F.col("length").alias("_length")))
+    known = features.join(F.broadcast(sizes) if sizes.count() <= BROADCAST_LENGTHS else sizes, "seq_name", "left")
     return with_pieces(intervals.clip(known, "_length").drop("_length"))
