@@ -84,21 +84,24 @@ def normalise_row(feature: Column, phase: Column) -> tuple[Column, Column]:
 #: Segments of a lift-over that may be broadcast; beyond it both sides are joined by position bins.
 BROADCAST_SEGMENTS = 100_000
 SEGMENT_BIN = 1 << 16
+#: Names of packed sequences that may be broadcast.
+BROADCAST_NAMES = 1_000_000
 
 
 def _near_segments(rows: DataFrame, segments: DataFrame, condition: Column, how: str) -> DataFrame:
     """Range join on the packed name; a large segment table is dealt by bins that rows touch.
 
-    In the binned form only inner joins are made, on each bin that both sides touch."""
+    In the binned form of a left join rows lie inside of a segment, so they go by the bin of their start alone; an
+    inner join takes each pair at the first bin that both touch."""
     if segments.count() <= BROADCAST_SEGMENTS:
         return rows.join(F.broadcast(segments), condition, how)
-    bins = lambda a, b: F.explode(F.sequence(F.floor(a / SEGMENT_BIN), F.floor(b / SEGMENT_BIN)))
-    left = rows.withColumn("_bin", bins(F.col("start"), F.greatest("start", "end")))
-    right = segments.withColumn("_sbin", bins(F.col("packed_start"), F.col("packed_end")))
-    found = left.join(right, condition & (F.col("_bin") == F.col("_sbin"))).drop("_bin", "_sbin").distinct()
-    if how == "inner":
-        return found
-    return rows.join(found, rows.columns, "left")
+    at = lambda x: F.floor(F.col(x) / SEGMENT_BIN)
+    right = segments.withColumn("_sbin", F.explode(F.sequence(at("packed_start"), at("packed_end"))))
+    if how == "left":
+        return rows.withColumn("_bin", at("start")).join(right, condition & (F.col("_bin") == F.col("_sbin")), "left").drop("_bin", "_sbin")
+    left = rows.withColumn("_bin", F.explode(F.sequence(at("start"), F.greatest(at("start"), at("end")))))
+    first = F.greatest(at("start"), at("packed_start"))
+    return left.join(right, condition & (F.col("_bin") == F.col("_sbin")) & (F.col("_bin") == first)).drop("_bin", "_sbin")
 
 
 def lift_over(rows: DataFrame, segments: DataFrame) -> DataFrame:
@@ -108,8 +111,8 @@ def lift_over(rows: DataFrame, segments: DataFrame) -> DataFrame:
     contains it; a row on a sequence that isn't packed maps to itself; others get nulls."""
     inside = (F.col("seq") == F.col("packed_name")) & (F.col("start") >= F.col("packed_start")) & (F.col("end") <= F.col("packed_end"))
     found = _near_segments(rows, segments, inside, "left")
-    names = segments.select(F.col("packed_name").alias("_p")).distinct()
-    packed = F.broadcast(names) if segments.count() <= BROADCAST_SEGMENTS else names
+    names = cut(segments.select(F.col("packed_name").alias("_p")).distinct())
+    packed = F.broadcast(names) if names.count() <= BROADCAST_NAMES else names
     found = found.join(packed, F.col("seq") == F.col("_p"), "left")
     native = F.col("_p").isNull()
     shift = F.col("packed_start") - 1

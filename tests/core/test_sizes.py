@@ -21,3 +21,14 @@ def test_features_stay_where_they_are_when_clipped(spark):
     out = transcripts.clip_features(features, lengths)
     assert "hashpartitioning(seq_name" not in plan(out)
     assert [(r.tx, r.start, r.end) for r in out.collect()] == [("t", 1, 5)]
+
+
+def test_rows_with_nulls_are_lifted_by_bins_too(spark, monkeypatch):
+    rows = spark.createDataFrame([(1, "p", 70_000, 70_010, None), (2, "p", 65_000, 66_000, "x"), (2, "p", 65_000, 66_000, "x"), (3, "p", 9, 99_999, "x"), (4, "q", 1, 2, None)], "id long, seq string, start long, end long, note string")
+    segs = spark.createDataFrame([("p", "s1", 60_001, 69_000), ("p", "s2", 69_101, 80_000)], "packed_name string, original_name string, packed_start long, packed_end long")
+    both = []
+    for most in (100_000, 0):
+        monkeypatch.setattr(annotation, "BROADCAST_SEGMENTS", most)
+        both.append([sorted(map(tuple, f(rows, segs).collect()), key=repr) for f in (annotation.lift_over, annotation.touched_sources)])
+    assert both[0] == both[1]
+    assert (1, "p", 70_000, 70_010, None, "s2", 900, 910, True) in both[1][0]
