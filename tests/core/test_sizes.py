@@ -15,6 +15,17 @@ def plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
+def test_chains_of_a_gene_move_once(spark):
+    cds = spark.createDataFrame([(1, 1, "c", "+", 1, 9), (1, 2, "c", "+", 1, 9), (2, 3, "c", "+", 1, 9)], "gene long, tx long, chrom string, strand string, start long, end long")
+    keys = evaluate.orf_keys(cds)
+    assert plan(keys).count("hashpartitioning") == 1
+    assert sorted(map(tuple, keys.collect())) == [(1, "c:+:1:9", 1), (2, "c:+:1:9", 3)]
+    # genes of two types, a chain that only one side has, and one rank too many
+    more = cds.unionByName(cds.where("gene = 2").select(F.lit(7).cast("long").alias("gene"), "tx", "chrom", "strand", "start", F.lit(8).cast("long").alias("end")))
+    named = evaluate.orf_keys(more.withColumn("gene", F.concat(F.lit("g"), F.col("gene").cast("string"))).where("gene <> 'g2'"))
+    assert [(r.pred_gene, r.ref_gene) for r in evaluate.match_genes(named, keys).collect()] == [(1, "g1")]
+
+
 def test_features_stay_where_they_are_when_clipped(spark):
     features = spark.createDataFrame([("a", "t", "CDS", 1, 9)], "seq_name string, tx string, type string, start long, end long").repartition(3)
     lengths = spark.createDataFrame([("a", 5)], "seq_name string, length long").groupBy("seq_name").agg(F.max("length").alias("length"))
