@@ -12,6 +12,13 @@ from pyspark.sql import functions as F
 
 #: Positions a bin spans in the first step.
 BIN = 1 << 20
+#: Rows that one task sorts, about; more rows make more tasks.
+TASK_ROWS = 500_000
+
+
+def tasks(df: DataFrame) -> int:
+    """Among how many tasks df's rows are dealt, so that what one of them holds doesn't grow with the table."""
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), df.count() // TASK_ROWS)
 
 
 def _islands(df: DataFrame, keys: list[str], gap: int) -> DataFrame:
@@ -26,16 +33,16 @@ def merge_touching(df: DataFrame, keys: list[str], gap: int = 1, bin_size: int =
     """Coalesce intervals that overlap or lie within ``gap`` of each other: keys, start, end, n.
 
     Input order doesn't matter. gap=1 joins neighbours, gap=0 only what shares a position."""
-    rows = df.select(*keys, "start", "end", F.lit(1).cast("long").alias("n"))
-    binned = rows.withColumn("_bin", F.floor(F.col("start") / bin_size))
-    return _islands(_islands(binned, [*keys, "_bin"], gap).drop("_bin"), keys, gap)
+    rows, n = df.select(*keys, "start", "end", F.lit(1).cast("long").alias("n")), tasks(df)
+    binned = rows.withColumn("_bin", F.floor(F.col("start") / bin_size)).repartition(n, *keys, "_bin")
+    return _islands(_islands(binned, [*keys, "_bin"], gap).drop("_bin").repartition(n, *keys), keys, gap)
 
 
 def merge_adjacent(df: DataFrame, keys: list[str]) -> DataFrame:
     """Join each interval to the previous one (by start, end) when it starts just after it; overlaps stay apart."""
     order = Window.partitionBy(*keys).orderBy("start", "end")
     fresh = F.coalesce((F.col("start") != F.lag("end").over(order) + 1).cast("int"), F.lit(1))
-    marked = df.select(*keys, "start", "end").withColumn("_fresh", fresh)
+    marked = df.select(*keys, "start", "end").repartition(tasks(df), *keys).withColumn("_fresh", fresh)
     marked = marked.withColumn("_island", F.sum("_fresh").over(order.rowsBetween(Window.unboundedPreceding, 0)))
     return marked.groupBy(*keys, "_island").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.count("*").alias("n")).drop("_island")
 

@@ -15,6 +15,17 @@ def plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
+def test_merging_deals_more_rows_to_more_tasks(spark, monkeypatch):
+    rng = random.Random(4)
+    rows = [(k % 3, s, s + rng.randrange(9)) for k in range(400) for s in [rng.randrange(5000)]]
+    df = spark.createDataFrame(rows, "seq long, start long, end long")
+    few = [sorted(map(tuple, f(df, ["seq"]).collect())) for f in (intervals.merge_touching, intervals.merge_adjacent)]
+    monkeypatch.setattr(intervals, "TASK_ROWS", 10)
+    many = [f(df, ["seq"]) for f in (intervals.merge_touching, intervals.merge_adjacent)]
+    assert all("hashpartitioning(seq#" in plan(x) and ", 40)" in plan(x) for x in many)
+    assert [sorted(map(tuple, x.collect())) for x in many] == few
+
+
 def test_chains_of_a_gene_move_once(spark):
     cds = spark.createDataFrame([(1, 1, "c", "+", 1, 9), (1, 2, "c", "+", 1, 9), (2, 3, "c", "+", 1, 9)], "gene long, tx long, chrom string, strand string, start long, end long")
     keys = evaluate.orf_keys(cds)
