@@ -54,3 +54,28 @@ def test_rows_with_nulls_are_lifted_by_bins_too(spark, monkeypatch):
         both.append([sorted(map(tuple, f(rows, segs).collect()), key=repr) for f in (annotation.lift_over, annotation.touched_sources)])
     assert both[0] == both[1]
     assert (1, "p", 70_000, 70_010, None, "s2", 900, 910, True) in both[1][0]
+
+
+def test_merges_equal_their_sql_without_ties(spark):
+    """The queries' SQL numbers its islands by a second window of the same order, which leaves the order of equal intervals
+    open; here equal intervals are one row, so that it has one result."""
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW lineitem AS SELECT * FROM '{DATA}/lineitem.parquet' UNION ALL SELECT * FROM '{DATA}/lineitem.parquet'")
+    merged = {}
+    for name, keys, gap, source in (
+        ("interval_merge", "seq, strand", 1, "loose"), ("stop_merge", "seq, strand", 1, "loose"),
+        ("interval_expand_merge", "seq", 0, '(SELECT seq, greatest(0, "start" - 10) AS "start", least(100000, "end" + 10) AS "end", id FROM loose)'),
+    ):
+        merged[name] = con.sql(f"""WITH {LOOSE}, u AS (SELECT {keys}, "start", "end", count(*) AS n, count(*) FILTER (id % 4 <> 0) AS coding FROM {source} GROUP BY ALL),
+m AS (SELECT *, max("end") OVER w AS reach FROM u WINDOW w AS (PARTITION BY {keys} ORDER BY "start", "end" ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+i AS (SELECT *, sum(CASE WHEN reach IS NULL OR "start" > reach + {gap} THEN 1 ELSE 0 END) OVER (PARTITION BY {keys} ORDER BY "start", "end") AS island FROM m)
+SELECT {keys}, min("start"), max("end"){dict(interval_merge=", CAST(sum(n) AS BIGINT)", stop_merge=", sum(coding) > 0").get(name, "")} FROM i GROUP BY {keys}, island""").fetchall()
+    class Twice:  # the tables with every row twice, so that every interval has its equal
+        read = property(lambda self: self)
+
+        def parquet(self, path):
+            df = spark.read.parquet(path)
+            return df.unionAll(df)
+
+    for name, want in merged.items():
+        assert sorted(map(tuple, QUERIES[name](Twice(), DATA).collect())) == sorted(want), name
