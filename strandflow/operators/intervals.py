@@ -38,11 +38,14 @@ def merge_touching(df: DataFrame, keys: list[str], gap: int = 1, bin_size: int =
     return _islands(_islands(binned, [*keys, "_bin"], gap).drop("_bin").repartition(n, *keys), keys, gap)
 
 
-def merge_adjacent(df: DataFrame, keys: list[str]) -> DataFrame:
-    """Join each interval to the previous one (by start, end) when it starts just after it; overlaps stay apart."""
+def merge_adjacent(df: DataFrame, keys: list[str], distinct: bool = False) -> DataFrame:
+    """Join each interval to the previous one (by start, end) when it starts just after it; overlaps stay apart.
+    With ``distinct`` equal intervals count once; they meet where they are merged, without a shuffle of their own."""
+    rows = df.select(*keys, "start", "end").repartition(tasks(df), *keys)
+    rows = rows.distinct() if distinct else rows
     order = Window.partitionBy(*keys).orderBy("start", "end")
     fresh = F.coalesce((F.col("start") != F.lag("end").over(order) + 1).cast("int"), F.lit(1))
-    marked = df.select(*keys, "start", "end").repartition(tasks(df), *keys).withColumn("_fresh", fresh)
+    marked = rows.withColumn("_fresh", fresh)
     marked = marked.withColumn("_island", F.sum("_fresh").over(order.rowsBetween(Window.unboundedPreceding, 0)))
     return marked.groupBy(*keys, "_island").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.count("*").alias("n")).drop("_island")
 

@@ -166,8 +166,8 @@ f AS (SELECT *, CASE WHEN lag("end") OVER w + 1 = "start" THEN 0 ELSE 1 END AS f
 g AS (SELECT *, sum(fresh) OVER (PARTITION BY seq ORDER BY "start", "end") AS island FROM f)
 SELECT seq, min("start") AS s, max("end") AS e, count(*) AS n FROM g GROUP BY seq, island""")
 def interval_merge_adjacent(spark, d):
-    rows = loose(spark, d).select("seq", "start", (F.col("start") + 2).alias("end")).distinct()
-    return intervals.merge_adjacent(rows, ["seq"]).select("seq", F.col("start").alias("s"), F.col("end").alias("e"), "n")
+    rows = loose(spark, d).select("seq", "start", (F.col("start") + 2).alias("end"))
+    return intervals.merge_adjacent(rows, ["seq"], distinct=True).select("seq", F.col("start").alias("s"), F.col("end").alias("e"), "n")
 
 
 @query("interval_clip", f"""

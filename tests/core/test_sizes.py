@@ -24,6 +24,9 @@ def test_merging_deals_more_rows_to_more_tasks(spark, monkeypatch):
     many = [f(df, ["seq"]) for f in (intervals.merge_touching, intervals.merge_adjacent)]
     assert all("hashpartitioning(seq#" in plan(x) and ", 40)" in plan(x) for x in many)
     assert [sorted(map(tuple, x.collect())) for x in many] == few
+    once = intervals.merge_adjacent(df.unionAll(df), ["seq"], distinct=True)
+    assert plan(once).count("hashpartitioning") == 1
+    assert sorted(map(tuple, once.collect())) == sorted(map(tuple, intervals.merge_adjacent(df.distinct(), ["seq"]).collect()))
 
 
 def test_chains_of_a_gene_move_once(spark):
