@@ -1,6 +1,8 @@
 import random
 from itertools import combinations
 
+import numpy as np
+
 from strandflow.llm import similar_text as st
 
 
@@ -102,3 +104,14 @@ def test_every_similar_pair_is_found(spark):
     want = {(i, r) for i, r in slow_roots(rows).items() if i != r}
     assert len(want) > 100
     assert {tuple(r) for r in st.similar_roots(docs).collect()} == want
+
+
+def test_the_order_of_shingles_changes_nothing(spark, monkeypatch):
+    rows = dict(enumerate(texts()[:70]))
+    docs = spark.createDataFrame(list(rows.items()), "doc_id long, text string")
+    want = {i: r for i, r in slow_roots(rows).items() if i != r}
+    hashes = np.unique(np.concatenate([st.shingle_hashes(t.encode(), 5) for t in rows.values() if t]))
+    orders = {"none": np.empty(0, np.int64), "turned": np.arange(len(hashes), 0, -1), "mixed": np.random.default_rng(2).permutation(len(hashes)) + 1}
+    for name, places in orders.items():
+        monkeypatch.setattr(st, "common_shingles", lambda docs, width, places=places: (hashes[: len(places)], places))
+        assert {r.node: r.root for r in st.similar_roots(docs).collect()} == want, name
