@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -28,44 +28,66 @@ def genomic_paths(decoded: DataFrame, flank: int = 0) -> DataFrame:
     return rows.select("seq", "strand", "win_start", (F.col("win_start") + F.col("_i")).alias("pos"), "state")
 
 
-def path_runs(decoded: DataFrame, flank: int = 0) -> DataFrame:
-    """decoded(seq_name, strand, core_start, core_end, states) -> seq, strand, win_start, kind, start, end and
-    stitch.SUMMARY: each window's runs of one feature in genomic order, without flanks and padding.
+RUNS = "seq string, strand string, win_start long, kind string, start long, end long, first_state int, last_state int, starts int, stops int, legal boolean"
 
-    A window is encoded where it is decoded; no row a base is ever made."""
+
+def run_encoder(flank: int = 0) -> tuple[Callable, str]:
+    """A function from Arrow batches of decoded windows (see path_runs) to batches of their runs, and the schema of these.
+    All windows of a batch are encoded side by side."""
     names = sorted(set(topology.FEATURES))
     kinds = np.array([names.index(f) for f in topology.FEATURES])
     may_follow = np.zeros((20, 20), bool)
     for state, after in topology.NEXT.items():
         may_follow[state, list(after)] = True
-    schema = "seq string, strand string, win_start long, kind string, start long, end long, first_state int, last_state int, starts int, stops int, legal boolean"
-
-    def encoded(states, strand, first, size):
-        path = np.asarray(states, np.int64)
-        path = (path[::-1] if strand == "-" else path)[flank : flank + size]
-        if not len(path):
-            return ()
-        if path.min() < 0 or path.max() > 19:
+
+    def encoded(batch):
+        states, first = batch.column("states"), batch.column("core_start").to_numpy(zero_copy_only=False)
+        size = batch.column("core_end").to_numpy(zero_copy_only=False) - first + 1
+        minus = np.array([x == "-" for x in batch.column("strand").to_pylist()], bool)
+        ends, values = states.offsets.to_numpy(), states.values.to_numpy(zero_copy_only=False)
+        cores, owner = [], []
+        for i, known in enumerate(states.is_valid().to_pylist()):
+            path = values[ends[i] : ends[i + 1]] if known and size[i] > 0 else values[:0]
+            path = (path[::-1] if minus[i] else path)[flank : flank + int(size[i])]
+            if len(path):
+                cores.append(path)
+                owner.append(i)
+        owner, lengths = np.array(owner, int), np.array([len(x) for x in cores], int)
+        path = np.concatenate(cores).astype(np.int64) if cores else np.empty(0, np.int64)
+        if len(path) and (path.min() < 0 or path.max() > 19):
             raise ValueError("a state is outside 0 to 19")
+        begins = np.cumsum(lengths) - lengths
         kind = kinds[path]
-        head = np.flatnonzero(np.concatenate(([True], kind[1:] != kind[:-1])))
-        tail = np.append(head[1:], len(path)) - 1
-        a, b = (path[1:], path[:-1]) if strand == "-" else (path[:-1], path[1:])
+        fresh = np.concatenate(([True], kind[1:] != kind[:-1]))[: len(path)]
+        fresh[begins] = True
+        head = np.flatnonzero(fresh)
+        tail = np.append(head[1:], len(path))[: len(head)] - 1
+        turned = np.repeat(minus[owner], lengths)[1:]
+        a, b = np.where(turned, path[1:], path[:-1]), np.where(turned, path[:-1], path[1:])
         wrong = np.concatenate(([0], np.cumsum(~may_follow[a, b])))
         count = lambda state: np.diff(np.concatenate(([0], np.cumsum(path == state)))[np.append(head, len(path))])
-        return zip([names[k] for k in kind[head]], (first + head).tolist(), (first + tail).tolist(), path[head].tolist(), path[tail].tolist(), count(7).tolist(), count(14).tolist(), (wrong[tail] == wrong[head]).tolist(), strict=True)
+        window = np.searchsorted(begins, head, side="right") - 1
+        at, shift = owner[window], (first[owner] - begins)[window]
+        own = [batch.column(c).take(pa.array(at)) for c in ("seq_name", "strand")]
+        cells = [first[at], np.array(names)[kind[head]], head + shift, tail + shift, path[head], path[tail], count(7), count(14), wrong[tail] == wrong[head]]
+        types = [pa.int64(), pa.string(), pa.int64(), pa.int64(), *[pa.int32()] * 4, pa.bool_()]
+        return pa.RecordBatch.from_arrays([*own, *[pa.array(x, t) for x, t in zip(cells, types, strict=True)]], [c.split()[0] for c in RUNS.split(", ")])
+
+    return lambda batches: map(encoded, batches), RUNS
+
+
+def path_runs(decoded: DataFrame, flank: int = 0) -> DataFrame:
+    """decoded(seq_name, strand, core_start, core_end, states) -> seq, strand, win_start, kind, start, end and
+    stitch.SUMMARY: each window's runs of one feature in genomic order, without flanks and padding.
+
+    A window is encoded where it is decoded; no row a base is ever made."""
+    read = [F.col(c).cast(t) for c, t in (("seq_name", "string"), ("strand", "string"), ("core_start", "long"), ("core_end", "long"), ("states", "array<int>"))]
+    return decoded.select(*read).where("states IS NOT NULL").mapInArrow(*run_encoder(flank))
 
-    def run(batches):
-        for pdf in batches:
-            out = [
-                (r.seq_name, r.strand, r.core_start, *x)
-                for r in pdf.itertuples(index=False)
-                if r.core_end >= r.core_start and len(r.states)
-                for x in encoded(r.states, r.strand, r.core_start, r.core_end - r.core_start + 1)
-            ]
-            yield pd.DataFrame(out, columns=[c.split()[0] for c in schema.split(", ")])
 
-    return decoded.select("seq_name", "strand", "core_start", "core_end", "states").where("states IS NOT NULL").mapInPandas(run, schema)
+def window_runs(windows: DataFrame, flank: int = 0, **options) -> DataFrame:
+    """path_runs() of windows that decode.decode_windows() decodes with ``options``, in one task: their states don't leave it."""
+    return decode.decode_windows(windows, "seq_name string, strand string, core_start long, core_end long", then=run_encoder(flank), **options)
 
 
 def models_from_runs(runs: DataFrame) -> DataFrame:
@@ -106,9 +128,8 @@ def models_from_paths(paths: DataFrame) -> DataFrame:
 def annotate(windows_with_p: DataFrame, flank: int = 0, use_bases: bool = True, prefilter: bool = False, scorer: Callable | None = None) -> DataFrame:
     """windows(seq_name, strand, core_start, core_end, bases, p) -> gene models. With ``prefilter``
     windows without a coding signal aren't decoded but are intergenic; with a ``scorer`` p isn't read."""
-    keys = "seq_name string, strand string, core_start long, core_end long"
-    decoded = decode.decode_windows(windows_with_p, keys, use_bases, prefilter=prefilter, scorer=scorer)
-    return models_from_runs(cut(path_runs(decoded, flank)))  # the plan below reads the runs many times
+    runs = window_runs(windows_with_p, flank, use_bases=use_bases, prefilter=prefilter, scorer=scorer)
+    return models_from_runs(cut(runs))  # the plan below reads the runs many times
 
 
 def gff3(models: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from strandflow.operators import decode as dc
 from strandflow.operators.topology import NEXT
+from strandflow.plans import annotate
 
 
 def legal_paths(length):
@@ -246,3 +247,42 @@ def test_chunks_move_without_probabilities(spark, monkeypatch):
     monkeypatch.setattr(dc, "BROADCAST_CHUNKS", 0)
     late = dc.decode_sequences(held.drop("p"), probabilities=lambda df: df.join(F.broadcast(held.select("seq_name", "chunk", "p")), ["seq_name", "chunk"]))
     assert {(r.seq_name, r.chunk): list(r.states) for r in late.collect()} == want
+
+
+def test_scores_by_context_decode_as_probabilities_do():
+    rng = np.random.default_rng(9)
+    for length in (1, 2, 3, 40, 700):
+        codes = rng.choice(5, (30, length), p=[0.3, 0.2, 0.2, 0.25, 0.05]).astype(np.uint8)
+        codes[:10, length // 2 :] = 4  # padded windows
+        for repair in (True, False):
+            want = dc.decoded(dc.motif_scorer(codes), codes, repair)
+            assert all(map(np.array_equal, dc.decoded_by_context(codes, dc.motif_scorer, repair), want))
+
+
+def test_legal_walks_are_those_of_the_automaton():
+    """Paths are legal if and only if some node of the automaton is left when all of them are kept side by side."""
+    labels, initial, sources, weights, _, _ = dc.graph()
+    rng = np.random.default_rng(5)
+    codes = rng.integers(0, 5, (400, 12))
+    paths = np.empty_like(codes)
+    paths[:, 0] = rng.integers(0, 20, 400)
+    for t in range(1, 12):
+        paths[:, t] = [rng.choice(NEXT[s]) if rng.random() < 0.99 else rng.integers(0, 20) for s in paths[:, t - 1]]
+    want = []
+    for path, bases in zip(paths, codes, strict=True):
+        live = np.append(initial[bases[0]] & (labels == path[0]), False)
+        for s, base in zip(path[1:], bases[1:], strict=True):
+            came = (live[sources] & np.isfinite(weights[base])).any(axis=1)
+            live = np.append(came & (labels == s), False)
+        want.append(bool(live.any()))
+    assert dc.legal_paths(paths, codes).tolist() == want
+    assert 0 < sum(want) < 400
+
+
+def test_states_do_not_leave_the_task_that_decodes_them(spark):
+    windows = spark.createDataFrame([("a", s, 1, 7, "GATGCAT") for s in "+-"], "seq_name string, strand string, core_start long, core_end long, bases string")
+    runs = annotate.window_runs(windows, scorer=dc.motif_scorer)
+    assert runs._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+    keys = "seq_name string, strand string, core_start long, core_end long"
+    apart = annotate.path_runs(dc.decode_windows(windows, keys, scorer=dc.motif_scorer))
+    assert sorted(map(tuple, runs.collect())) == sorted(map(tuple, apart.collect())) != []
