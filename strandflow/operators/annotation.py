@@ -10,15 +10,15 @@ from .components import cut
 from .intervals import merge_touching
 
 
-def transcript_spans(features: DataFrame, tx: str = "tx") -> DataFrame:
-    """One row a transcript: chrom, strand, gene, start, end, cds_len, n_exons."""
+def transcript_spans(features: DataFrame, tx: str = "tx", more: list[Column] | None = None) -> DataFrame:
+    """One row a transcript: chrom, strand, gene, start, end, cds_len, n_exons and what ``more`` aggregates."""
     is_cds = F.col("feature") == "CDS"
     size = F.col("end") - F.col("start") + 1
     return features.groupBy(tx).agg(
         F.min("gene").alias("gene"), F.min("chrom").alias("chrom"), F.min("strand").alias("strand"),
         F.min("start").alias("start"), F.max("end").alias("end"),
         F.coalesce(F.sum(F.when(is_cds, size)), F.sum(F.when(F.col("feature") == "exon", size)), F.lit(0)).cast("long").alias("cds_len"),
-        F.count_if(F.col("feature") == "exon").alias("n_exons"), F.bool_or(is_cds).alias("coding"),
+        F.count_if(F.col("feature") == "exon").alias("n_exons"), F.bool_or(is_cds).alias("coding"), *(more or []),
     )
 
 
@@ -68,10 +68,22 @@ def numbered(df: DataFrame, parent: list[str], order: list[str], out: str) -> Da
     return df.withColumn(out, F.row_number().over(Window.partitionBy(*parent).orderBy(*order)).cast("long"))
 
 
+#: The features whose union is a transcript's exons.
+PIECES = ("CDS", "five_prime_UTR", "three_prime_UTR", "5UTR", "3UTR")
+
+
 def infer_exons(features: DataFrame, keys: list[str]) -> DataFrame:
     """Exons as the union of CDS and UTR pieces that touch or overlap."""
-    pieces = features.where(F.col("feature").isin("CDS", "five_prime_UTR", "three_prime_UTR", "5UTR", "3UTR"))
-    return merge_touching(pieces, keys).select(*keys, "start", "end")
+    return merge_touching(features.where(F.col("feature").isin(*PIECES)), keys).select(*keys, "start", "end")
+
+
+def _with_exon_numbers(features: DataFrame) -> DataFrame:
+    """Add exon_no: of which of its transcript's inferred exons, from 1 by position, a piece is; null for other features."""
+    piece, order = F.col("feature").isin(*PIECES), Window.partitionBy("tx").orderBy("start", "end")
+    reach = F.max(F.when(piece, F.col("end"))).over(order.rowsBetween(Window.unboundedPreceding, -1))
+    fresh = features.withColumn("_fresh", (piece & (reach.isNull() | (F.col("start") > reach + 1))).cast("int"))
+    number = F.sum("_fresh").over(order.rowsBetween(Window.unboundedPreceding, 0))
+    return fresh.withColumn("exon_no", F.when(piece, number)).drop("_fresh")
 
 
 def normalise_row(feature: Column, phase: Column) -> tuple[Column, Column]:
@@ -160,30 +172,32 @@ def render_models(features: DataFrame, source: str = "strandflow", prefix: str =
     features: gene, tx, chrom, strand, feature (CDS and UTR pieces), start, end. Genes are
     numbered by (chrom, start, end, strand), transcripts inside a gene by (start, end, id),
     exons and CDS by position."""
-    spans = transcript_spans(features)
+    from .intervals import TASK_ROWS, cds_phase
+
+    n = max(int(features.sparkSession.conf.get("spark.sql.shuffle.partitions")), features.count() // TASK_ROWS)
+    dealt = lambda *c: features.select("tx", "feature", "start", "end", *c).repartition(n, "tx")
+    spans = cut(transcript_spans(_with_exon_numbers(dealt("gene", "chrom", "strand")), more=[F.max("exon_no").alias("exons")]))
     genes = gene_spans(spans).select("gene", "chrom", "strand", F.col("start").alias("g_start"), F.col("end").alias("g_end"), "biotype")
     genes = global_numbers(genes, ["chrom", "g_start", "g_end", "strand", "gene"], "gene_no")
     genes = genes.withColumn("gene_id", F.concat(F.lit(prefix), F.lpad(F.col("gene_no").cast("string"), 8, "0")))
     tx = numbered(spans.join(genes, ["gene", "chrom", "strand"]), ["gene_id"], ["start", "end", "tx"], "tx_no")
-    tx = tx.withColumn("tx_id", F.concat("gene_id", F.lit("-mRNA-"), F.col("tx_no").cast("string")))
-    exons = infer_exons(features, ["tx"]).withColumn("feature", F.lit("exon"))
-    count = exons.groupBy("tx").agg(F.count("*").alias("exons"))
-    from .intervals import cds_phase
-
-    cds = cds_phase(features.where("feature = 'CDS'").select("tx", "strand", "start", "end"), ["tx"]).select("tx", "start", "end", F.lit("CDS").alias("feature"), "phase")
-    parts = numbered(exons.withColumn("phase", F.lit(None).cast("long")).unionByName(cds), ["tx", "feature"], ["start", "end"], "part_no")
-    name = F.when(F.col("coding"), "mRNA").otherwise("transcript")
+    tx = cut(tx.withColumn("tx_id", F.concat("gene_id", F.lit("-mRNA-"), F.col("tx_no").cast("string"))))
     null = F.lit(None).cast("long")
+    exons = _with_exon_numbers(dealt()).where("exon_no IS NOT NULL").groupBy("tx", F.col("exon_no").alias("part_no"))
+    exons = exons.agg(F.min("start").alias("start"), F.max("end").alias("end")).select("tx", "start", "end", F.lit("exon").alias("feature"), null.alias("phase"), "part_no")
+    cds = cds_phase(dealt("strand").where("feature = 'CDS'"), ["tx"])
+    cds = numbered(cds, ["tx"], ["start", "end"], "part_no").select("tx", "start", "end", "feature", "phase", "part_no")
+    name = F.when(F.col("coding"), "mRNA").otherwise("transcript")
 
     def line(feature, start, end, phase, attributes):
         return gtf_line(F.col("chrom"), F.lit(source), feature, start, end, F.col("strand"), phase, attributes).alias("line")
 
     gene_rows = genes.select("chrom", "gene_no", F.lit(0).alias("tx_no"), F.lit(0).alias("kind"), F.lit(0).cast("long").alias("nth"),
         line(F.lit("gene"), F.col("g_start"), F.col("g_end"), null, at.gff3_attributes(ID=F.col("gene_id"), gene_biotype=F.col("biotype"))))
-    tx_rows = tx.join(count, "tx", "left").select("chrom", "gene_no", "tx_no", F.lit(1).alias("kind"), F.lit(0).cast("long").alias("nth"),
+    tx_rows = tx.select("chrom", "gene_no", "tx_no", F.lit(1).alias("kind"), F.lit(0).cast("long").alias("nth"),
         line(name, F.col("start"), F.col("end"), null, at.gff3_attributes(ID=F.col("tx_id"), Parent=F.col("gene_id"), Num_exons=F.col("exons"), geneID=F.col("gene_id"), gene_biotype=F.col("biotype"))))
     ids = tx.select("tx", "chrom", "strand", "gene_no", "tx_no", "tx_id")
     child = F.concat("tx_id", F.lit("."), F.lower("feature"), F.col("part_no").cast("string"))
-    part_rows = parts.join(ids, "tx").select("chrom", "gene_no", "tx_no", F.when(F.col("feature") == "exon", 2).otherwise(3).alias("kind"), F.col("part_no").alias("nth"),
-        line(F.col("feature"), F.col("start"), F.col("end"), F.col("phase"), at.gff3_attributes(ID=child, Parent=F.col("tx_id"))))
-    return gene_rows.unionByName(tx_rows).unionByName(part_rows)
+    rows = lambda parts: parts.join(ids, "tx").select("chrom", "gene_no", "tx_no", F.when(F.col("feature") == "exon", 2).otherwise(3).alias("kind"), F.col("part_no").alias("nth"),
+        line(F.col("feature"), F.col("start"), F.col("end"), F.col("phase"), at.gff3_attributes(ID=child, Parent=F.col("tx_id"))))
+    return gene_rows.unionByName(tx_rows).unionByName(rows(exons)).unionByName(rows(cds))

@@ -82,3 +82,22 @@ SELECT {keys}, min("start"), max("end"){dict(interval_merge=", CAST(sum(n) AS BI
 
     for name, want in merged.items():
         assert sorted(map(tuple, QUERIES[name](Twice(), DATA).collect())) == sorted(want), name
+
+
+def test_models_are_rendered_without_merging_exons_again(spark):
+    rng = random.Random(8)
+    kinds = ("CDS", "five_prime_UTR", "3UTR", "exon", "start_codon")
+    rows = [(t // 2, t, f"c{t // 2 % 2}", "+-"[t // 2 % 2], rng.choice(kinds), s, s + rng.randrange(25)) for t in range(12) for s in (rng.randrange(300) for _ in range(14))]
+    rows.append((99, 99, "c0", "+", "exon", 5, 9))  # a transcript without pieces
+    features = spark.createDataFrame(rows, "gene long, tx long, chrom string, strand string, feature string, start long, end long")
+    out = annotation.render_models(features)
+    assert plan(out).count("hashpartitioning(tx") <= 4  # the exons' rows, the coding rows, and the names that each of them meets
+    lines = [r.line.split("\t") for r in out.collect()]
+    want = sorted((r.start, r.end) for r in annotation.infer_exons(features, ["tx"]).collect())
+    assert sorted((int(x[3]), int(x[4])) for x in lines if x[2] == "exon") == want
+    counts = [int(p.removeprefix("Num_exons=")) for x in lines for p in x[8].split(";") if p.startswith("Num_exons=")]
+    assert sum(counts) == len(want) and len(counts) == 12
+    for x in (y for y in lines if y[2] == "exon"):  # exons of a transcript are numbered by position
+        parent, number = x[8].split("ID=")[1].split(";")[0].rsplit(".exon", 1)
+        same = sorted(int(y[3]) for y in lines if y[2] == "exon" and f"ID={parent}.exon" in y[8])
+        assert same[int(number) - 1] == int(x[3])
