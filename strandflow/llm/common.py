@@ -9,6 +9,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -139,3 +141,17 @@ _SEPARATE = bytes(c if chr(c).isalnum() or c > 127 else 32 for c in range(256))
 def tokens(text: str | None) -> list[bytes]:
     """Runs of letters and digits of the lower-cased text; all beyond ASCII counts as letters."""
     return (text or "").lower().encode("utf-8", "surrogatepass").translate(_SEPARATE).split()
+
+
+def numbered_words(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, pa.LargeBinaryArray]:
+    """tokens() of all texts at once: how many each text has, their numbers one text after the other, and the
+    distinct words by number."""
+    lowered = [(t or "").lower().encode("utf-8", "surrogatepass") for t in texts]
+    flat = np.frombuffer(b" ".join(lowered).translate(_SEPARATE), np.uint8)
+    letter = flat != 32
+    edges = np.flatnonzero(np.diff(letter, prepend=False, append=False))
+    first, last = edges[::2], edges[1::2]
+    ends = np.concatenate([[0], np.cumsum(last - first)])
+    words = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(first), [None, pa.py_buffer(ends), pa.py_buffer(flat[letter])]).dictionary_encode()
+    limits = np.cumsum(np.fromiter(map(len, lowered), np.int64, len(lowered)) + 1)
+    return np.diff(np.searchsorted(first, limits), prepend=0), words.indices.to_numpy(), words.dictionary

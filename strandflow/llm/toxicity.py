@@ -19,15 +19,17 @@ from typing import NamedTuple
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out, labelled_texts, table, tokens
+from .common import held_out, labelled_texts, numbered_words, table, tokens
 from .language_id import chunks
 
 WINDOW, STRIDE = 32, 16
 WORD, CHAR, HIDDEN = 8, 16, 8
 TRIGRAMS = 1 << 13
+LONG = 64  # trigrams of a word that are added up side by side with those of other words
 _MUL = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -60,23 +62,59 @@ def fit_head(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 0.
     return w
 
 
-def trigram_slots(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Hashed byte trigrams of '<word>', flat, and how many each word has."""
-    joined = b"".join(b"\x02%s\x03" % w for w in words)
-    sizes = np.fromiter(map(len, words), np.int64, len(words)) + 2
-    b = np.frombuffer(joined + b"\0\0", np.uint8).astype(np.uint64)
+def flat_slots(letters: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashed byte trigrams of '<word>', flat, and how many each word has; words are one run of bytes, cut by sizes."""
+    wide = sizes + 2
+    first = np.cumsum(wide) - wide
+    b = np.zeros(len(letters) + 2 * len(sizes) + 2, np.uint8)
+    b[first], b[first + sizes + 1] = 2, 3
+    b[np.arange(len(letters)) + np.repeat(2 * np.arange(len(sizes)) + 1, sizes)] = letters
+    b = b.astype(np.uint64)
     grams = (b[:-2] << np.uint64(16) | b[1:-1] << np.uint64(8) | b[2:]) * _MUL >> np.uint64(64 - 13)
-    n = np.maximum(sizes - 2, 1)  # an empty word still has one
+    n = np.maximum(sizes, 1)  # an empty word still has one
     nth = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-    return grams[np.repeat(np.cumsum(sizes) - sizes, n) + nth].astype(np.int64), n
+    return grams[np.repeat(first, n) + nth].astype(np.int64), n
+
+
+def trigram_slots(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """flat_slots of a list of words."""
+    return flat_slots(np.frombuffer(b"".join(words), np.uint8), np.fromiter(map(len, words), np.int64, len(words)))
+
+
+def mean_vectors(chars: np.ndarray, slots: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Mean of each word's n trigram vectors: all words' first ones are added up, then all second ones and so on; what
+    a word has beyond LONG is added on its own."""
+    order = np.argsort(-n, kind="stable")
+    first = (np.cumsum(n) - n)[order]
+    over = len(n) - np.searchsorted(n[order[::-1]], np.arange(LONG + 1), "right")  # words with over 0, 1, ... trigrams
+    total = np.zeros((len(n), chars.shape[1]), chars.dtype)
+    for nth, k in enumerate(over[:LONG]):
+        total[:k] += chars[slots[first[:k] + nth]]
+    for i in range(over[LONG]):
+        total[i] += chars[slots[first[i] + LONG : first[i] + n[order[i]]]].sum(axis=0)
+    out = np.empty_like(total)
+    out[order] = total
+    return out / n[:, None]
+
+
+def _inputs(net: Network, ids: np.ndarray, slots: np.ndarray, n: np.ndarray) -> np.ndarray:
+    return np.concatenate([net.p["words"][ids], mean_vectors(net.p["chars"], slots, n)], axis=1).astype(np.float32)
 
 
 def word_inputs(words: list[bytes], net: Network) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Input vectors of distinct words, with the vocabulary ids and trigrams they come from."""
     ids = np.fromiter((net.vocabulary.get(w, 0) for w in words), np.int64, len(words))
     slots, n = trigram_slots(words)
-    chars = np.add.reduceat(net.p["chars"][slots], np.cumsum(n) - n) / n[:, None] if len(words) else np.zeros((0, CHAR), np.float32)
-    return np.concatenate([net.p["words"][ids], chars], axis=1).astype(np.float32), ids, slots, n
+    return _inputs(net, ids, slots, n), ids, slots, n
+
+
+def array_inputs(words: pa.LargeBinaryArray, net: Network) -> np.ndarray:
+    """Input vectors of an Arrow array of distinct words, without a Python object for each."""
+    known = pa.array(list(net.vocabulary), pa.large_binary())
+    ids = np.array([0, *net.vocabulary.values()], np.int64)[pc.fill_null(pc.index_in(words, value_set=known), -1).to_numpy() + 1]
+    ends = np.frombuffer(words.buffers()[1], np.int64)[words.offset : words.offset + len(words) + 1]
+    letters = np.frombuffer(words.buffers()[2], np.uint8)[ends[0] : ends[-1]]
+    return _inputs(net, ids, *flat_slots(letters, np.diff(ends)))
 
 
 def windows(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -93,8 +131,8 @@ def _sigmoid(x):
     return 0.5 * np.tanh(0.5 * x) + 0.5
 
 
-def _read(inputs: np.ndarray, grid: np.ndarray, real: np.ndarray, u: np.ndarray, order, keep: bool):
-    """States (WINDOW, n, HIDDEN) of one direction; inputs are words' projected vectors."""
+def _read(inputs: np.ndarray, grid: np.ndarray, real: np.ndarray, u: np.ndarray, order):
+    """States (WINDOW, n, HIDDEN) and tape of one direction; inputs are words' projected vectors."""
     n = len(grid)
     h, states, tape = np.zeros((n, HIDDEN), np.float32), np.empty((WINDOW, n, HIDDEN), np.float32), []
     for t in order:
@@ -104,25 +142,23 @@ def _read(inputs: np.ndarray, grid: np.ndarray, real: np.ndarray, u: np.ndarray,
         z, r = zr[:, :HIDDEN], zr[:, HIDDEN:]
         c = np.tanh(x[:, 2 * HIDDEN :] + r * a[:, 2 * HIDDEN :])
         new = np.where(real[:, t, None], c + z * (h - c), h)
-        if keep:
-            tape.append((t, h, z, r, c, a[:, 2 * HIDDEN :]))
+        tape.append((t, h, z, r, c, a[:, 2 * HIDDEN :]))
         h = states[t] = new
     return states, tape
 
 
-def forward(net: Network, inputs: np.ndarray, grid: np.ndarray, real: np.ndarray, keep: bool = False):
-    """Scores of windows (grid: rows of inputs) that have a word each."""
+def forward(net: Network, inputs: np.ndarray, grid: np.ndarray, real: np.ndarray):
+    """Scores of windows (grid: rows of inputs) that have a word each, with what their gradients need."""
     p = net.p
-    f, tf = _read(inputs @ p["wf"] + p["bf"], grid, real, p["uf"], range(WINDOW), keep)
-    b, tb = _read(inputs @ p["wb"] + p["bb"], grid, real, p["ub"], reversed(range(WINDOW)), keep)
+    f, tf = _read(inputs @ p["wf"] + p["bf"], grid, real, p["uf"], range(WINDOW))
+    b, tb = _read(inputs @ p["wb"] + p["bb"], grid, real, p["ub"], reversed(range(WINDOW)))
     h = np.concatenate([f, b], axis=2)
     act = np.tanh(h @ p["wa"])
     e = np.where(real.T, act @ p["va"], -1e9)
     alpha = np.exp(e - e.max(axis=0))
     alpha /= alpha.sum(axis=0)
     pooled = np.einsum("tn,tnh->nh", alpha, h)
-    y = _sigmoid(pooled @ p["wo"] + p["bo"])
-    return (y, (h, act, alpha, pooled, tf, tb)) if keep else y
+    return _sigmoid(pooled @ p["wo"] + p["bo"]), (h, act, alpha, pooled, tf, tb)
 
 
 def _back_read(dstates, tape, grid, real, u, n_words):
@@ -146,7 +182,7 @@ def gradients(net: Network, words, grid, real, y, weight):
     """Loss and gradients of a batch over distinct words (grid indexes them)."""
     p = net.p
     inputs, ids, slots, n = word_inputs(words, net)
-    out, (h, act, alpha, pooled, tf, tb) = forward(net, inputs, grid, real, keep=True)
+    out, (h, act, alpha, pooled, tf, tb) = forward(net, inputs, grid, real)
     do = ((out - y) * weight / weight.sum()).astype(np.float32)
     g = {"wo": pooled.T @ do, "bo": np.array(do.sum(), np.float32)}
     dpooled = do[:, None] * p["wo"]
@@ -235,24 +271,59 @@ def train(texts: list[str], labels: list[int], per_class: int = 16_000, epochs:
     return net._replace(head=fit_head(x, label, np.where(label > 0, 1, clean_ratio * label.sum() / max((1 - label).sum(), 1))))
 
 
-def window_scores(net: Network, inputs: np.ndarray, word_ids: np.ndarray, at: np.ndarray, step: int = 8192) -> np.ndarray:
-    """Scores of all windows over the distinct words' inputs, a bounded number at a time."""
+def window_scores(net: Network, inputs: np.ndarray, word_ids: np.ndarray, at: np.ndarray, step: int = 1024) -> np.ndarray:
+    """forward()'s scores of all windows over the distinct words' inputs, without a tape.
+
+    So few windows are read at a time that the arrays of a step fit a core's cache, both directions in one pass. Units are rows
+    and windows columns, so every gate is one run of memory. A gate 1 / (1 + exp(-x)) is (tanh(x / 2) + 1) / 2; its halves are in the
+    weights. A place without a word has a row of its own after the words' whose update gate is 1, so the state stays as it is."""
+    p, none = net.p, len(inputs)
+    half = np.repeat(np.array([0.5, 0.5, 1], np.float32), HIDDEN)
+    tables, ids = [], np.append(word_ids, none)  # at -1 is the last
+    for d in "fb":
+        stay = np.repeat(np.array([[50, 0, 0]], np.float32), HIDDEN, axis=1)
+        tables.append(np.concatenate([(inputs @ p[f"w{d}"] + p[f"b{d}"]) * half, stay]).astype(np.float32))
+    u = np.stack([0.5 * p["uf"].T, 0.5 * p["ub"].T])
     out = np.zeros(len(at), np.float32)
     for s in range(0, len(at), step):
-        place = at[s : s + step]
-        out[s : s + step] = forward(net, inputs, np.where(place >= 0, word_ids[np.maximum(place, 0)], 0), place >= 0)
+        grid = ids[at[s : s + step].T]
+        n = grid.shape[1]
+        h, states = np.zeros((2, HIDDEN, n), np.float32), np.empty((2, HIDDEN, WINDOW, n), np.float32)
+        x, a = np.empty((2, 3 * HIDDEN, n), np.float32), np.empty((2, 3 * HIDDEN, n), np.float32)
+        gates, z, r, c = a[:, : 2 * HIDDEN], a[:, :HIDDEN], a[:, HIDDEN : 2 * HIDDEN], x[:, 2 * HIDDEN :]
+        for t in range(WINDOW):
+            for i, place in enumerate((t, WINDOW - 1 - t)):
+                x[i] = tables[i].take(grid[place], axis=0).T
+            np.matmul(u, h, out=a)
+            gates += x[:, : 2 * HIDDEN]
+            np.tanh(gates, out=gates)
+            gates += 1
+            r *= a[:, 2 * HIDDEN :]
+            c += r
+            np.tanh(c, out=c)
+            z *= 0.5
+            h -= c
+            h *= z
+            h += c
+            states[0, :, t], states[1, :, WINDOW - 1 - t] = h
+        states = states.reshape(2 * HIDDEN, WINDOW * n)
+        act = p["wa"].T @ states
+        e = (p["va"] @ np.tanh(act, out=act)).reshape(WINDOW, n)
+        e[grid == none] = -1e9
+        alpha = np.exp(e - e.max(axis=0))
+        alpha /= alpha.sum(axis=0)
+        pooled = np.multiply(states.reshape(2 * HIDDEN, WINDOW, n), alpha, out=act.reshape(2 * HIDDEN, WINDOW, n)).sum(axis=1)
+        out[s : s + step] = _sigmoid(p["wo"] @ pooled + p["bo"])
     return out
 
 
 def score_texts(texts: list[str | None], net: Network) -> np.ndarray:
     """Score of each text; a text without words gets the output's base rate."""
-    split = [tokens(t) for t in texts]
-    counts = np.fromiter(map(len, split), np.int64, len(split))
+    counts, word_ids, distinct = numbered_words(texts)
     out = np.full(len(texts), float(_sigmoid(net.p["bo"])))
     if not counts.sum():
         return out
-    word_ids, distinct = pd.factorize(np.array([w for ws in split for w in ws], dtype=object))
-    inputs = word_inputs(list(distinct), net)[0]
+    inputs = array_inputs(distinct, net)
     owner, at = windows(counts)
     x = head_inputs(owner, window_scores(net, inputs, word_ids, at), len(texts))
     return np.where(counts > 0, 1 / (1 + np.exp(-np.clip(x @ net.head, -30, 30))), out)

@@ -1,7 +1,9 @@
 import random
+import tracemalloc
 
 import numpy as np
 
+from strandflow.llm import common
 from strandflow.llm import toxicity as tx
 
 
@@ -54,6 +56,57 @@ def test_trigram_slots():
     assert slots[1] == tx.trigram_slots([b"a"])[0][0]
 
 
+def drawn_windows(sizes, seed=0):
+    rng = np.random.default_rng(seed)
+    net = tx.new_network({b"a": 1, b"bb": 2}, 0.3, 1)
+    net = net._replace(p={k: (v if k == "chars" else v + rng.normal(0, 0.5, v.shape)).astype(np.float32) for k, v in net.p.items()})
+    words = [b"w%d" % i for i in range(500)] + [b"a", b"bb"]
+    return net, tx.word_inputs(words, net)[0], rng.integers(0, len(words), sum(sizes)), tx.windows(np.array(sizes))[1]
+
+
+def test_scores_are_those_of_training():
+    net, inputs, ids, at = drawn_windows([1, 2, 31, 32, 33, 48, 49, 500, 0, 5])
+    real = at >= 0
+    want = tx.forward(net, inputs, np.where(real, ids[np.maximum(at, 0)], 0), real)[0]
+    for step in (1, 7, 1024):
+        assert np.abs(tx.window_scores(net, inputs, ids, at, step=step) - want).max() < 1e-5
+    assert want.std() > 0.01
+
+
+def test_scoring_stays_near_the_cache():
+    """Whatever the number of windows, a block's arrays are a few megabytes (69.5 MB in all before)."""
+    args = drawn_windows([40_000] * 4)
+    tracemalloc.start()
+    tx.window_scores(*args)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 12e6
+
+
+def test_numbered_words_are_the_tokens():
+    texts = [None, "", " \n", "!!!", "a", "A b-a\tB\x0bc_c", "\u0130\u03a3 \u039f\u03a3\u2028x \xa0\u3000y", "\U0001f600 9\x000", "\ud800z", "end ", " a", "x" * 1000]
+    counts, ids, words = common.numbered_words(texts)
+    split = [common.tokens(t) for t in texts]
+    assert counts.tolist() == [len(ws) for ws in split]
+    words = words.to_pylist()
+    assert [words[i] for i in ids] == [w for ws in split for w in ws] and len(set(words)) == len(words)
+    for odd in ([], [None], ["?", ""]):
+        counts, ids, words = common.numbered_words(odd)
+        assert counts.tolist() == [0] * len(odd) and len(ids) == len(words) == 0
+
+
+def test_inputs_of_arrays_and_lists():
+    net = tx.new_network({b"a": 1, b"long" * 40: 2, b"ab": 3}, 0.3, 1)
+    texts = ["a zz ab a", "long" * 40 + " " + "q" * 64 + " " + "q" * 65 + " " + "r" * 5000]
+    words = common.numbered_words(texts)[2]
+    listed, ids, slots, n = tx.word_inputs(words.to_pylist(), net)
+    assert np.array_equal(tx.array_inputs(words, net), listed) and ids.tolist() == [1, 0, 3, 2, 0, 0, 0]
+    ends = np.cumsum(n)
+    for i, end in enumerate(ends):
+        assert np.allclose(listed[i, tx.WORD :], net.p["chars"][slots[end - n[i] : end]].mean(axis=0), atol=1e-5)
+        assert np.array_equal(listed[i, : tx.WORD], net.p["words"][ids[i]])
+
+
 def test_held_out_accuracy_and_odd_texts(spark):
     data = sample(240, 1)
     net = tx.train([t for t, _ in data], [y for _, y in data], least_docs=3, epochs=6)
