@@ -91,7 +91,7 @@ def mean_vectors(chars: np.ndarray, slots: np.ndarray, n: np.ndarray) -> np.ndar
     for nth, k in enumerate(over[:LONG]):
         total[:k] += chars[slots[first[:k] + nth]]
     for i in range(over[LONG]):
-        total[i] += chars[slots[first[i] + LONG : first[i] + n[order[i]]]].sum(axis=0)
+        total[i] += chars[slots[first[i] + LONG : first[i] + n[order[i]]]].sum(axis=0, dtype=np.float64)
     out = np.empty_like(total)
     out[order] = total
     return out / n[:, None]

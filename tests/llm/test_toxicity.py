@@ -103,10 +103,17 @@ def test_inputs_of_arrays_and_lists():
     assert np.array_equal(tx.array_inputs(words, net), listed) and ids.tolist() == [1, 0, 3, 2, 0, 0, 0]
     ends = np.cumsum(n)
     for i, end in enumerate(ends):
-        assert np.allclose(listed[i, tx.WORD :], net.p["chars"][slots[end - n[i] : end]].mean(axis=0), atol=1e-5)
+        assert np.allclose(listed[i, tx.WORD :], net.p["chars"][slots[end - n[i] : end]].astype(float).mean(axis=0), atol=1e-6)
         assert np.array_equal(listed[i, : tx.WORD], net.p["words"][ids[i]])
 
 
+def test_very_long_words_keep_their_mean():
+    net = tx.new_network({}, 0.3, 1)
+    found, _, slots, n = tx.word_inputs([b"x" * 2_000_000, b"y"], net)
+    exact = net.p["chars"].astype(float)[slots[: n[0]]].mean(axis=0)
+    assert np.abs(found[0, tx.WORD :] - exact).max() < 1e-6
+
+
 def test_held_out_accuracy_and_odd_texts(spark):
     data = sample(240, 1)
     net = tx.train([t for t, _ in data], [y for _, y in data], least_docs=3, epochs=6)
