@@ -93,7 +93,7 @@ LOOSE = """loose AS (
 def seqs(spark, d) -> DataFrame:
     """seq_name, seq: the letters ACGTN of each text."""
     doc = _t(spark, d, "documents")
-    return doc.select(F.col("doc_id").alias("seq_name"), F.regexp_replace(F.upper(F.coalesce("text", F.lit(""))), "[^ACGTN]", "").alias("seq"))
+    return doc.select(F.col("doc_id").alias("seq_name"), F.regexp_replace(F.upper(F.coalesce("text", F.lit(""))), "[^ACGTN]+", "").alias("seq"))
 
 
 SEQS = """seqs AS (SELECT doc_id AS seq_name, regexp_replace(upper(coalesce(text, '')), '[^ACGTN]', '', 'g') AS seq FROM documents)"""
@@ -815,14 +815,23 @@ def _tiles(spark, d):
     return tiles.select(F.col("seq_name").cast("string").alias("seq_name"), "strand", "core_start", "core_end", "bases")
 
 
+def _p(number):
+    """The probabilities of a window's 200 positions."""
+    return F.transform(F.sequence(F.lit(1), F.lit(200)), lambda i: _favoured(number, i))
+
+
+def _shared_p(spark):
+    """like, p: the probabilities of sequences with numbers from 0; they repeat with the number modulo 20."""
+    return spark.range(20).select(F.col("id").alias("like"), _p(F.col("id")).alias("p"))
+
+
 def _with_p(tiles):
     """tiles with the probabilities p that favour a state by position. They repeat with the sequence's number
     modulo 20, so 20 rows hold them; only negative numbers are worked out row by row."""
     number = F.col("seq_name").cast("long")
-    p = lambda x: F.transform(F.sequence(F.lit(1), F.lit(200)), lambda i: _favoured(x, i))
-    shared = tiles.sparkSession.range(20).select(F.col("id").alias("_r"), p(F.col("id")).alias("_p"))
+    shared = _shared_p(tiles.sparkSession).withColumnsRenamed({"like": "_r", "p": "_p"})
     known = tiles.join(F.broadcast(shared), F.when(number >= 0, number % 20) == F.col("_r"), "left")
-    return known.select(*tiles.columns, F.when(number >= 0, F.col("_p")).otherwise(p(number)).alias("p"))
+    return known.select(*tiles.columns, F.when(number >= 0, F.col("_p")).otherwise(_p(number)).alias("p"))
 
 
 def _probabilities(spark, d):
@@ -861,8 +870,10 @@ def posterior_states(spark, d):
 @query("sequence_viterbi")
 def sequence_viterbi(spark, d):
     """The best path through each text's bases as a whole, in pieces of 200."""
+    number = F.col("seq_name").cast("long")
     chunks = _tiles(spark, d).withColumn("chunk", ((F.col("core_start") - 1) / 200).cast("long"))
-    return decode.decode_sequences(chunks, probabilities=_with_p).select("seq_name", "chunk", F.array_join("states", ",").alias("states"))
+    chunks = chunks.withColumn("like", F.when(number >= 0, number % 20)).withColumn("p", F.when(F.col("like").isNull(), _p(number)))
+    return decode.decode_sequences(chunks, shared=_shared_p(spark)).select("seq_name", "chunk", F.array_join("states", ",").alias("states"))
 
 
 @query("predicted_gff3")

@@ -286,3 +286,44 @@ def test_states_do_not_leave_the_task_that_decodes_them(spark):
     keys = "seq_name string, strand string, core_start long, core_end long"
     apart = annotate.path_runs(dc.decode_windows(windows, keys, scorer=dc.motif_scorer))
     assert sorted(map(tuple, runs.collect())) == sorted(map(tuple, apart.collect())) != []
+
+
+def test_short_sequences_decode_as_a_whole_in_one_pass(spark, monkeypatch):
+    """A group and a matrix for every short sequence took most of the time of the query."""
+    rng = np.random.default_rng(21)
+    tables = [rng.dirichlet(np.full(20, 0.05), 12).tolist() for _ in range(3)]
+    own = rng.dirichlet(np.full(20, 0.05), 5).tolist()
+    rows = [(s, c, (s + c) % 3, None, "ACGTACGTACGT") for s in range(9) for c in range(1 + s % 4)]
+    rows += [(20, 0, None, own, "ACGTA"), (20, 1, 2, None, "ACGTACGTACGT"), (20, 2, None, None, None), (21, 1, 0, own, None), (21, 3, 1, None, None), (22, 0, None, [], None)]
+    chunks = spark.createDataFrame(rows, "seq_name long, chunk long, like long, p array<array<double>>, bases string")
+    shared = spark.createDataFrame(list(enumerate(tables)), "like long, p array<array<double>>")
+    steps, want = dc.log_or_absent(dc.transitions()).astype(np.float64), {}
+    for name in {r[0] for r in rows}:
+        parts = [(c, p if p is not None else [] if like is None else tables[like]) for s, c, like, p, _ in rows if s == name]
+        path, free = [], 0.0 if parts[0][0] == 0 and parts[0][1] else steps.max(axis=0)
+        if any(p for _, p in parts):
+            scores = np.concatenate([dc.emissions(np.array(p), None) for _, p in parts if p]).astype(np.float64)
+            path = dc.viterbi(scores[None], steps, np.broadcast_to(free, 20))[0].tolist()
+        for c, p in parts:
+            want[name, c], path = path[: len(p)], path[len(p) :]
+    once = dc.decode_sequences(chunks.repartition(5), shared=shared)
+    shown = once._jdf.queryExecution().executedPlan().toString()
+    assert shown.count("MapInArrow") == 1 and "MapInPandas" not in shown and "FlatMapGroups" not in shown
+    assert {(r.seq_name, r.chunk): list(r.states) for r in once.collect()} == want
+    each = chunks.join(shared.withColumnRenamed("p", "_p"), "like", "left").withColumn("p", F.coalesce("p", "_p"))
+    for most in (dc.WHOLE, 30, 0):
+        monkeypatch.setattr(dc, "WHOLE", most)
+        for df, options in ((chunks, {"shared": shared}), (each, {})):
+            assert {(r.seq_name, r.chunk): list(r.states) for r in dc.decode_sequences(df.repartition(5), **options).collect()} == want, (most, options)
+
+
+def test_rows_that_end_at_different_positions_decode_as_by_themselves():
+    rng = np.random.default_rng(22)
+    steps, first = dc.log_or_absent(dc.transitions()), np.full(20, -np.log(20), np.float32)
+    lengths = np.array([40, 40, 23, 22, 3, 1, 1])
+    for spread in (1.0, 400.0):
+        scores = rng.normal(0, spread, (len(lengths), 40, 20)).astype(np.float32)
+        live = [(lengths > t).sum() for t in range(40)]
+        paths = dc.best_paths(lambda t: scores[: live[t], t].T, (len(lengths), 40), steps, first, scores.dtype, lengths)  # noqa: B023
+        for path, own, n in zip(paths, scores, lengths, strict=True):
+            assert path[:n].tolist() == dc.viterbi(own[None, :n], steps, first)[0].tolist() and not path[n:].any()
