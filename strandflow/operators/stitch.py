@@ -6,6 +6,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .components import cut
 from .intervals import merge_runs
 from .topology import CONTEXT, legal_step
 
@@ -122,7 +123,7 @@ def stitch(windows: DataFrame, ranges: DataFrame) -> DataFrame:
     ranges(seq, strand, win_start, kind, start, end) are each window's own. Blocks from
     seams() are cut further where a join would give one UTR two sides (see context_cuts)."""
     placed = seams(windows).select("seq", "strand", F.col("start").alias("win_start"), "block")
-    rows = ranges.join(placed, ["seq", "strand", "win_start"])
+    rows = cut(ranges.join(placed, ["seq", "strand", "win_start"]))
     key = ["seq", "strand", "block"]
     cuts = context_cuts(rows).select(*key, F.col("at").alias("win_start"), F.lit(1).alias("_cut"))
     rows = rows.join(cuts, [*key, "win_start"], "left")

@@ -100,7 +100,7 @@ def models_from_runs(runs: DataFrame) -> DataFrame:
     )
     spans = stitch.stitch(ends, runs)
     key = ["seq", "strand", "block", "block_start"]
-    groups = stitch.split_transcripts(spans, key)
+    groups = cut(stitch.split_transcripts(spans, key))  # read three times below
     own = [*key, "group"]
     whole = stitch.whole_coding(groups.where("edge IS NOT NULL"), own)
     kept = stitch.transcripts_of_edges(groups, whole, own)

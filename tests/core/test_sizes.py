@@ -3,9 +3,11 @@
 import random
 
 import duckdb
+import numpy as np
 from pyspark.sql import functions as F
 
-from strandflow.operators import annotation, evaluate, intervals, transcripts
+from strandflow.operators import annotation, decode, evaluate, intervals, transcripts
+from strandflow.plans import annotate, predict
 from strandflow.queries import LOOSE, QUERIES
 
 DATA = "/root/testdata/sf0.001"
@@ -101,3 +103,34 @@ def test_models_are_rendered_without_merging_exons_again(spark):
         parent, number = x[8].split("ID=")[1].split(";")[0].rsplit(".exon", 1)
         same = sorted(int(y[3]) for y in lines if y[2] == "exon" and f"ID={parent}.exon" in y[8])
         assert same[int(number) - 1] == int(x[3])
+
+
+def test_models_stitch_their_runs_once(spark):
+    """Stitching and splitting were worked out again for each of the places that read their result."""
+    runs = spark.createDataFrame([("a", "+", 1, "CDS", 1, 9, 7, 14, 1, 1, True)], annotate.RUNS).localCheckpoint()
+    assert plan(annotate.models_from_runs(runs)).count("ExistingRDD") <= 3  # 12 before
+
+
+def test_windows_are_named_where_they_are_or_moved(spark, monkeypatch):
+    rng = random.Random(12)
+    seqs = spark.createDataFrame([(f"s{i}", "".join(rng.choice("ACGT") for _ in range(rng.randrange(150, 400)))) for i in range(12)], "seq_name string, seq string")
+    both = []
+    for most in (predict.BROADCAST_NAMED, 0):
+        monkeypatch.setattr(predict, "BROADCAST_NAMED", most)
+        runs, audit = predict.predicted_runs(seqs, 50)
+        both.append([sorted(map(tuple, x.collect()), key=repr) for x in (runs, audit)])
+    assert both[0] == both[1] and both[0][0]
+
+
+def test_rows_with_absent_steps_alone_are_decoded_twice():
+    rng = np.random.default_rng(13)
+    steps, first = decode.log_or_absent(decode.transitions()), np.full(20, -np.log(20), np.float32)
+    calls = []
+    for spread in (1.0, 60.0, 400.0):
+        scores = rng.normal(0, spread, (40, 30, 20)).astype(np.float32)
+        scores[:3] = rng.normal(0, 400, (3, 30, 20))
+        column = lambda t: (calls.append(t), scores[:, t].T)[1]  # noqa: B023, E731
+        both = [decode.best_paths(column, (40, 30), steps, first, scores.dtype, lazy=lazy).tolist() for lazy in (True, False)]
+        assert both[0] == both[1]
+    assert len(calls) > 6 * 30  # some were
+    assert [list(map(len, decode.side_by_side([7] * 1075, 1024)))] == [[538, 537]]  # not 1024 and 51
